@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Labelled documents that training reads at most (those with the smallest hashes), and words it keeps at most.
-TRAIN_DOCS, TRAIN_WORDS = 5000, 60_000
+TRAIN_DOCS, TRAIN_WORDS = 4000, 40_000
 LONGEST = 4
 #: Distinct words whose scores a Python worker remembers.
 REMEMBERED = 1 << 16
@@ -37,21 +37,22 @@ class Model:
             for k in range(1, LONGEST + 1):
                 for g in _grams(word, k):
                     grams[at][g] += n
-        self.words = _logs(words, lambda _: 0, lambda _, n: n > 1)
-        self.grams = _logs(grams, len, lambda g, n: len(g) == 1 or n > 1)
-        self.zero = np.zeros(size)
+        self.words = _logs(words, lambda _: 0, 2)
+        best = {g: row - row.max() - (LONGEST - len(g)) * log(2) for g, row in _logs(grams, len, 2).items()}
+        self.grams = {g: i for i, g in enumerate(best)}
+        self.table = np.array([*best.values()]).reshape(len(best), size)
 
     def word(self, word: str) -> np.ndarray:
         """A known word's logs; else the sum over its positions of the longest known n-gram's, each step back costing log 2."""
         if (known := self.words.get(word)) is not None:
             return known
-        padded, out = f" {word} ", self.zero.copy()
+        padded, at, get = f" {word} ", [], self.grams.get
         for i in range(len(padded)):
-            for k in range(min(LONGEST, len(padded) - i), 0, -1):
-                if (logs := self.grams.get(padded[i : i + k])) is not None:
-                    out += logs - logs.max() - (LONGEST - k) * log(2)
+            for k in range(LONGEST, 0, -1):
+                if (row := get(padded[i : i + k])) is not None:
+                    at.append(row)
                     break
-        return out
+        return self.table[at].sum(axis=0)
 
 
 def _grams(word: str, k: int) -> list[str]:
@@ -59,15 +60,15 @@ def _grams(word: str, k: int) -> list[str]:
     return [padded[i : i + k] for i in range(len(padded) - k + 1)]
 
 
-def _logs(counts: list[Counter], kind: Callable[[str], int], keep: Callable[[str, int], bool]) -> dict[str, np.ndarray]:
-    """Smoothed log frequencies by language, among the entries of the same kind."""
+def _logs(counts: list[Counter], kind: Callable[[str], int], least: int) -> dict[str, np.ndarray]:
+    """Smoothed log frequencies by language, among the entries of the same kind; those that occur `least` times are kept."""
     every = sorted(set().union(*counts))
-    table = np.array([[c[x] for c in counts] for x in every], float).reshape(len(every), len(counts))
-    kinds = np.array([kind(x) for x in every], int)
+    table = np.array([[c[x] for x in every] for c in counts], float).T.reshape(len(every), len(counts))
+    often, kinds = table.sum(axis=1) >= least, np.array([kind(x) for x in every], int)
     for k in set(kinds.tolist()):
         own = kinds == k
         table[own] = np.log((table[own] + 0.1) / (table[own].sum(axis=0) + 0.1 * own.sum()))
-    return {x: row for x, row in zip(every, table, strict=True) if keep(x, sum(c[x] for c in counts))}
+    return {every[i]: table[i] for i in np.flatnonzero(often)}
 
 
 class Scorer:
