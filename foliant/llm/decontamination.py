@@ -128,7 +128,7 @@ def without_items(df: DataFrame, items: DataFrame, *, text: str = "text", shingl
     """The rows of df that contain no test item; columns stay as they are."""
     out = df
     for index in indexes(items, shingle=shingle):
-        out = out.withColumn("_found", matches_column(df.sparkSession, index, text, shingle, containment)).where(F.size("_found") == 0).drop("_found")
+        out = out.withColumn("__found", matches_column(df.sparkSession, index, text, shingle, containment)).where(F.size("__found") == 0).drop("__found")
     return out
 
 

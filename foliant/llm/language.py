@@ -135,8 +135,9 @@ def predict_column(spark: SparkSession, model: Model, text: str) -> Column:
 
 def identify(df: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     """The rows of df with `lang_pred` and `score` (0 to 1); columns of these names are replaced, others stay."""
-    out = df.withColumn("_pred", predict_column(df.sparkSession, model, text))
-    return out.select(*(df[c] for c in df.columns if c not in ("lang_pred", "score")), "_pred.lang_pred", "_pred.score")
+    kept = [c for c in df.columns if c not in ("lang_pred", "score")]
+    out = df.select(*(df[c] for c in kept), predict_column(df.sparkSession, model, text).alias("__pred"))
+    return out.select(*kept, "__pred.lang_pred", "__pred.score")
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -202,15 +202,15 @@ def scan(df: DataFrame, *, text: str = "text", base: tuple[tuple[str, str], ...]
     phrases = [{"label": label, "keyword": "licen", "priority": 60, "pattern": rf"(?<![^ ]){phrase}(?![^ ])", "place": i} for i, (phrase, label) in enumerate(base)]
     table = F.from_json(F.lit(json.dumps(phrases)), "array<struct<label: string, keyword: string, priority: int, pattern: string, place: int>>")
     added = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections")
-    rows = df.select(*(df[c] for c in df.columns if c not in added), F.regexp_count(value, F.lit(RAW_WORD)).cast("long").alias("n_words"), line.alias("_line"))
+    rows = df.select(*(df[c] for c in df.columns if c not in added), F.regexp_count(value, F.lit(RAW_WORD)).cast("long").alias("n_words"), line.alias("__line"))
     none = F.array().cast(f"array<{HIT}>")
-    rows = rows.withColumn("_base", F.when(F.col("_line").isNotNull(), F.flatten(F.transform(table, lambda r: _hits(F.col("_line"), r)))).otherwise(none))
-    rows = rows.withColumn("detections", F.when(F.col("_line").isNotNull(), detections(F.col("_line"), known or rules())).otherwise(none))
+    rows = rows.withColumn("__base", F.when(F.col("__line").isNotNull(), F.flatten(F.transform(table, lambda r: _hits(F.col("__line"), r)))).otherwise(none))
+    rows = rows.withColumn("detections", F.when(F.col("__line").isNotNull(), detections(F.col("__line"), known or rules())).otherwise(none))
     names = lambda hits: F.array_join(F.array_sort(F.array_distinct(F.transform(hits, lambda h: h.label))), ",")
-    starts, both = F.transform("_base", lambda h: h.start), F.concat("_base", "detections")
+    starts, both = F.transform("__base", lambda h: h.start), F.concat("__base", "detections")
     return rows.select(
-        *(c for c in rows.columns if c not in ("_line", "_base", "detections")), F.size("_base").cast("long").alias("n_base"),
-        F.array_min(starts).cast("long").alias("first_word"), F.array_max(starts).cast("long").alias("last_word"), names(F.col("_base")).alias("base_labels"), names(both).alias("labels"),
+        *(c for c in rows.columns if c not in ("__line", "__base", "detections")), F.size("__base").cast("long").alias("n_base"),
+        F.array_min(starts).cast("long").alias("first_word"), F.array_max(starts).cast("long").alias("last_word"), names(F.col("__base")).alias("base_labels"), names(both).alias("labels"),
         F.coalesce(F.array_max(F.transform(both, lambda h: h.priority)) / 100, F.lit(0.0)).alias("score"), "detections",
     )
 

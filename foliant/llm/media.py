@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -398,14 +399,12 @@ def decoded(df: DataFrame, content: str) -> DataFrame:
     JPEGs; all three are null for null. Columns of these names are replaced. What is no progressive JPEG is an error."""
 
     @F.pandas_udf("height int, width int, rgb binary")
-    def decode(values):
-        import pandas as pd
-
+    def decode(values: pd.Series) -> pd.DataFrame:
         images = [None if x is None else Image(bytes(x)).rgb() for x in values]
         return pd.DataFrame([(None, None, None) if x is None else (*x.shape[:2], x.tobytes()) for x in images], columns=["height", "width", "rgb"])
 
-    out = df.withColumn("_media", decode(F.col(content)))
-    return out.select(*(df[c] for c in df.columns if c not in ("height", "width", "rgb")), "_media.*")
+    kept = [c for c in df.columns if c not in ("height", "width", "rgb")]
+    return df.select(*(df[c] for c in kept), decode(F.col(content)).alias("__media")).select(*kept, "__media.*")
 
 
 SCHEMA = pa.schema(

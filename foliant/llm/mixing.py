@@ -83,13 +83,15 @@ def mix(
         F.col("s").alias("_s"), "source_size", "target", "whole", "rest", F.coalesce("cut", F.lit(False)).alias("cut"), "last", "first"
     )
     plan = saved(plan, "mix-limits", scope)
-    added = {"size", "source_size", "target", "repetitions"}
-    rows = df.withColumn("_h", hashed).withColumn("_size", word_count(F.col(text)))
-    joined = rows.join(lookup(plan), F.col(source).eqNullSafe(F.col("_s")), "left")
-    once_more = F.when(~F.col("cut"), F.col("rest") > 0).otherwise(F.coalesce(_unsigned("_h") <= F.col("last"), _unsigned("_h") < F.col("first")))
+    added = ("size", "source_size", "target", "repetitions")
+    kept = [c for c in df.columns if c not in added]
+    rows = df.select(*(df[c] for c in kept), hashed.alias("__h"), word_count(F.col(text)).alias("__size"), F.col(source).alias("__of"))
+    known = plan.select(*(F.col(c).alias(f"__{c}") for c in ("_s", "source_size", "target", "whole", "rest", "cut", "last", "first")))
+    joined = rows.join(lookup(known), F.col("__of").eqNullSafe(F.col("___s")), "left")
+    once_more = F.when(~F.col("__cut"), F.col("__rest") > 0).otherwise(F.coalesce(_unsigned("__h") <= F.col("__last"), _unsigned("__h") < F.col("__first")))
     return joined.select(
-        *(df[c] for c in df.columns if c not in added), F.col("_size").alias("size"), joined["source_size"].alias("source_size"), joined["target"].alias("target"),
-        (F.col("whole") + once_more.cast("long")).cast("int").alias("repetitions"),
+        *kept, F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"),
+        (F.col("__whole") + once_more.cast("long")).cast("int").alias("repetitions"),
     )
 
 

@@ -233,10 +233,10 @@ def _verified(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: floa
 def without_near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, scope: str = "") -> DataFrame:
     """The rows of df, one of each group of near-duplicates: that with the smallest doc_id. Columns stay as they are."""
     groups = near_duplicates(df, doc_id=doc_id, text=text, shingle=shingle, similarity=similarity, scope=scope)
-    marked = saved(groups.where("n > 1 or not kept").select(F.col("key").alias("_key"), F.col("keep_id").alias("_keep"), F.col("kept").alias("_kept")), "near-marked", scope)
-    rows = df.withColumn("_of", F.coalesce(digest(F.col(text)), F.lit(b""))).join(lookup(marked), F.col("_of") == F.col("_key"), "left")
-    single = rows.where(F.col("_key").isNull()).select(*df.columns)
-    copies = rows.where(F.col("_kept") & F.col(doc_id).eqNullSafe(F.col("_keep"))).dropDuplicates(["_of"]).select(*df.columns)
+    marked = saved(groups.where("n > 1 or not kept").select(F.col("key").alias("__key"), F.col("keep_id").alias("__keep"), F.col("kept").alias("__kept")), "near-marked", scope)
+    rows = df.withColumn("__of", F.coalesce(digest(F.col(text)), F.lit(b""))).join(lookup(marked), F.col("__of") == F.col("__key"), "left")
+    single = rows.where(F.col("__key").isNull()).select(*df.columns)
+    copies = rows.where(F.col("__kept") & F.col(doc_id).eqNullSafe(F.col("__keep"))).dropDuplicates(["__of"]).select(*df.columns)
     return single.unionByName(copies)
 
 

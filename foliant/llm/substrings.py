@@ -89,7 +89,7 @@ def covered(hits: DataFrame) -> DataFrame:
 def without_repeats(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, scope: str = "") -> DataFrame:
     """The rows of df, their texts without the sentences that a non-first repeated span covers; null texts stay null."""
     cuts = covered(repeated_spans(df, doc_id=doc_id, text=text, min_sentences=min_sentences, min_words=min_words, scope=scope))
-    cuts = saved(cuts.groupBy(F.col("doc_id").alias("_of")).agg(F.collect_list(F.struct("first", "last")).alias("_cuts")), "span-cuts", scope)
+    cuts = saved(cuts.groupBy(F.col("doc_id").alias("__of")).agg(F.collect_list(F.struct("first", "last")).alias("__cuts")), "span-cuts", scope)
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, cuts: pd.Series) -> pd.Series:
@@ -102,8 +102,8 @@ def without_repeats(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
             out.append(x)
         return pd.Series(out, dtype=object)
 
-    joined = df.join(lookup(cuts), F.col(doc_id).eqNullSafe(F.col("_of")), "left")
-    return joined.withColumn("_new", cut(F.col(text), F.col("_cuts"))).select(*(F.col("_new").alias(c) if c == text else df[c] for c in df.columns))
+    joined = df.join(lookup(cuts), F.col(doc_id).eqNullSafe(F.col("__of")), "left")
+    return joined.withColumn("__new", cut(F.col(text), F.col("__cuts"))).select(*(F.col("__new").alias(c) if c == text else df[c] for c in df.columns))
 
 
 def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
