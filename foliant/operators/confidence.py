@@ -9,8 +9,8 @@ from foliant.functions import scalars
 
 
 def rounded(c: Column) -> Column:
-    """The order of summation is the engine's: figures are told to 6 places."""
-    return F.round(c, 6)
+    """The order of summation is the engine's: figures are told to 6 places, and halves (less what sums lose) go up."""
+    return F.round(c + 1e-9, 6)
 
 
 def stats(df: DataFrame, *by: str, value: str = "confidence") -> DataFrame:

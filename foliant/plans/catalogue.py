@@ -58,7 +58,7 @@ def _regions(tokens: DataFrame) -> DataFrame:
 @query(
     "doc_summary",
     rf"""WITH {TOKENS}, sizes AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''))::BIGINT AS word_count, length(text)::BIGINT AS char_count, len(string_split(text, chr(10)))::BIGINT AS page_count FROM documents),
-found AS (SELECT doc_id, round(avg(confidence), 6) AS a, round(median(confidence), 6) AS m, round(stddev_pop(confidence), 6) AS s, min(confidence) AS lo, max(confidence) AS hi,
+found AS (SELECT doc_id, round(avg(confidence) + 1e-9, 6) AS a, round(median(confidence) + 1e-9, 6) AS m, round(stddev_pop(confidence) + 1e-9, 6) AS s, min(confidence) AS lo, max(confidence) AS hi,
   count(*) FILTER (confidence > 0.9) AS h, count(*) FILTER (confidence BETWEEN 0.7 AND 0.9) AS d, count(*) FILTER (confidence < 0.7) AS l FROM tokens GROUP BY doc_id)
 SELECT doc_id, page_count, word_count, char_count, coalesce(a, 0) AS avg_confidence, coalesce(m, 0) AS median_confidence, coalesce(s, 0) AS std_confidence, coalesce(lo, 0) AS min_confidence, coalesce(hi, 0) AS max_confidence,
   coalesce(h, 0) AS high_count, coalesce(d, 0) AS medium_count, coalesce(l, 0) AS low_count FROM sizes LEFT JOIN found USING (doc_id)""",
@@ -69,7 +69,7 @@ def doc_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "doc_confidence_stats",
-    f"""WITH {TOKENS} SELECT doc_id, count(*) AS n, round(avg(confidence), 6) AS mean, round(median(confidence), 6) AS median, round(stddev_pop(confidence), 6) AS std, min(confidence) AS least, max(confidence) AS most FROM tokens GROUP BY doc_id""",
+    f"""WITH {TOKENS} SELECT doc_id, count(*) AS n, round(avg(confidence) + 1e-9, 6) AS mean, round(median(confidence) + 1e-9, 6) AS median, round(stddev_pop(confidence) + 1e-9, 6) AS std, min(confidence) AS least, max(confidence) AS most FROM tokens GROUP BY doc_id""",
 )
 def doc_confidence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confidence.stats(tables.tokens(spark, sf_dir), "doc_id")
@@ -83,7 +83,7 @@ def quality_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "quality_pct",
     f"""WITH {TOKENS}, q AS (SELECT count(*) FILTER (confidence > 0.9) AS h, count(*) FILTER (confidence BETWEEN 0.7 AND 0.9) AS m, count(*) FILTER (confidence < 0.7) AS l, count(*) AS n FROM tokens)
-SELECT h AS high_count, round(h / n * 100, 6) AS high_pct, m AS medium_count, round(m / n * 100, 6) AS medium_pct, l AS low_count, round(l / n * 100, 6) AS low_pct FROM q""",
+SELECT h AS high_count, round(h / n * 100 + 1e-9, 6) AS high_pct, m AS medium_count, round(m / n * 100 + 1e-9, 6) AS medium_pct, l AS low_count, round(l / n * 100 + 1e-9, 6) AS low_pct FROM q""",
 )
 def quality_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confidence.bucket_shares(tables.tokens(spark, sf_dir))
@@ -102,7 +102,7 @@ def token_length_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "macro_vs_micro_confidence",
     f"""WITH {TOKENS}, d AS (SELECT doc_id, avg(confidence) AS mean, sum(confidence) AS total, count(*) AS n FROM tokens GROUP BY doc_id)
-SELECT count(*) AS documents, sum(n)::BIGINT AS tokens, round(avg(mean), 6) AS macro, round(sum(total) / sum(n), 6) AS micro FROM d""",
+SELECT count(*) AS documents, sum(n)::BIGINT AS tokens, round(avg(mean) + 1e-9, 6) AS macro, round(sum(total) / sum(n) + 1e-9, 6) AS micro FROM d""",
 )
 def macro_vs_micro_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confidence.macro_and_micro(tables.tokens(spark, sf_dir))
@@ -110,12 +110,12 @@ def macro_vs_micro_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "document_records",
-    f"""WITH {TOKENS} SELECT doc_id, count(*) AS word_count, count(DISTINCT page_num) AS page_count, round(avg(confidence), 6) AS avg_confidence, 'Document ' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '' ELSE ' with a name that is far too long' END AS name,
+    f"""WITH {TOKENS} SELECT doc_id, count(*) AS word_count, count(DISTINCT page_num) AS page_count, round(avg(confidence) + 1e-9, 6) AS avg_confidence, 'Document ' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '' ELSE ' with a name that is far too long' END AS name,
   CASE WHEN length(name) > 30 THEN substr(name, 1, 30) || '...' ELSE name END AS short_name FROM tokens GROUP BY doc_id""",
 )
 def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = tables.tokens(spark, sf_dir).groupBy("doc_id", "page_num").agg(F.count("*").alias("n"), F.sum("confidence").alias("c")).groupBy("doc_id")
-    found = by.agg(F.sum("n").alias("word_count"), F.count("*").alias("page_count"), F.round(F.sum("c") / F.sum("n"), 6).alias("avg_confidence"))
+    found = by.agg(F.sum("n").alias("word_count"), F.count("*").alias("page_count"), confidence.rounded(F.sum("c") / F.sum("n")).alias("avg_confidence"))
     name = F.concat(F.lit("Document "), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, "").otherwise(" with a name that is far too long"))
     return found.withColumn("name", name).withColumn("short_name", scalars.shortened(F.col("name")))
 
@@ -246,11 +246,11 @@ def _line_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tables.tokens(spark, sf_dir).withColumn("region_num", F.floor(F.col("pos") / 15))
     words = F.sort_array(F.collect_list(F.struct("pos", "text")))
     return t.groupBy("doc_id", "page_num", "region_num").agg(
-        F.array_join(F.transform(words, lambda w: w.text), " ").alias("region_text"), F.collect_list("pos").alias("token_ids"), F.min("confidence").alias("least_confidence"), F.round(F.avg("confidence"), 6).alias("confidence"), F.min("x1").alias("x1"), F.min("y1").alias("y1")
+        F.array_join(F.transform(words, lambda w: w.text), " ").alias("region_text"), F.collect_list("pos").alias("token_ids"), F.min("confidence").alias("least_confidence"), confidence.rounded(F.avg("confidence")).alias("confidence"), F.min("x1").alias("x1"), F.min("y1").alias("y1")
     )
 
 
-_REGIONS = "regions AS (SELECT doc_id, page_num, pos // 15 AS region_num, string_agg(text, ' ' ORDER BY pos) AS region_text, count(*) AS n, min(confidence) AS least, round(avg(confidence), 6) AS confidence, min(x1) AS x1, min(y1) AS y1 FROM tokens GROUP BY ALL)"
+_REGIONS = "regions AS (SELECT doc_id, page_num, pos // 15 AS region_num, string_agg(text, ' ' ORDER BY pos) AS region_text, count(*) AS n, min(confidence) AS least, round(avg(confidence) + 1e-9, 6) AS confidence, min(x1) AS x1, min(y1) AS y1 FROM tokens GROUP BY ALL)"
 
 
 @query(
@@ -490,7 +490,7 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.requests(spark, sf_dir).select("request_id", F.get_json_object("metadata", "$.k").cast("long").alias("k"))
 
 
-@query("metric_summary", f"WITH {REQUESTS} SELECT endpoint, count(*) AS n, round(avg(metric_value), 6) AS mean, round(median(metric_value), 6) AS median, round(stddev_pop(metric_value), 6) AS std, min(metric_value) AS least, max(metric_value) AS most FROM requests GROUP BY endpoint")
+@query("metric_summary", f"WITH {REQUESTS} SELECT endpoint, count(*) AS n, round(avg(metric_value) + 1e-9, 6) AS mean, round(median(metric_value) + 1e-9, 6) AS median, round(stddev_pop(metric_value) + 1e-9, 6) AS std, min(metric_value) AS least, max(metric_value) AS most FROM requests GROUP BY endpoint")
 def metric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confidence.stats(tables.requests(spark, sf_dir), "endpoint", value="metric_value")
 
