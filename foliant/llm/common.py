@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -28,6 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _local_dir:
         _local_dir.append(tempfile.mkdtemp(prefix="corpus-"))
+        atexit.register(shutil.rmtree, _local_dir[0], ignore_errors=True)
     return f"file://{_local_dir[0]}"
 
 
