@@ -70,7 +70,7 @@ def repeated_spans(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "first")
     kinds = singles.groupBy("high", "low").agg(F.min(place).alias("at"), F.max(place).alias("to")).where("at <> to")
     kinds = saved(kinds.select("high", "low", F.col("at.doc_id").alias("first_doc_id"), F.col("at.first").alias("at")), "span-kinds", scope)
-    met = singles.join(lookup(kinds), ["high", "low"]).where(~(F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("first") == F.col("at"))))
+    met = singles.join(kinds, ["high", "low"]).where(~(F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("first") == F.col("at"))))
     again = found.where("again").select("doc_id", "first", "last", F.col("doc_id").alias("first_doc_id"))
     return met.select("doc_id", "first", "last", "first_doc_id").unionByName(again)
 
