@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 #: Labelled documents that training reads at most (those with the smallest hashes), and words it keeps at most.
 TRAIN_DOCS, TRAIN_WORDS = 4000, 40_000
 LONGEST = 4
-#: Distinct words whose scores a Python worker remembers.
-REMEMBERED = 1 << 16
+#: Distinct words whose rows a Python worker remembers.
+REMEMBERED = 1 << 17
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -25,7 +25,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 class Model:
-    """Log frequencies by language: words[w] and grams[g] are rows of one number per language."""
+    """Log frequencies of words and n-grams: rows of a table with a number per language."""
 
     def __init__(self, counts: dict[tuple[str, str], int]):
         self.langs = sorted({lang for _, lang in counts}) or ["und"]
@@ -37,22 +37,24 @@ class Model:
             for k in range(1, LONGEST + 1):
                 for g in _grams(word, k):
                     grams[at][g] += n
-        self.words = _logs(words, lambda _: 0, 2)
-        best = {g: row - row.max() - (LONGEST - len(g)) * log(2) for g, row in _logs(grams, len, 2).items()}
-        self.grams = {g: i for i, g in enumerate(best)}
-        self.table = np.array([*best.values()]).reshape(len(best), size)
-
-    def word(self, word: str) -> np.ndarray:
-        """A known word's logs; else the sum over its positions of the longest known n-gram's, each step back costing log 2."""
-        if (known := self.words.get(word)) is not None:
-            return known
-        padded, at, get = f" {word} ", [], self.grams.get
+        known = _logs(words, lambda _: 0, 2)
+        parts = {g: row - row.max() - (LONGEST - len(g)) * log(2) for g, row in _logs(grams, len, 2).items()}
+        #: Rows of the table: the known words' logs, then the n-grams', less their best and log 2 for each step back.
+        self.words = {w: (i,) for i, w in enumerate(known)}
+        self.grams = {g: len(known) + i for i, g in enumerate(parts)}
+        self.table = np.array([*known.values(), *parts.values()]).reshape(len(known) + len(parts), size)
+
+    def rows(self, word: str) -> tuple[int, ...]:
+        """The rows that add up to a word's score: its own, if it is known, or that of the longest known n-gram at each position."""
+        if own := self.words.get(word):
+            return own
+        padded, out, get = f" {word} ", [], self.grams.get
         for i in range(len(padded)):
             for k in range(LONGEST, 0, -1):
                 if (row := get(padded[i : i + k])) is not None:
-                    at.append(row)
+                    out.append(row)
                     break
-        return self.table[at].sum(axis=0)
+        return tuple(out)
 
 
 def _grams(word: str, k: int) -> list[str]:
@@ -72,29 +74,32 @@ def _logs(counts: list[Counter], kind: Callable[[str], int], least: int) -> dict
 
 
 class Scorer:
-    """Predicts whole texts; remembers the scores of words it has met."""
+    """Predicts whole texts; remembers the rows of words it has met."""
 
     def __init__(self, model: Model):
-        self.model, self.rows = model, np.empty((REMEMBERED, len(model.langs)))
-        self.at: dict[str, int] = {}
-
-    def row(self, word: str) -> int:
-        i = self.at.get(word)
-        if i is None:
-            i = self.at[word] = len(self.at)
-            self.rows[i] = self.model.word(word)
-        return i
+        self.model = model
+        self.met: dict[str, tuple[int, ...]] = {}
 
     def predict(self, text: str | None) -> tuple[str, float]:
         counts = Counter(LETTERS.findall((text or "").lower()))
         if not counts:
             return "und", 0.0
-        total, words = np.zeros(len(self.model.langs)), list(counts.items())
-        for i in range(0, len(words), REMEMBERED // 4):
-            part = words[i : i + REMEMBERED // 4]
-            if len(self.at) + len(part) > REMEMBERED:
-                self.at.clear()
-            total += np.array([n for _, n in part], float) @ self.rows[[self.row(w) for w, _ in part]]
+        once: list[int] = []
+        more: list[int] = []
+        times: list[int] = []
+        get, find = self.met.get, self.model.rows
+        for word, n in counts.items():
+            rows = get(word)
+            if rows is None:
+                if len(self.met) >= REMEMBERED:
+                    self.met.clear()
+                rows = self.met[word] = find(word)
+            if n == 1:
+                once += rows
+            else:
+                more += rows
+                times += [n] * len(rows)
+        total = self.model.table[once].sum(axis=0) + np.array(times, float) @ self.model.table[more]
         # The share of the best language, as if the text were of at most 20 words.
         mean = (total - total.max()) * min(1.0, 20 / sum(counts.values()))
         best = int(total.argmax())
