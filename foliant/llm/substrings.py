@@ -14,7 +14,7 @@ from .common import lookup, saved
 #: Sentences end at white space after . ! or ? and at line ends.
 BREAK = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
 #: A span is the shortest run of at least so many sentences that has at least so many words.
-MIN_SENTENCES, MIN_WORDS = 2, 12
+MIN_SENTENCES, MIN_WORDS = 2, 20
 
 
 def sentences(text: str | None) -> list[tuple[int, int]]:

@@ -47,7 +47,7 @@ def roots(nodes, pairs):
 def test_op1(spark, sf, docs):
     first, every = {}, []
     for d, text in sorted(zip(docs.doc_id, docs.text, strict=True)):
-        for h, i, j in substrings.spans(text, 2, 12):
+        for h, i, j in substrings.spans(text, substrings.MIN_SENTENCES, substrings.MIN_WORDS):
             every.append((h, d, i, j))
             first.setdefault(h, (d, i))
     removed = defaultdict(set)
