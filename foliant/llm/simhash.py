@@ -141,6 +141,10 @@ def simhash_components(df: DataFrame, *, doc_id: str = "doc_id", text: str = "te
 # Near-duplicates by similarity of word shingles.
 
 SLOTS, BANDS = 64, 16
+#: Texts of a band with equal values up to which all are compared with each other.
+TOGETHER = 32
+#: Bands further on by whose values larger sets are split.
+STEPS = (1, 3, 5, 7)
 
 
 def minima(digests: list[bytes]) -> tuple[list[int], np.ndarray]:
@@ -166,8 +170,9 @@ def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     kept says whether the text stays for its group, keep_id is the smallest doc_id of the rows with that text. A link
     is a Jaccard similarity of word shingles (A-Z lower-cased) of at least `similarity`, verified on the whole sets of
     shingle hashes. Candidates come from the SimHash grid (3 bits) and, as most pairs at 0.8 differ by more bits than a
-    grid can serve, from bands of a one-permutation MinHash. In each band, texts are compared with the text of the smallest
-    key; those that fail are grouped among themselves, `rounds` times. Texts without words are one group; null texts too.
+    grid can serve, from bands of a one-permutation MinHash. Up to TOGETHER texts that agree in a band are all compared; more
+    of them are split by further bands, and those that are still too many are compared with the text of the smallest key,
+    the ones that fail among themselves, `rounds` times. Texts without words are one group; null texts too.
     """
     texts = df.select(F.coalesce(digest(F.col(text)), F.lit(b"")).alias("key"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     groups = saved(texts.groupBy("key").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n")), "near-texts", scope)
@@ -186,19 +191,24 @@ def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     grid_roots = components(grid, "near-grid", scope)
     same = sketches.select("key", "fp").join(grid_roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
     bands = bands.unionByName(same.select("key", F.lit(BANDS).alias("band"), F.coalesce("root", "fp").alias("value"))).distinct()
-    open_rows, verified = saved(bands, "near-bands", scope), None
+    rows = saved(bands, "near-bands", scope)
+    few, many = _parted(rows, scope)
+    # Of values that many share, each is split by the values of four other bands.
+    split = many.join(sketches.select("key", "bands"), "key").select("key", "band", "value", F.posexplode(F.array(*(F.get("bands", (F.col("band") + step) % BANDS) for step in STEPS))).alias("step", "next"))
+    split = split.select("key", (F.col("band") * len(STEPS) + F.col("step")).alias("band"), F.xxhash64("value", "next").alias("value")).distinct()
+    some, open_rows = _parted(saved(split, "near-split", scope), scope)
+    pairs = few.unionByName(some).distinct()
+    checked = saved(_verified(texts, pairs, shingle, similarity, scope), "near-checked", scope)
+    verified = checked.where("good").select(F.col("head").alias("a"), F.col("key").alias("b"))
     for i in range(rounds):
         heads = saved(open_rows.groupBy("band", "value").agg(F.min("key").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n"), "near-heads", scope)
         rows = saved(open_rows.join(heads, ["band", "value"]).where("key <> head").select("band", "value", "key", "head"), "near-rows", scope)
         if rows.isEmpty():
             break
         checked = saved(_verified(texts, rows.select("key", "head").distinct(), shingle, similarity, scope), "near-checked", scope)
-        good = checked.where("good").select(F.col("head").alias("a"), F.col("key").alias("b"))
-        verified = good if verified is None else verified.unionByName(good)
+        verified = verified.unionByName(checked.where("good").select(F.col("head").alias("a"), F.col("key").alias("b")))
         if i + 1 < rounds:
             open_rows = saved(rows.join(checked.where("not good").select("key", "head"), ["key", "head"]).select("key", "band", "value"), "near-open", scope)
-    if verified is None:
-        return groups.select("key", "keep_id", "n", F.lit(True).alias("kept"))
     roots = components(verified, "near-links", scope)
     ids = saved(groups.join(roots.select(F.col("node").alias("key"), "root"), "key").select("key", "keep_id", "root"), "near-linked", scope)
     best = ids.groupBy("root").agg(F.min(F.struct(F.col("keep_id").isNull(), F.col("keep_id"), F.col("key"))).alias("best"))
@@ -206,6 +216,14 @@ def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     return groups.join(lost, "key", "left").select("key", "keep_id", "n", F.coalesce("stays", F.lit(True)).alias("kept"))
 
 
+def _parted(rows: DataFrame, scope: str) -> tuple[DataFrame, DataFrame]:
+    """All pairs (key, head) of values that up to TOGETHER rows share, and the rows (key, band, value) of the others."""
+    sizes = saved(rows.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1"), "near-sizes", scope)
+    few = saved(rows.join(sizes.where(F.col("n") <= TOGETHER).drop("n"), ["band", "value"]), "near-few", scope)
+    pairs = few.join(few.select("band", "value", F.col("key").alias("head")), ["band", "value"]).where("head < key").select("key", "head")
+    return pairs, saved(rows.join(sizes.where(F.col("n") > TOGETHER).drop("n"), ["band", "value"]).select("key", "band", "value"), "near-many", scope)
+
+
 def _verified(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float, scope: str) -> DataFrame:
     """pairs (key, head) with good: whether the shingle sets are similar. Sets are built once, for texts in pairs only."""
 
