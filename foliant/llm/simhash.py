@@ -141,10 +141,8 @@ def simhash_components(df: DataFrame, *, doc_id: str = "doc_id", text: str = "te
 # Near-duplicates by similarity of word shingles.
 
 SLOTS, BANDS = 64, 16
-#: Texts of a band with equal values up to which all are compared with each other.
-TOGETHER = 32
-#: Bands further on by whose values larger sets are split.
-STEPS = (1, 3, 5, 7)
+#: Buckets in which shingles are counted, to have the rare ones first.
+BUCKETS = 1 << 16
 
 
 def minima(digests: list[bytes]) -> tuple[list[int], np.ndarray]:
@@ -164,16 +162,18 @@ def minima(digests: list[bytes]) -> tuple[list[int], np.ndarray]:
     return [k - (1 << 64) if k >= 1 << 63 else k for k in keys], hashes
 
 
-def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, rounds: int = 4, scope: str = "") -> DataFrame:
+def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, scope: str = "") -> DataFrame:
     """Distinct texts in groups of near-duplicates: key (digest of the text), keep_id, n_keep, kept.
 
     kept says whether the text stays for its group, keep_id is the smallest doc_id of the rows with that text. A link
     is a Jaccard similarity of word shingles (A-Z lower-cased) of at least `similarity`, verified on the whole sets of
     shingle hashes. Candidates come from the SimHash grid (3 bits) and, as most pairs at 0.8 differ by more bits than a
-    grid can serve, from bands of a one-permutation MinHash. Up to TOGETHER texts that agree in a band are all compared; more
-    of them are split by further bands, and those that are still too many are compared with the text of the smallest key,
-    the ones that fail among themselves, `rounds` times. Texts without words are one group; null texts too.
+    grid can serve, from bands of a one-permutation MinHash. Among the texts that agree with another in a band, however
+    many they are, groups are those of all pairs: each is compared with the smallest text of its bands, and what that
+    leaves apart is joined by rare shingles, without loss. Texts without words are one group; null texts too.
     """
+    if not 0 < similarity <= 1:
+        raise ValueError("similarity is above 0 and at most 1")
     texts = df.select(F.coalesce(digest(F.col(text)), F.lit(b"")).alias("key"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     groups = saved(texts.groupBy("key").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n")), "near-texts", scope)
 
@@ -185,6 +185,10 @@ def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
             out.append((fingerprint(d), minima(d)[0] if d else [0] * BANDS))
         return pd.DataFrame(out, columns=["fp", "bands"])
 
+    @F.pandas_udf("binary")
+    def shingles(values: pd.Series) -> pd.Series:
+        return pd.Series([minima(d)[1].tobytes() if (d := shingle_digests(x, shingle)) else b"" for x in values])
+
     sketches = saved(texts.select("key", sketch("text").alias("s")).select("key", "s.*"), "near-sketches", scope)
     bands = sketches.select("key", F.posexplode("bands").alias("band", "value"))
     grid = links(sketches.select("fp").distinct(), 3, CELL, scope)
@@ -192,60 +196,82 @@ def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     same = sketches.select("key", "fp").join(grid_roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
     bands = bands.unionByName(same.select("key", F.lit(BANDS).alias("band"), F.coalesce("root", "fp").alias("value"))).distinct()
     rows = saved(bands, "near-bands", scope)
-    few, many = _parted(rows, scope)
-    # Of values that many share, each is split by the values of four other bands.
-    split = many.join(sketches.select("key", "bands"), "key").select("key", "band", "value", F.posexplode(F.array(*(F.get("bands", (F.col("band") + step) % BANDS) for step in STEPS))).alias("step", "next"))
-    split = split.select("key", (F.col("band") * len(STEPS) + F.col("step")).alias("band"), F.xxhash64("value", "next").alias("value")).distinct()
-    some, open_rows = _parted(saved(split, "near-split", scope), scope)
-    pairs = few.unionByName(some).distinct()
-    checked = saved(_verified(texts, pairs, shingle, similarity, scope), "near-checked", scope)
-    verified = checked.where("good").select(F.col("head").alias("a"), F.col("key").alias("b"))
-    for i in range(rounds):
-        heads = saved(open_rows.groupBy("band", "value").agg(F.min("key").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n"), "near-heads", scope)
-        rows = saved(open_rows.join(heads, ["band", "value"]).where("key <> head").select("band", "value", "key", "head"), "near-rows", scope)
-        if rows.isEmpty():
-            break
-        checked = saved(_verified(texts, rows.select("key", "head").distinct(), shingle, similarity, scope), "near-checked", scope)
-        verified = verified.unionByName(checked.where("good").select(F.col("head").alias("a"), F.col("key").alias("b")))
-        if i + 1 < rounds:
-            open_rows = saved(rows.join(checked.where("not good").select("key", "head"), ["key", "head"]).select("key", "band", "value"), "near-open", scope)
-    roots = components(verified, "near-links", scope)
-    ids = saved(groups.join(roots.select(F.col("node").alias("key"), "root"), "key").select("key", "keep_id", "root"), "near-linked", scope)
-    best = ids.groupBy("root").agg(F.min(F.struct(F.col("keep_id").isNull(), F.col("keep_id"), F.col("key"))).alias("best"))
-    lost = ids.join(best, "root").where(F.col("best.key") != F.col("key")).select("key", F.lit(False).alias("stays"))
+    shared = saved(rows.groupBy("band", "value").agg(F.min("key").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n"), "near-heads", scope)
+    rows = saved(rows.join(shared, ["band", "value"]).select("key", "head").distinct(), "near-rows", scope)
+    # The sets of shingles, built once, with numbers for the texts.
+    needed = texts.join(lookup(saved(rows.select("key").distinct(), "near-wanted", scope)), "key", "left_semi")
+    sets = needed.groupBy("key").agg(F.first("text").alias("text")).select("key", shingles("text").alias("set"))
+    sets = saved(sets.select(F.monotonically_increasing_id().alias("id"), "key", (F.length("set") / 8).cast("int").alias("size"), "set"), "near-sets", scope)
+    ids = sets.select("key", "id")
+    pairs = rows.where("key <> head").join(ids.withColumnRenamed("id", "a"), "key").join(ids.select(F.col("key").alias("head"), F.col("id").alias("b")), "head").select("a", "b")
+    near = saved(_verified(sets, pairs, similarity), "near-first", scope)
+    apart = _rare_pairs(sets, components(near, "near-links", scope), similarity, scope)
+    near = near.unionByName(saved(_verified(sets, apart, similarity), "near-rest", scope))
+    roots = components(near, "near-links", scope).join(ids.withColumnRenamed("id", "node"), "node").select("key", "root")
+    found = saved(groups.join(roots, "key").select("key", "keep_id", "root"), "near-linked", scope)
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("keep_id").isNull(), F.col("keep_id"), F.col("key"))).alias("best"))
+    lost = found.join(best, "root").where(F.col("best.key") != F.col("key")).select("key", F.lit(False).alias("stays"))
     return groups.join(lost, "key", "left").select("key", "keep_id", "n", F.coalesce("stays", F.lit(True)).alias("kept"))
 
 
-def _parted(rows: DataFrame, scope: str) -> tuple[DataFrame, DataFrame]:
-    """All pairs (key, head) of values that up to TOGETHER rows share, and the rows (key, band, value) of the others."""
-    sizes = saved(rows.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1"), "near-sizes", scope)
-    few = saved(rows.join(sizes.where(F.col("n") <= TOGETHER).drop("n"), ["band", "value"]), "near-few", scope)
-    pairs = few.join(few.select("band", "value", F.col("key").alias("head")), ["band", "value"]).where("head < key").select("key", "head")
-    return pairs, saved(rows.join(sizes.where(F.col("n") > TOGETHER).drop("n"), ["band", "value"]).select("key", "band", "value"), "near-many", scope)
+def _rare_pairs(sets: DataFrame, roots: DataFrame, similarity: float, scope: str) -> DataFrame:
+    """Pairs (a, b) of texts with different roots, among them all that are similar (prefix-filtered set join).
 
+    In any order of all shingles, the first one that two similar sets share is so early in both that what follows
+    still suffices; only those early shingles are joined. Rare ones first, so that few texts meet: the order is by the
+    count of a shingle's bucket and then by the hash, and no order loses a pair.
+    """
 
-def _verified(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float, scope: str) -> DataFrame:
-    """pairs (key, head) with good: whether the shingle sets are similar. Sets are built once, for texts in pairs only."""
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(BUCKETS, np.int64)
+        for x in batches:
+            for s in x["set"]:
+                total += np.bincount((np.frombuffer(s, np.uint64) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"bucket": at, "n": total[at]})
 
-    @F.pandas_udf("binary")
-    def shingles(values: pd.Series) -> pd.Series:
-        return pd.Series([minima(d)[1].tobytes() if (d := shingle_digests(x, shingle)) else b"" for x in values])
+    counts = np.zeros(BUCKETS, np.int64)
+    for r in sets.select("set").mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        counts[r["bucket"]] = r["n"]
 
-    wanted = pairs.select("key").union(pairs.select(F.col("head").alias("key"))).distinct()
-    needed = texts.join(lookup(saved(wanted, "near-wanted", scope)), "key", "left_semi")
-    sets = saved(needed.groupBy("key").agg(F.first("text").alias("text")).select("key", shingles("text").alias("set")), "near-sets", scope)
-    both = pairs.join(sets.select("key", "set"), "key").join(sets.select(F.col("key").alias("head"), F.col("set").alias("head_set")), "head")
+    @F.pandas_udf("array<long>")
+    def early(values: pd.Series) -> pd.Series:
+        out = []
+        for s in values:
+            h = np.frombuffer(s, np.uint64)
+            order = np.lexsort((h, counts[(h % np.uint64(BUCKETS)).astype(np.int64)]))
+            out.append(h[order[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]].view(np.int64))
+        return pd.Series(out)
+
+    marked = sets.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"), "size", "set")
+    each = saved(marked.select("id", "root", "size", F.posexplode(early("set")).alias("at", "hash")), "near-early", scope)
+    # Shingles of one root only need no comparison.
+    met = saved(each.groupBy("hash").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("hash"), "near-met", scope)
+    each = saved(each.join(lookup(met), "hash", "left_semi"), "near-early", scope)
+    most = similarity / (1 + similarity)
+    x = each.select("hash", *(F.col(c).alias(f"x_{c}") for c in ("id", "root", "size", "at")))
+    y = each.where(F.col("size") - F.col("at") >= 2 * most * F.col("size") - 1e-9).select("hash", *(F.col(c).alias(f"y_{c}") for c in ("id", "root", "size", "at")))
+    longer = (F.col("x_size") > F.col("y_size")) | (F.col("x_size") == F.col("y_size")) & (F.col("x_id") > F.col("y_id"))
+    left = F.least(F.col("x_size") - F.col("x_at"), F.col("y_size") - F.col("y_at"))
+    enough = (F.col("y_size") >= similarity * F.col("x_size") - 1e-9) & (left >= most * (F.col("x_size") + F.col("y_size")) - 1e-9)
+    pairs = x.join(y, "hash").where((F.col("x_root") != F.col("y_root")) & longer & enough)
+    return pairs.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
+
+
+def _verified(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose shingle sets are similar."""
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("a_set")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("b_set")), "b")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             good = []
-            for a, b in zip(x["set"], x["head_set"], strict=True):
+            for a, b in zip(x["a_set"], x["b_set"], strict=True):
                 a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
                 both = len(np.intersect1d(a, b, assume_unique=True)) if min(len(a), len(b)) >= similarity * max(len(a), len(b)) else 0
                 good.append(both >= similarity * (len(a) + len(b) - both))
-            yield pd.DataFrame({"key": x["key"], "head": x["head"], "good": good})
+            yield x.loc[np.array(good, bool), ["a", "b"]]
 
-    return both.select("key", "head", "set", "head_set").mapInPandas(check, "key binary, head binary, good boolean")
+    return both.select("a", "b", "a_set", "b_set").mapInPandas(check, "a long, b long")
 
 
 def without_near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, scope: str = "") -> DataFrame:
