@@ -13,7 +13,7 @@ from .common import lookup, saved
 
 #: Sentences end at white space after . ! or ? and at line ends.
 BREAK = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
-#: A span is the shortest run of at least so many sentences that has at least so many words.
+#: A span is the shortest run of at least so many sentences, with at least so many words, that begins or ends somewhere.
 MIN_SENTENCES, MIN_WORDS = 2, 20
 
 
@@ -30,19 +30,31 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
 
 
 def spans(text: str | None, min_sentences: int, min_words: int) -> list[tuple[bytes, int, int]]:
-    """(hash, first, last) of the span that begins at each sentence, where one does; white space is made one space."""
+    """(hash, first, last) of the spans that begin or end at each sentence, in order; white space is made one space.
+
+    Of any run with enough sentences and words, every sentence lies in a span within the run: in the one that begins
+    with the run, or, if that ends before it, in the one that ends with the sentence.
+    """
     words = [text[a:b].split() for a, b in sentences(text)]
     lines, sizes = [" ".join(w) for w in words], [len(w) for w in words]
-    out, end, count = [], 0, 0
+    found, end, count = set(), 0, 0
     for i in range(len(lines)):
         while end < len(lines) and (end - i < min_sentences or count < min_words):
             count += sizes[end]
             end += 1
         if end - i < min_sentences or count < min_words:
             break
-        out.append((xxhash.xxh128_digest("\n".join(lines[i:end])), i, end - 1))
+        found.add((i, end - 1))
         count -= sizes[i]
-    return out
+    start, count = 0, 0
+    for j in range(len(lines)):
+        count += sizes[j]
+        while j - start >= min_sentences and count - sizes[start] >= min_words:
+            count -= sizes[start]
+            start += 1
+        if j + 1 - start >= min_sentences and count >= min_words:
+            found.add((start, j))
+    return [(xxhash.xxh128_digest("\n".join(lines[i : j + 1])), i, j) for i, j in sorted(found)]
 
 
 def repeated_spans(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, scope: str = "") -> DataFrame:

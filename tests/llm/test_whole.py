@@ -1,6 +1,6 @@
 """Cases in which a shortcut would lose part of the job."""
 
-from foliant.llm import simhash
+from foliant.llm import simhash, substrings
 
 
 def test_near_duplicates_in_large_sets(spark):
@@ -9,3 +9,12 @@ def test_near_duplicates_in_large_sets(spark):
     texts = [(2 * i + j, " ".join(passage + [f"q{i}x{k}" for k in range(4)] + [f"r{i}x{j}x{k}" for k in range(22)])) for i in range(60) for j in (0, 1)]
     kept = simhash.without_near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 120, 2))
+
+
+def test_short_sentences_behind_a_long_one(spark):
+    """Sentences of 30, 6 and 5 words repeat; what stands around them differs."""
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n)) + "."
+    passage = " ".join(words(name, n) for name, n in (("a", 30), ("b", 6), ("c", 5)))
+    frame = spark.createDataFrame([(i, f"{words(f'x{i}y', 25)} {passage} {words(f'z{i}y', 25)}") for i in (1, 2)], "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in substrings.without_repeats(frame).collect()}
+    assert passage in clean[1] and clean[2] == f"{words('x2y', 25)} {words('z2y', 25)}"
