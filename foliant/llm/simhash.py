@@ -10,7 +10,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, digest, lookup, saved
+from .common import components, lookup, saved
+from .words import shingle_hashes
 
 SEED = 42
 #: Fingerprints in a cell of the grid up to which its pairs are compared one by one.
@@ -33,19 +34,19 @@ def shingle_digests(text: str | None, k: int) -> list[bytes]:
     return [xxhash.xxh64_digest(line[a:b], SEED) for a, b in zip((end - size).tolist(), end[k - 1 :].tolist(), strict=False)]
 
 
-def fingerprint(digests: list[bytes]) -> int:
-    """Bit i is set if it is set in over half the digests; signed 64 bits."""
+def fingerprint(hashes: np.ndarray) -> int:
+    """Bit i is set if it is set in over half the hashes; signed 64 bits."""
     counts = np.zeros(64, np.int64)
-    for i in range(0, len(digests), BLOCK):
-        bits = np.unpackbits(np.frombuffer(b"".join(digests[i : i + BLOCK]), np.uint8).reshape(-1, 8), axis=1)
+    for i in range(0, len(hashes), BLOCK):
+        bits = np.unpackbits(hashes[i : i + BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
         counts += bits.sum(axis=0, dtype=np.int32)
-    return int(np.packbits(2 * counts > len(digests)).view(">i8")[0])
+    return int(np.packbits(2 * counts > len(hashes)).view(">i8")[0])
 
 
 def fingerprint_column(text: str, shingle: int) -> Column:
     @F.pandas_udf("long")
     def simhash(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(shingle_digests(x, shingle)) for x in texts], dtype="int64")
+        return pd.Series([fingerprint(np.frombuffer(b"".join(shingle_digests(x, shingle)), ">u8")) for x in texts], dtype="int64")
 
     return simhash(F.col(text))
 
@@ -140,126 +141,144 @@ def simhash_components(df: DataFrame, *, doc_id: str = "doc_id", text: str = "te
 
 # Near-duplicates by similarity of word shingles.
 
-SLOTS, BANDS = 64, 16
-#: Buckets in which shingles are counted, to have the rare ones first.
-BUCKETS = 1 << 16
+#: Buckets (a power of two) in which shingles are counted, to have the rare ones first: at least and at most.
+BUCKET_BITS = 16, 22
+WORDS = r"[^\x20\x09-\x0D]"
 
 
-def minima(digests: list[bytes]) -> tuple[list[int], np.ndarray]:
-    """16 band keys of a one-permutation MinHash of 64 slots, and the distinct shingle hashes in order."""
-    hashes = np.unique(np.frombuffer(b"".join(digests), ">u8").astype(np.uint64))
-    first = np.searchsorted(hashes, np.arange(SLOTS, dtype=np.uint64) << np.uint64(58))
-    full = np.append(first[1:], len(hashes)) > first
-    at = np.flatnonzero(full)
-    # An empty slot borrows from the next full one, marked by how far it went.
-    nearest = at[np.searchsorted(at, np.arange(SLOTS)) % len(at)]
-    steps = ((nearest - np.arange(SLOTS)) % SLOTS).astype(np.uint64)
-    with np.errstate(over="ignore"):
-        slots = (hashes[first[nearest]] + steps * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint64)
-    rows = slots.astype("<u8").tobytes()
-    width = len(rows) // BANDS
-    keys = [xxhash.xxh64_intdigest(rows[i * width : (i + 1) * width], i) for i in range(BANDS)]
-    return [k - (1 << 64) if k >= 1 << 63 else k for k in keys], hashes
+def _prefix(size: Column | np.ndarray | int, similarity: float):
+    """How many of a set's first shingles have one that a similar set shares, in any common order of all shingles."""
+    ceil = F.ceil if isinstance(size, Column) else np.ceil
+    return size - ceil(similarity * size - 1e-9) + 1
+
+
+def _rarity(df: DataFrame, text: str, shingle: int, rows: int) -> np.ndarray:
+    """For each bucket of shingle hashes how many shingles all rows have in it, as a rounded logarithm.
+
+    There are more buckets for more rows, up to a bound: 4 MB that every worker gets.
+    """
+    bits = min(BUCKET_BITS[1], max(BUCKET_BITS[0], (rows // 16).bit_length()))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(1 << bits, np.int64)
+        for x in batches:
+            for t in x["text"]:
+                total += np.bincount((shingle_hashes(t, shingle) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"bucket": at, "n": total[at]})
+
+    counted = df.select(F.col(text).alias("text")).mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    found = counted.select("bucket", F.round(F.log2(F.col("n") + 1) * 6).cast("int").alias("log")).toPandas()
+    out = np.zeros(1 << bits, np.uint8)
+    out[found["bucket"].to_numpy(int)] = found["log"].to_numpy(int)
+    return out
+
+
+def text_id(text: Column) -> Column:
+    """64 bits of a text's SHA-256, 0 for all texts without words: of 10^10 texts, about three pairs are taken for equal."""
+    bits = F.conv(F.substring(F.sha2(text, 256), 1, 16), 16, -10).cast("long")
+    return F.when(F.coalesce(text.rlike(WORDS), F.lit(False)), bits).otherwise(F.lit(0).cast("long"))
 
 
 def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, scope: str = "") -> DataFrame:
-    """Distinct texts in groups of near-duplicates: key (digest of the text), keep_id, n_keep, kept.
-
-    kept says whether the text stays for its group, keep_id is the smallest doc_id of the rows with that text. A link
-    is a Jaccard similarity of word shingles (A-Z lower-cased) of at least `similarity`, verified on the whole sets of
-    shingle hashes. Candidates come from the SimHash grid (3 bits) and, as most pairs at 0.8 differ by more bits than a
-    grid can serve, from bands of a one-permutation MinHash. Among the texts that agree with another in a band, however
-    many they are, groups are those of all pairs: each is compared with the smallest text of its bands, and what that
-    leaves apart is joined by rare shingles, without loss. Texts without words are one group; null texts too.
+    """Distinct texts in groups of near-duplicates: id (64 bits of the text's digest), keep_id, n, kept.
+
+    kept says whether the text stays for its group: that with the smallest doc_id, null last. keep_id is the smallest
+    doc_id of the n rows with that text. A link is a Jaccard similarity of word shingles (A-Z lower-cased, 64-bit hashes)
+    of at least `similarity`, verified on the whole sets; groups are those of all links, none is left out.
+
+    Links within 3 bits of SimHash fingerprints come from the grid. As most pairs at 0.8 differ by more bits than a grid
+    can serve, the others come from a prefix-filtered set join: of any two similar sets, the first shingles, in one
+    order of all, have one in common. Each text is compared with the text that shares most of its own first shingles
+    among those that share some with it, which joins all of a group that has a common origin; what that leaves apart
+    and still meets by a first shingle is compared pair by pair. Texts without words, null ones too, are one group.
     """
     if not 0 < similarity <= 1:
         raise ValueError("similarity is above 0 and at most 1")
-    texts = df.select(F.coalesce(digest(F.col(text)), F.lit(b"")).alias("key"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    groups = saved(texts.groupBy("key").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n")), "near-texts", scope)
+    texts = df.select(text_id(F.col(text)).alias("id"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rarity = df.sparkSession.sparkContext.broadcast(_rarity(df, text, shingle, df.count()))
 
-    @F.pandas_udf("fp long, bands array<long>")
+    @F.pandas_udf("fp long, size int, early array<long>")
     def sketch(values: pd.Series) -> pd.DataFrame:
-        out = []
+        out, known = [], rarity.value
+        shift = np.uint64(64 - (len(known) - 1).bit_length())
         for x in values:
-            d = shingle_digests(x, shingle)
-            out.append((fingerprint(d), minima(d)[0] if d else [0] * BANDS))
-        return pd.DataFrame(out, columns=["fp", "bands"])
-
-    @F.pandas_udf("binary")
-    def shingles(values: pd.Series) -> pd.Series:
-        return pd.Series([minima(d)[1].tobytes() if (d := shingle_digests(x, shingle)) else b"" for x in values])
-
-    sketches = saved(texts.select("key", sketch("text").alias("s")).select("key", "s.*"), "near-sketches", scope)
-    bands = sketches.select("key", F.posexplode("bands").alias("band", "value"))
-    grid = links(sketches.select("fp").distinct(), 3, CELL, scope)
-    grid_roots = components(grid, "near-grid", scope)
-    same = sketches.select("key", "fp").join(grid_roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
-    bands = bands.unionByName(same.select("key", F.lit(BANDS).alias("band"), F.coalesce("root", "fp").alias("value"))).distinct()
-    rows = saved(bands, "near-bands", scope)
-    shared = saved(rows.groupBy("band", "value").agg(F.min("key").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n"), "near-heads", scope)
-    rows = saved(rows.join(shared, ["band", "value"]).select("key", "head").distinct(), "near-rows", scope)
-    # The sets of shingles, built once, with numbers for the texts.
-    needed = texts.join(lookup(saved(rows.select("key").distinct(), "near-wanted", scope)), "key", "left_semi")
-    sets = needed.groupBy("key").agg(F.first("text").alias("text")).select("key", shingles("text").alias("set"))
-    sets = saved(sets.select(F.monotonically_increasing_id().alias("id"), "key", (F.length("set") / 8).cast("int").alias("size"), "set"), "near-sets", scope)
-    ids = sets.select("key", "id")
-    pairs = rows.where("key <> head").join(ids.withColumnRenamed("id", "a"), "key").join(ids.select(F.col("key").alias("head"), F.col("id").alias("b")), "head").select("a", "b")
-    near = saved(_verified(sets, pairs, similarity), "near-first", scope)
-    apart = _rare_pairs(sets, components(near, "near-links", scope), similarity, scope)
-    near = near.unionByName(saved(_verified(sets, apart, similarity), "near-rest", scope))
-    roots = components(near, "near-links", scope).join(ids.withColumnRenamed("id", "node"), "node").select("key", "root")
-    found = saved(groups.join(roots, "key").select("key", "keep_id", "root"), "near-linked", scope)
-    best = found.groupBy("root").agg(F.min(F.struct(F.col("keep_id").isNull(), F.col("keep_id"), F.col("key"))).alias("best"))
-    lost = found.join(best, "root").where(F.col("best.key") != F.col("key")).select("key", F.lit(False).alias("stays"))
-    return groups.join(lost, "key", "left").select("key", "keep_id", "n", F.coalesce("stays", F.lit(True)).alias("kept"))
-
-
-def _rare_pairs(sets: DataFrame, roots: DataFrame, similarity: float, scope: str) -> DataFrame:
-    """Pairs (a, b) of texts with different roots, among them all that are similar (prefix-filtered set join).
-
-    In any order of all shingles, the first one that two similar sets share is so early in both that what follows
-    still suffices; only those early shingles are joined. Rare ones first, so that few texts meet: the order is by the
-    count of a shingle's bucket and then by the hash, and no order loses a pair.
+            h = shingle_hashes(x, shingle)
+            fp, h = fingerprint(h), np.unique(h)
+            order = np.lexsort((h, known[h >> shift]))
+            out.append((fp, len(h), h[order[: int(_prefix(len(h), similarity)) if len(h) else 0]].view(np.int64)))
+        return pd.DataFrame(out, columns=["fp", "size", "early"])
+
+    rows = saved(texts.select("id", "doc_id", sketch("text").alias("s")).select("id", "doc_id", "s.*"), "near-rows", scope)
+    groups = saved(rows.groupBy("id").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n")), "near-texts", scope)
+    each = rows.select("id", "size", F.posexplode("early").alias("at", "hash"))
+    met = each.groupBy("hash").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("hash")
+    each = saved(each.join(saved(met, "near-met", scope), "hash", "left_semi").distinct(), "near-each", scope)
+    pairs = saved(_grid_pairs(rows, scope).unionByName(_hub_pairs(each, similarity)).distinct(), "near-pairs", scope)
+    near = saved(_verified(texts, pairs, shingle, similarity, scope), "near-first", scope)
+    pairs = saved(_open_pairs(each, components(near, "near-links", scope), similarity, scope), "near-open", scope)
+    near = near.unionByName(saved(_verified(texts, pairs, shingle, similarity, scope), "near-rest", scope))
+    roots = components(near, "near-links", scope).withColumnRenamed("node", "id")
+    found = saved(groups.join(roots, "id").select("id", "keep_id", "root"), "near-linked", scope)
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("keep_id").isNull(), F.col("keep_id"), F.col("id"))).alias("best"))
+    lost = found.join(best, "root").where(F.col("best.id") != F.col("id")).select("id", F.lit(False).alias("stays"))
+    return groups.join(lost, "id", "left").select("id", "keep_id", "n", F.coalesce("stays", F.lit(True)).alias("kept"))
+
+
+def _grid_pairs(rows: DataFrame, scope: str) -> DataFrame:
+    """Pairs (a, b) of each text and one of those that grid links of fingerprints connect it with; and of blank texts."""
+    grid = components(links(rows.select("fp").distinct(), 3, CELL, scope), "near-grid", scope).select(F.col("node").alias("fp"), "root")
+    near = rows.select("id", "fp").distinct().join(grid, "fp", "left").select("id", F.coalesce("root", "fp").alias("root"))
+    heads = near.groupBy("root").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head <> last").select("root", "head")
+    return near.join(heads, "root").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
+
+
+def _hub_pairs(each: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of each text and the one text, of those heading its shingles, that heads most of them.
+
+    A shingle is headed by the text of which the largest share of first shingles stands in other texts too: a common
+    origin has no shingles of its own. There is one pair for each row at most, whatever the size of a group.
     """
+    shares = each.groupBy("id", "size").agg(F.count("*").alias("met")).select("id", "size", (F.col("met") / _prefix(F.col("size"), similarity)).alias("share"))
+    marked = each.join(shares.drop("size"), "id")
+    heads = marked.groupBy("hash").agg(F.max_by("id", "share").alias("head"))
+    sizes = shares.select(F.col("id").alias("head"), F.col("size").alias("head_size"))
+    alike = F.least("size", "head_size") >= similarity * F.greatest("size", "head_size") - 1e-9
+    shared = each.join(heads, "hash").where("id <> head").groupBy("id", "size", "head").agg(F.count("*").alias("n"))
+    best = shared.join(sizes, "head").where(alike).groupBy("id").agg(F.max_by("head", "n").alias("head"))
+    return best.select(F.col("id").alias("a"), F.col("head").alias("b"))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(BUCKETS, np.int64)
-        for x in batches:
-            for s in x["set"]:
-                total += np.bincount((np.frombuffer(s, np.uint64) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"bucket": at, "n": total[at]})
 
-    counts = np.zeros(BUCKETS, np.int64)
-    for r in sets.select("set").mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        counts[r["bucket"]] = r["n"]
-
-    @F.pandas_udf("array<long>")
-    def early(values: pd.Series) -> pd.Series:
-        out = []
-        for s in values:
-            h = np.frombuffer(s, np.uint64)
-            order = np.lexsort((h, counts[(h % np.uint64(BUCKETS)).astype(np.int64)]))
-            out.append(h[order[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]].view(np.int64))
-        return pd.Series(out)
-
-    marked = sets.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"), "size", "set")
-    each = saved(marked.select("id", "root", "size", F.posexplode(early("set")).alias("at", "hash")), "near-early", scope)
+def _open_pairs(each: DataFrame, roots: DataFrame, similarity: float, scope: str) -> DataFrame:
+    """Pairs (a, b) of texts with different roots that share a first shingle, among them all that are similar.
+
+    Where two sets meet, what follows in both must still suffice; of the shorter one even fewer shingles need be joined.
+    """
+    marked = each.join(roots.withColumnRenamed("node", "id"), "id", "left").select("hash", "id", "size", "at", F.coalesce("root", "id").alias("root"))
+    marked = saved(marked, "near-marked", scope)
     # Shingles of one root only need no comparison.
-    met = saved(each.groupBy("hash").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("hash"), "near-met", scope)
-    each = saved(each.join(lookup(met), "hash", "left_semi"), "near-early", scope)
+    several = marked.groupBy("hash").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("hash")
+    left = saved(marked.join(several, "hash", "left_semi"), "near-apart", scope)
     most = similarity / (1 + similarity)
-    x = each.select("hash", *(F.col(c).alias(f"x_{c}") for c in ("id", "root", "size", "at")))
-    y = each.where(F.col("size") - F.col("at") >= 2 * most * F.col("size") - 1e-9).select("hash", *(F.col(c).alias(f"y_{c}") for c in ("id", "root", "size", "at")))
+    x = left.select("hash", *(F.col(c).alias(f"x_{c}") for c in ("id", "root", "size", "at")))
+    y = left.where(F.col("size") - F.col("at") >= 2 * most * F.col("size") - 1e-9).select("hash", *(F.col(c).alias(f"y_{c}") for c in ("id", "root", "size", "at")))
     longer = (F.col("x_size") > F.col("y_size")) | (F.col("x_size") == F.col("y_size")) & (F.col("x_id") > F.col("y_id"))
-    left = F.least(F.col("x_size") - F.col("x_at"), F.col("y_size") - F.col("y_at"))
-    enough = (F.col("y_size") >= similarity * F.col("x_size") - 1e-9) & (left >= most * (F.col("x_size") + F.col("y_size")) - 1e-9)
+    rest = F.least(F.col("x_size") - F.col("x_at"), F.col("y_size") - F.col("y_at"))
+    enough = (F.col("y_size") >= similarity * F.col("x_size") - 1e-9) & (rest >= most * (F.col("x_size") + F.col("y_size")) - 1e-9)
     pairs = x.join(y, "hash").where((F.col("x_root") != F.col("y_root")) & longer & enough)
     return pairs.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
 
 
-def _verified(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) whose shingle sets are similar."""
+def _verified(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float, scope: str) -> DataFrame:
+    """Those of the pairs (a, b) whose whole shingle sets are similar; sets are built for the texts of pairs only."""
+
+    @F.pandas_udf("binary")
+    def shingles(values: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(x, shingle)).tobytes() for x in values])
+
+    wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-wanted", scope)
+    one = texts.join(lookup(wanted), "id", "left_semi").groupBy("id").agg(F.any_value("text").alias("text"))
+    sets = saved(one.select("id", shingles("text").alias("set")), "near-sets", scope)
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("a_set")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("b_set")), "b")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -267,8 +286,8 @@ def _verified(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame
             good = []
             for a, b in zip(x["a_set"], x["b_set"], strict=True):
                 a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True)) if min(len(a), len(b)) >= similarity * max(len(a), len(b)) else 0
-                good.append(both >= similarity * (len(a) + len(b) - both))
+                both = len(np.intersect1d(a, b, assume_unique=True)) if min(len(a), len(b)) >= similarity * max(len(a), len(b)) - 1e-9 else 0
+                good.append(both >= similarity * (len(a) + len(b) - both) - 1e-9)
             yield x.loc[np.array(good, bool), ["a", "b"]]
 
     return both.select("a", "b", "a_set", "b_set").mapInPandas(check, "a long, b long")
@@ -277,9 +296,9 @@ def _verified(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame
 def without_near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, scope: str = "") -> DataFrame:
     """The rows of df, one of each group of near-duplicates: that with the smallest doc_id. Columns stay as they are."""
     groups = near_duplicates(df, doc_id=doc_id, text=text, shingle=shingle, similarity=similarity, scope=scope)
-    marked = saved(groups.where("n > 1 or not kept").select(F.col("key").alias("__key"), F.col("keep_id").alias("__keep"), F.col("kept").alias("__kept")), "near-marked", scope)
-    rows = df.withColumn("__of", F.coalesce(digest(F.col(text)), F.lit(b""))).join(lookup(marked), F.col("__of") == F.col("__key"), "left")
-    single = rows.where(F.col("__key").isNull()).select(*df.columns)
+    marked = saved(groups.where("n > 1 or not kept").select(F.col("id").alias("__id"), F.col("keep_id").alias("__keep"), F.col("kept").alias("__kept")), "near-result", scope)
+    rows = df.withColumn("__of", text_id(F.col(text))).join(lookup(marked), F.col("__of") == F.col("__id"), "left")
+    single = rows.where(F.col("__id").isNull()).select(*df.columns)
     copies = rows.where(F.col("__kept") & F.col(doc_id).eqNullSafe(F.col("__keep"))).dropDuplicates(["__of"]).select(*df.columns)
     return single.unionByName(copies)
 

@@ -1,6 +1,8 @@
 """Cases in which a shortcut would lose part of the job."""
 
-from foliant.llm import simhash, substrings
+import numpy as np
+
+from foliant.llm import simhash, substrings, words
 
 
 def test_near_duplicates_in_large_sets(spark):
@@ -13,8 +15,56 @@ def test_near_duplicates_in_large_sets(spark):
 
 def test_short_sentences_behind_a_long_one(spark):
     """Sentences of 30, 6 and 5 words repeat; what stands around them differs."""
-    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n)) + "."
-    passage = " ".join(words(name, n) for name, n in (("a", 30), ("b", 6), ("c", 5)))
-    frame = spark.createDataFrame([(i, f"{words(f'x{i}y', 25)} {passage} {words(f'z{i}y', 25)}") for i in (1, 2)], "doc_id long, text string")
+    run = lambda name, n: " ".join(f"{name}{i}" for i in range(n)) + "."
+    passage = " ".join(run(name, n) for name, n in (("a", 30), ("b", 6), ("c", 5)))
+    frame = spark.createDataFrame([(i, f"{run(f'x{i}y', 25)} {passage} {run(f'z{i}y', 25)}") for i in (1, 2)], "doc_id long, text string")
     clean = {r.doc_id: r.text for r in substrings.without_repeats(frame).collect()}
-    assert passage in clean[1] and clean[2] == f"{words('x2y', 25)} {words('z2y', 25)}"
+    assert passage in clean[1] and clean[2] == f"{run('x2y', 25)} {run('z2y', 25)}"
+
+
+def _brute_kept(texts, k=5, similarity=0.8):
+    """doc_ids that stay, by comparing all pairs."""
+    sets = {d: set(zip(*(t.lower().split()[i:] for i in range(k)), strict=False)) for d, t in texts}
+    parent = {d: d for d in sets}
+
+    def find(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            shared = len(sets[a] & sets[b])
+            if shared >= similarity * (len(sets[a]) + len(sets[b]) - shared) - 1e-9:
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return [d for d in ids if find(d) == d]
+
+
+def test_near_duplicates_of_a_lost_origin(spark):
+    """Texts of 120 words around one passage that stands alone nowhere: many links, none of them with a common head."""
+    rng = np.random.default_rng(4)
+    base = [f"p{i}" for i in range(120)]
+    texts = []
+    for d in range(500):
+        words, edits = list(base), rng.integers(1, 6)
+        for at in rng.integers(0, 120, edits):
+            words[at] = f"e{rng.integers(0, 40)}"
+        texts.append((d, " ".join(words)))
+    want = _brute_kept(texts)
+    assert 1 < len(want) < 490
+    kept = simhash.without_near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == want
+
+
+def test_word_hashes():
+    text = "One  two\tTHREE\nfour " + "x" * 200_000 + " five é " * 20_000
+    h = words.word_hashes(text)
+    plain = [w.lower() for w in text.split()]
+    assert len(h) == len(plain) and len(dict(zip(plain, h.tolist(), strict=True))) == len(set(h.tolist())) == len(set(plain))
+    assert len({(w, x) for w, x in zip(plain, h.tolist(), strict=True)}) == len(set(plain))
+    assert (words.word_hashes("one TWO three") == h[:3]).all() and len(words.word_hashes(None)) == len(words.word_hashes(" \n")) == 0
+    runs = words.shingle_hashes(text, 5)
+    assert len(runs) == len(plain) - 4 and len(set(runs.tolist())) == len(set(zip(*(plain[i:] for i in range(5)), strict=False)))
+    assert len(words.shingle_hashes("a b", 5)) == 1 and words.shingle_hashes("a b", 5)[0] != words.shingle_hashes("b a", 5)[0]
