@@ -11,8 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows up to which a lookup table may be broadcast; beyond it a shuffle join is used.
-BROADCAST_ROWS = 200_000
+#: Bytes up to which a lookup table may be broadcast; beyond it a shuffle join is used.
+BROADCAST_BYTES = 32 << 20
 
 #: Tables written by the stages of a pipeline: (scope, path).
 _written: list[tuple[str, str]] = []
@@ -57,9 +57,18 @@ def release(spark: SparkSession, scope: str) -> None:
         _written.remove(kept)
 
 
-def lookup(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df, to be broadcast if it has at most `limit` rows (counted); else Spark joins by shuffles."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def lookup(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df, to be broadcast if its rows have at most `limit` bytes, 32 a row besides its values (measured); else Spark joins by shuffles."""
+    size = F.lit(32)
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif kind in ("array", "map", "struct"):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(f.name))), F.lit(0))
+        else:
+            size = size + 8
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= limit else df
 
 
 def digest(text: Column) -> Column:
