@@ -13,27 +13,38 @@ from .common import lookup, saved
 
 #: Sentences end at white space after . ! or ? and at line ends.
 BREAK = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
+WORD = re.compile(r"\S+")
+#: Sentences of more words are cut behind one word in so many, chosen by its hash: alike wherever a passage stands.
+LONG, ONE_IN = 48, 16
 #: A span is the shortest run of at least so many sentences, with at least so many words, that begins or ends somewhere.
 MIN_SENTENCES, MIN_WORDS = 2, 20
 
 
 def sentences(text: str | None) -> list[tuple[int, int]]:
-    """Where each sentence begins and ends; blank ones don't count."""
+    """Where each sentence begins and ends; blank ones don't count, long ones are several."""
     out, start = [], 0
-    for m in BREAK.finditer(text := text or ""):
-        if text[start : m.start()].strip():
-            out.append((start, m.start()))
-        start = m.end()
-    if text[start:].strip():
-        out.append((start, len(text)))
+    for m in [*BREAK.finditer(text := text or ""), None]:
+        end = m.start() if m else len(text)
+        # A sentence of n words has 2 n - 1 characters at least.
+        if end - start >= 2 * LONG and len(words := list(WORD.finditer(text, start, end))) > LONG:
+            first = start
+            for w, after in zip(words, words[1:], strict=False):
+                if xxhash.xxh32_intdigest(w[0]) % ONE_IN == 0:
+                    out.append((first, w.end()))
+                    first = after.start()
+            out.append((first, end))
+        elif text[start:end].strip():
+            out.append((start, end))
+        start = m.end() if m else end
     return out
 
 
 def spans(text: str | None, min_sentences: int, min_words: int) -> list[tuple[bytes, int, int]]:
-    """(hash, first, last) of the spans that begin or end at each sentence, in order; white space is made one space.
+    """(hash, first, last) of the shortest runs, of those with enough sentences and words, that begin or end at each sentence.
 
-    Of any run with enough sentences and words, every sentence lies in a span within the run: in the one that begins
-    with the run, or, if that ends before it, in the one that ends with the sentence.
+    They cover what all such runs of any length would. Of a run, every sentence lies in a span within the run: in the
+    one that begins with the run, or, if that ends before it, in the one that ends with the sentence. And where a run
+    repeats an earlier one, its spans repeat the earlier one's. White space is made one space.
     """
     words = [text[a:b].split() for a, b in sentences(text)]
     lines, sizes = [" ".join(w) for w in words], [len(w) for w in words]
@@ -58,11 +69,13 @@ def spans(text: str | None, min_sentences: int, min_words: int) -> list[tuple[by
 
 
 def repeated_spans(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, scope: str = "") -> DataFrame:
-    """Every span that is not the first of its kind: doc_id, first, last (sentences from 0), first_doc_id.
+    """Every span that is not the first of its kind: doc_id, text_hash, first, last (sentences from 0), first_doc_id.
 
-    The first of a kind is that with the smallest (doc_id, position), null doc_ids last. A document's own repeats are
-    settled in the document, so that only one row per document and kind is joined. Rows that agree in doc_id and
-    text are one document. Null, empty and short texts have no spans. Other columns of df have no part in it.
+    The first of a kind is that with the smallest (doc_id, XXH64 of the text, position), null doc_ids last. A document's
+    own repeats are settled in the document, so that only one row per document and kind is joined. Rows that agree in
+    doc_id and text are one document; those that agree in doc_id only, or have none, are several. Null, empty and short
+    texts have no spans; a long text gives two spans a sentence. An empty table gives no rows. Other columns of df have
+    no part in it.
     """
 
     @F.pandas_udf("array<struct<high: long, low: long, first: int, last: int, again: boolean>>")
@@ -76,32 +89,36 @@ def repeated_spans(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
             out.append(rows)
         return pd.Series(out)
 
-    own = df.select(F.col(doc_id).alias("doc_id"), F.explode(split(F.col(text))).alias("s")).select("doc_id", "s.*")
-    found = saved(own, "spans", scope)
-    singles = found.where("not again").select("high", "low", "doc_id", "first", "last")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "first")
-    kinds = singles.groupBy("high", "low").agg(F.min(place).alias("at"), F.max(place).alias("to")).where("at <> to")
-    kinds = saved(kinds.select("high", "low", F.col("at.doc_id").alias("first_doc_id"), F.col("at.first").alias("at")), "span-kinds", scope)
-    met = singles.join(kinds, ["high", "low"]).where(~(F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("first") == F.col("at"))))
-    again = found.where("again").select("doc_id", "first", "last", F.col("doc_id").alias("first_doc_id"))
-    return met.select("doc_id", "first", "last", "first_doc_id").unionByName(again)
+    own = df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.explode(split(F.col(text))).alias("s"))
+    found = saved(own.select("doc_id", "text_hash", "s.*"), "spans", scope)
+    singles = found.where("not again").select("high", "low", "doc_id", "text_hash", "first", "last")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "first")
+    kinds = singles.groupBy("high", "low").agg(F.min(place).alias("at"), F.max(place).alias("to")).where("at <> to").select("high", "low", "at")
+    kinds = saved(kinds, "span-kinds", scope)
+    met = singles.join(kinds, ["high", "low"]).where(~place.eqNullSafe(F.col("at")))
+    again = found.where("again").select("doc_id", "text_hash", "first", "last", F.col("doc_id").alias("first_doc_id"))
+    return met.select("doc_id", "text_hash", "first", "last", F.col("at.doc_id").alias("first_doc_id")).unionByName(again)
 
 
 def covered(hits: DataFrame) -> DataFrame:
-    """Spans that overlap or touch, made one: doc_id, first, last, spans, first_doc_id (the smallest)."""
-    hits = hits.groupBy("doc_id", "first").agg(F.max("last").alias("last"), F.min("first_doc_id").alias("first_doc_id"), F.count("*").alias("n"))
-    w = Window.partitionBy("doc_id").orderBy("first")
+    """Spans that overlap or touch, made one: doc_id, text_hash, first, last, spans, first_doc_id (the smallest)."""
+    hits = hits.groupBy("doc_id", "text_hash", "first").agg(F.max("last").alias("last"), F.min("first_doc_id").alias("first_doc_id"), F.count("*").alias("n"))
+    w = Window.partitionBy("doc_id", "text_hash").orderBy("first")
     before = F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1))
     opened = hits.withColumn("opens", F.when(before.isNull() | (F.col("first") > before + 1), 1).otherwise(0))
     numbered = opened.withColumn("run", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = numbered.groupBy("doc_id", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("spans"), F.min("first_doc_id").alias("first_doc_id"))
+    out = numbered.groupBy("doc_id", "text_hash", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("spans"), F.min("first_doc_id").alias("first_doc_id"))
     return out.drop("run")
 
 
 def without_repeats(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, scope: str = "") -> DataFrame:
-    """The rows of df, their texts without the sentences that a non-first repeated span covers; null texts stay null."""
+    """The rows of df, their texts without the sentences that a non-first repeated span covers; null texts stay null.
+
+    A text is cut by its own spans only, also where doc_ids repeat or are null. Rows that agree in doc_id and text are
+    one document and keep the same sentences. An empty table gives an empty one.
+    """
     cuts = covered(repeated_spans(df, doc_id=doc_id, text=text, min_sentences=min_sentences, min_words=min_words, scope=scope))
-    cuts = saved(cuts.groupBy(F.col("doc_id").alias("__of")).agg(F.collect_list(F.struct("first", "last")).alias("__cuts")), "span-cuts", scope)
+    cuts = saved(cuts.groupBy(F.col("doc_id").alias("__of"), F.col("text_hash").alias("__hash")).agg(F.collect_list(F.struct("first", "last")).alias("__cuts")), "span-cuts", scope)
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, cuts: pd.Series) -> pd.Series:
@@ -114,7 +131,7 @@ def without_repeats(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
             out.append(x)
         return pd.Series(out, dtype=object)
 
-    joined = df.join(lookup(cuts), F.col(doc_id).eqNullSafe(F.col("__of")), "left")
+    joined = df.join(lookup(cuts), F.col(doc_id).eqNullSafe(F.col("__of")) & (F.xxhash64(F.col(text)) == F.col("__hash")), "left")
     return joined.withColumn("__new", cut(F.col(text), F.col("__cuts"))).select(*(F.col("__new").alias(c) if c == text else df[c] for c in df.columns))
 
 
