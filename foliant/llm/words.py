@@ -54,13 +54,18 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def shingle_hashes(text: str | None, k: int) -> np.ndarray:
-    """64 bits for each run of k words, in order; of the whole sequence if it is shorter; none without words."""
-    words = word_hashes(text)
-    k = min(k, len(words))
-    if not k:
-        return words
-    total = np.zeros(len(words) - k + 1, np.uint64)
+def runs(words: np.ndarray, k: int) -> np.ndarray:
+    """64 bits for each run of k word hashes, in order."""
+    count = len(words) - k + 1
+    if k < 1 or count < 1:
+        return words[:0]
+    total = np.zeros(count, np.uint64)
     for i in range(k):
-        total += words[i : len(words) - k + 1 + i] * MULTIPLIERS[i % len(MULTIPLIERS)]
+        total += words[i : count + i] * MULTIPLIERS[i % len(MULTIPLIERS)]
     return mixed(total)
+
+
+def shingle_hashes(text: str | None, k: int) -> np.ndarray:
+    """64 bits for each run of k words of a text; for the whole sequence if it is shorter; none without words."""
+    words = word_hashes(text)
+    return runs(words, min(k, len(words)))
