@@ -45,19 +45,23 @@ def roots(nodes, pairs):
 
 
 def test_op1(spark, sf, docs):
-    first, every = {}, []
+    """All runs of sentences, of any length, in place of the shortest ones that the library hashes."""
+    places, cut = defaultdict(list), {}
     for d, text in sorted(zip(docs.doc_id, docs.text, strict=True)):
-        for h, i, j in substrings.spans(text, substrings.MIN_SENTENCES, substrings.MIN_WORDS):
-            every.append((h, d, i, j))
-            first.setdefault(h, (d, i))
+        cut[d] = [" ".join(text[a:b].split()) for a, b in substrings.sentences(text)]
+        lines, size = cut[d], [len(x.split()) for x in cut[d]]
+        for i in range(len(lines)):
+            for j in range(i + 1, min(i + 40, len(lines))):
+                if sum(size[i : j + 1]) >= substrings.MIN_WORDS:
+                    places[hash("\n".join(lines[i : j + 1]))].append((d, i, j))
     removed = defaultdict(set)
-    for h, d, i, j in every:
-        if first[h] != (d, i):
+    for found in places.values():
+        for d, i, j in found[1:]:
             removed[d] |= set(range(i, j + 1))
     got = defaultdict(set)
     for r in rows(spark, sf, "op1_substrings"):
         got[r.doc_id] |= set(range(r.first_sentence, r.last_sentence + 1))
-        assert r.n_sentences == r.last_sentence - r.first_sentence + 1
+        assert r.n_sentences == r.last_sentence - r.first_sentence + 1 and r.first_doc_id <= r.doc_id
     assert got == removed
 
 

@@ -68,3 +68,21 @@ def test_word_hashes():
     runs = words.shingle_hashes(text, 5)
     assert len(runs) == len(plain) - 4 and len(set(runs.tolist())) == len(set(zip(*(plain[i:] for i in range(5)), strict=False)))
     assert len(words.shingle_hashes("a b", 5)) == 1 and words.shingle_hashes("a b", 5)[0] != words.shingle_hashes("b a", 5)[0]
+
+
+def test_repeats_under_one_id(spark):
+    """Texts that share a doc_id, or have none, are cut by their own repeats only."""
+    long = "First sentence has five words. Second sentence has five words. Third sentence has five words. Fourth sentence has five words."
+    other = "This one is its own. It stands nowhere else at all. Third here. Fourth here. Fifth."
+    for ids in ((1, 7, 7), (1, None, None)):
+        frame = spark.createDataFrame([(ids[0], long), (ids[1], long), (ids[2], other)], "doc_id long, text string")
+        assert sorted(r.text for r in substrings.without_repeats(frame).collect()) == sorted([long, "", other])
+
+
+def test_repeat_of_one_long_sentence(spark):
+    """A sentence of 80 words is several, cut alike wherever it stands."""
+    line = " ".join(f"word{i}" for i in range(80))
+    assert len(substrings.sentences(line)) > 2
+    frame = spark.createDataFrame([(1, line), (2, "Before it " + line + " and after"), (3, "Short.")], "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in substrings.without_repeats(frame).collect()}
+    assert clean[1] == line and clean[3] == "Short." and len(clean[2].split()) < 40
