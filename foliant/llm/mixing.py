@@ -73,26 +73,39 @@ def mix(
     edge = reached.where("upto > rest").groupBy("s").agg(F.min_by(F.struct("slice", (F.col("upto") - F.col("words")).alias("before"), "rest"), "slice").alias("e"))
     edge = saved(edge.select(F.col("s").alias("_s"), F.col("e.slice").alias("slice"), F.col("e.before").alias("before"), F.col("e.rest").alias("rest")), "mix-edges", scope)
     near = narrow.withColumn("slice", slot).join(lookup(edge), (F.col("s").eqNullSafe(F.col("_s"))) & (edge["slice"] == F.shiftrightunsigned("h", 64 - (SLICES.bit_length() - 1))))
-    ties = near.groupBy("s", "h", "before", "rest").agg(F.sum("size").alias("size"))
+    ties = near.groupBy("s", "h", "before", "rest").agg(F.sum("size").alias("size"), F.count("*").alias("rows"))
     upto = Window.partitionBy("s").orderBy(_unsigned("h")).rowsBetween(Window.unboundedPreceding, 0)
-    fits = ties.withColumn("upto", F.col("before") + F.sum("size").over(upto)).where(F.col("upto") - F.col("size") / 2 <= F.col("rest"))
-    last = fits.groupBy("s").agg(F.max(_unsigned("h")).alias("last"))
-    first = F.shiftleft(F.col("slice").cast("long"), 64 - (SLICES.bit_length() - 1))
-    limits = edge.join(last, F.col("_s").eqNullSafe(F.col("s")), "left").select("_s", "last", _unsigned(first).alias("first"), F.lit(True).alias("cut"))
-    plan = plan.join(limits, F.col("s").eqNullSafe(F.col("_s")), "left").select(
-        F.col("s").alias("_s"), "source_size", "target", "whole", "rest", F.coalesce("cut", F.lit(False)).alias("cut"), "last", "first"
-    )
+    over = ties.withColumn("upto", F.col("before") + F.sum("size").over(upto)).where(F.col("upto") > F.col("rest"))
+    last = over.groupBy("s").agg(F.min_by(F.struct("h", "rows", "size", (F.col("rest") - F.col("upto") + F.col("size")).alias("open")), _unsigned("h")).alias("e"))
+    # Rows before the hash `last` are taken once more, and `more` of the rows with it.
+    more = F.least(F.col("e.rows"), F.floor(F.col("e.open") * F.col("e.rows") / F.col("e.size") + 0.5))
+    limits = last.select(F.col("s").alias("_s"), F.col("e.h").alias("last"), F.col("e.rows").alias("ties"), more.alias("more"))
+    plan = plan.join(limits, F.col("s").eqNullSafe(F.col("_s")), "left").select(F.col("s").alias("_s"), "source_size", "target", "whole", "rest", "last", "ties", "more")
     plan = saved(plan, "mix-limits", scope)
     added = ("size", "source_size", "target", "repetitions")
     kept = [c for c in df.columns if c not in added]
     rows = df.select(*(df[c] for c in kept), hashed.alias("__h"), word_count(F.col(text)).alias("__size"), F.col(source).alias("__of"))
-    known = plan.select(*(F.col(c).alias(f"__{c}") for c in ("_s", "source_size", "target", "whole", "rest", "cut", "last", "first")))
+    known = plan.select(*(F.col(c).alias(f"__{c}") for c in ("_s", "source_size", "target", "whole", "rest", "last", "ties", "more")))
     joined = rows.join(lookup(known), F.col("__of").eqNullSafe(F.col("___s")), "left")
-    once_more = F.when(~F.col("__cut"), F.col("__rest") > 0).otherwise(F.coalesce(_unsigned("__h") <= F.col("__last"), _unsigned("__h") < F.col("__first")))
-    return joined.select(
-        *kept, F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"),
-        (F.col("__whole") + once_more.cast("long")).cast("int").alias("repetitions"),
-    )
+    split = F.coalesce((F.col("__h") == F.col("__last")) & F.col("__more").between(1, F.col("__ties") - 1), F.lit(False))
+    at_last = (F.col("__h") == F.col("__last")) & (F.col("__more") > 0)
+    once_more = F.when(F.col("__last").isNull(), F.col("__rest") > 0).otherwise((_unsigned("__h") < _unsigned("__last")) | at_last)
+
+    def finished(part: DataFrame, taken: Column) -> DataFrame:
+        return part.select(
+            *kept, F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"),
+            (F.col("__whole") + taken.cast("long")).cast("int").alias("repetitions"),
+        )
+
+    if plan.where("more > 0 and more < ties").isEmpty():
+        return finished(joined, once_more)
+    # Rows that agree in doc_id and text where a source's mix ends: numbered over range partitions of their own.
+    tied = saved(joined.where(split).withColumn("__row", F.monotonically_increasing_id()), "mix-tied", scope)
+    numbered, _ = ranked(tied.select("__h", "__row"), [F.col("__h"), F.col("__row")], {}, "mix-ranks", scope)
+    firsts = saved(numbered.groupBy("__h").agg(F.min("rn").alias("__from")), "mix-firsts", scope)
+    ranks = numbered.select(F.col("__row").alias("__at"), "rn", F.col("__h").alias("__g")).join(lookup(firsts), F.col("__g") == F.col("__h")).select("__at", "rn", "__from")
+    some = tied.join(ranks, F.col("__row") == F.col("__at"))
+    return finished(joined.where(~split), once_more).unionByName(finished(some, F.col("rn") - F.col("__from") < F.col("__more")))
 
 
 def _unsigned(h: str | Column) -> Column:
