@@ -19,6 +19,9 @@ DICTIONARY_FRAME, FRAME = 0x184D2A5D, 0xFD2FB528
 #: Bytes of records in an archive (one value in a table), of records a dictionary is built from, and of a dictionary.
 ARCHIVE_BYTES, SAMPLE_BYTES, DICTIONARY_BYTES = 4 << 20, 2 << 20, 64 << 10
 LEVEL = 3
+#: Fewer records than FEW are samples in pieces; and bytes of a dictionary that isn't trained.
+FEW, PIECE_BYTES, PLAIN_BYTES = 64, 512, 4 << 10
+TRAINED = bytes.fromhex("37a430ec")
 #: Records are named by page_id.
 PAGE_URI = "urn:page:"
 
@@ -54,22 +57,32 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[:size]
 
 
-def build_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes | None:
-    """A dictionary of records; None if there are too few to build one from."""
-    try:
-        return zstandard.train_dictionary(size, samples, k=256, d=8, level=LEVEL).as_bytes()
-    except zstandard.ZstdError:
-        return None
+def build_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
+    """A dictionary of records: trained, or, of too few records to train one, what the first ones begin with.
+
+    The latter is a dictionary of plain content; readers tell the two by the first four bytes.
+    """
+    pieces = [x[i : i + PIECE_BYTES] for x in samples for i in range(0, len(x), PIECE_BYTES)] if len(samples) < FEW else samples
+    total = sum(map(len, pieces))
+    while size >= 1024 and total >= 8 * size:
+        try:
+            return zstandard.train_dictionary(size, pieces, k=256, d=8, level=LEVEL).as_bytes()
+        except zstandard.ZstdError:
+            size //= 4
+    return b"".join(x[: PLAIN_BYTES // len(samples[:8])] for x in samples[:8])
+
+
+def _dictionary(content: bytes) -> zstandard.ZstdCompressionDict:
+    return zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_FULLDICT if content[:4] == TRAINED else zstandard.DICT_TYPE_RAWCONTENT)
 
 
 class Writer:
     """Archives of up to `archive_bytes` of records: the dictionary's skippable frame, then a frame for each record."""
 
-    def __init__(self, dictionary: bytes | None, archive_bytes: int = ARCHIVE_BYTES):
-        self.most, self.head = archive_bytes, b"" if dictionary is None else struct.pack("<II", DICTIONARY_FRAME, len(dictionary)) + dictionary
-        known = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_FULLDICT) if dictionary is not None else None
-        if known is not None:
-            known.precompute_compress(level=LEVEL)
+    def __init__(self, dictionary: bytes, archive_bytes: int = ARCHIVE_BYTES):
+        self.most, self.head = archive_bytes, struct.pack("<II", DICTIONARY_FRAME, len(dictionary)) + dictionary
+        known = _dictionary(dictionary)
+        known.precompute_compress(level=LEVEL)
         self.zstd, self.parts, self.size = zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=True), [], 0
 
     def add(self, raw: bytes) -> Iterator[bytes]:
@@ -89,7 +102,7 @@ def read_archive(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     known, at = None, 0
     if len(content) >= 8 and struct.unpack_from("<I", content)[0] == DICTIONARY_FRAME:
         size = struct.unpack_from("<I", content, 4)[0]
-        known, at = zstandard.ZstdCompressionDict(content[8 : 8 + size]), 8 + size
+        known, at = _dictionary(bytes(content[8 : 8 + size])), 8 + size
     zstd, view = zstandard.ZstdDecompressor(dict_data=known), memoryview(content)
     while at < len(content):
         frame = zstd.decompressobj()
@@ -109,8 +122,10 @@ def write_archives(pages: DataFrame, *, page_id: str = "page_id", url: str = "ur
     """Writes a record for each row and returns the path of the archives: a table with one archive's bytes in each row.
 
     Of rows with equal payloads of at least min_revisit bytes, those with the smallest page_id are responses, the others
-    revisit it; null page_ids come last. Smaller payloads are all responses. Null html is an empty payload, a null url no
-    URI. A task builds its dictionary from the first records it is to write, up to SAMPLE_BYTES. An empty table gives none.
+    revisit it; null page_ids come last, and where all are null, all are responses. Smaller payloads are all responses.
+    Null html is an empty payload, a null url no URI. Records are named by page_id, so that repeated ones share a name.
+    A task builds its dictionary from the first records it is to write, up to SAMPLE_BYTES, and every archive begins
+    with it. A task holds one archive, and a long record, at a time. An empty table gives none.
     The table is written by Spark, so that a lost task leaves nothing half-written; export() makes files of it.
     """
     spark = pages.sparkSession
@@ -136,6 +151,8 @@ def write_archives(pages: DataFrame, *, page_id: str = "page_id", url: str = "ur
             size += len(raw)
             if size >= SAMPLE_BYTES:
                 break
+        if not waiting:
+            return
         writer = Writer(build_dictionary(waiting))
         for raw in waiting:
             yield from map(_row, writer.add(raw))
