@@ -96,7 +96,7 @@ def shard(df: DataFrame, shards: int, *, doc_id: str = "doc_id", text: str = "te
     groups. Columns of df besides doc_id and text have no part in it.
     """
     key = F.coalesce(digest(F.col(text)), F.lit(b""))
-    base = df.select(F.col(doc_id).alias("doc_id"), text_bytes(F.col(text)).alias("size"), F.crc32(F.col(text).cast("binary")).alias("text_crc32"), key.alias("_group"))
+    base = df.select(F.col(doc_id).alias("doc_id"), text_bytes(F.col(text)).alias("size"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"), key.alias("_group"))
     rows, ranges = ranked(base, [F.col("_group"), F.col("doc_id"), F.col("size")], {"bytes": "size"}, "shard-rows", scope)
     total = sum(t["bytes"] or 0 for t in ranges)
     if not total:
