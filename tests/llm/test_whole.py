@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from foliant.llm import simhash, substrings, words
+from foliant.llm import mixing, simhash, substrings, warc, words
 
 
 def test_near_duplicates_in_large_sets(spark):
@@ -86,3 +86,23 @@ def test_repeat_of_one_long_sentence(spark):
     frame = spark.createDataFrame([(1, line), (2, "Before it " + line + " and after"), (3, "Short.")], "doc_id long, text string")
     clean = {r.doc_id: r.text for r in substrings.without_repeats(frame).collect()}
     assert clean[1] == line and clean[3] == "Short." and len(clean[2].split()) < 40
+
+
+def test_mix_of_equal_rows(spark):
+    """Rows without doc_ids, distinct or equal, come near the target as well."""
+    for text in (lambda i: "one two three", lambda i: f"one two {i}"):
+        frame = spark.createDataFrame([(None, text(i), "a") for i in range(100)] + [(1, "x " * 150, "b")], "doc_id long, text string, source string")
+        out = mixing.mix(frame, weights=(2, 1), budget=1.0).collect()
+        taken = sum(r["size"] * r.repetitions for r in out if r.source == "a")
+        assert len(out) == 101 and {r.target for r in out if r.source == "a"} == {300.0} and abs(taken - 300) <= 3
+        out = mixing.mix(frame, weights=(1, 1), budget=1.0).collect()
+        assert abs(sum(r["size"] * r.repetitions for r in out if r.source == "a") - 225) <= 3
+
+
+def test_dictionary_in_every_archive(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    for parts in (16, 64):
+        path = warc.write_archives(pages.repartition(parts))
+        archives = spark.read.parquet(path).collect()
+        assert len(archives) > 10 and all(bytes(a.content[:4]) == bytes.fromhex("5d2a4d18") for a in archives)
+        assert warc.read_archives(spark, path).count() == pages.count()
