@@ -12,11 +12,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Labelled documents that training reads at most (those with the smallest hashes), and words it keeps at most.
-TRAIN_DOCS, TRAIN_WORDS = 4000, 40_000
+#: Labelled documents that training reads at most (those with the smallest hashes).
+TRAIN_DOCS = 4000
 LONGEST = 4
-#: Distinct words whose rows a Python worker remembers.
-REMEMBERED = 1 << 17
+#: Distinct words whose scores a Python worker remembers, and those of a text that are added up at a time.
+REMEMBERED, CHUNK = 1 << 17, 1 << 13
+#: Runs of letters, and of numbers that aren't decimal, such as fractions and Roman ones.
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -24,6 +25,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def word_counts(text: str | None) -> Counter:
+    """How often each run of letters (as \\p{L}+ in Java) stands in a text, lower-cased."""
+    counts = Counter(LETTERS.findall((text or "").lower()))
+    for word in [w for w in counts if not w.isalpha()]:
+        n = counts.pop(word)
+        for part in "".join(c if c.isalpha() else " " for c in word).split():
+            counts[part] += n
+    return counts
+
+
 class Model:
     """Log frequencies of words and n-grams: rows of a table with a number per language."""
 
@@ -39,10 +50,10 @@ class Model:
                     grams[at][g] += n
         known = _logs(words, lambda _: 0, 2)
         parts = {g: row - row.max() - (LONGEST - len(g)) * log(2) for g, row in _logs(grams, len, 2).items()}
-        #: Rows of the table: the known words' logs, then the n-grams', less their best and log 2 for each step back.
+        #: Rows of the table: the known words' logs, then the n-grams', less their best and log 2 for each step back; then zeros.
         self.words = {w: (i,) for i, w in enumerate(known)}
         self.grams = {g: len(known) + i for i, g in enumerate(parts)}
-        self.table = np.array([*known.values(), *parts.values()]).reshape(len(known) + len(parts), size)
+        self.table = np.array([*known.values(), *parts.values(), np.zeros(size)]).reshape(len(known) + len(parts) + 1, size)
 
     def rows(self, word: str) -> tuple[int, ...]:
         """The rows that add up to a word's score: its own, if it is known, or that of the longest known n-gram at each position."""
@@ -74,54 +85,60 @@ def _logs(counts: list[Counter], kind: Callable[[str], int], least: int) -> dict
 
 
 class Scorer:
-    """Predicts whole texts; remembers the rows of words it has met."""
+    """Predicts whole texts; remembers the scores of words it has met."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.met: dict[str, tuple[int, ...]] = {}
+        self.met: dict[str, int] = {}
+        self.scores = np.zeros((REMEMBERED, len(model.langs)))
+
+    def learn(self, words: list[str]) -> None:
+        """Adds up the scores of words that it hasn't met; a row of zeros stands for no row."""
+        if len(self.met) + len(words) > REMEMBERED:
+            self.met.clear()
+        flat: list[int] = []
+        starts = []
+        for word in words:
+            starts.append(len(flat))
+            flat += self.model.rows(word)
+            flat.append(-1)
+        first = len(self.met)
+        self.scores[first : first + len(words)] = np.add.reduceat(self.model.table[flat], starts, axis=0)
+        self.met.update(zip(words, range(first, first + len(words)), strict=True))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        counts = Counter(LETTERS.findall((text or "").lower()))
+        counts = word_counts(text)
         if not counts:
             return "und", 0.0
-        once: list[int] = []
-        more: list[int] = []
-        times: list[int] = []
-        get, find = self.met.get, self.model.rows
-        for word, n in counts.items():
-            rows = get(word)
-            if rows is None:
-                if len(self.met) >= REMEMBERED:
-                    self.met.clear()
-                rows = self.met[word] = find(word)
-            if n == 1:
-                once += rows
-            else:
-                more += rows
-                times += [n] * len(rows)
-        total = self.model.table[once].sum(axis=0) + np.array(times, float) @ self.model.table[more]
+        total, every = np.zeros(len(self.model.langs)), list(counts.items())
+        for i in range(0, len(every), CHUNK):
+            part = every[i : i + CHUNK]
+            words = [word for word, _ in part]
+            if new := [word for word in words if word not in self.met]:
+                self.learn(new if len(self.met) + len(new) <= REMEMBERED else words)
+            total += np.array([n for _, n in part], float) @ self.scores[[self.met[word] for word in words]]
         # The share of the best language, as if the text were of at most 20 words.
         mean = (total - total.max()) * min(1.0, 20 / sum(counts.values()))
         best = int(total.argmax())
         return self.model.langs[best], float(1 / np.exp(mean).sum())
 
 
-def train(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", fold: Column | None = None, max_docs: int = TRAIN_DOCS, max_words: int = TRAIN_WORDS) -> Model:
+def train(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", fold: Column | None = None, max_docs: int = TRAIN_DOCS) -> Model:
     """Learns from text and non-null lang of at most max_docs documents (fold: a condition on those to learn from).
 
-    The bound makes the cost of training the same at any size. The sample is that of the smallest hashes of doc_id;
-    Spark counts its words by language, and the driver gets the most frequent max_words of them.
+    The bound makes the cost of training the same at any size. The sample is that of the smallest hashes of (doc_id,
+    text), null doc_ids too, rows that agree in both together; Spark counts its words by language, and the driver gets
+    them all. Without labelled rows, or from an empty table, the model knows no language and predicts `und`.
     """
     labelled = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     labelled = labelled.where(fold) if fold is not None else labelled
-    hashed = F.xxhash64(F.lit("language"), F.col(doc_id))
+    hashed = F.xxhash64(F.lit("language"), F.col(doc_id), F.col(text))
     last = labelled.select(hashed.alias("h")).orderBy("h").limit(max_docs).agg(F.max("h")).first()[0]
     if last is None:
         return Model({})
     words = F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))).alias("word")
     counted = labelled.where(hashed <= last).select(F.col(lang).alias("lang"), words).groupBy("word", "lang").count()
-    rows = counted.orderBy(F.desc("count"), "word", "lang").limit(max_words).collect()
-    return Model({(r["word"], r["lang"]): r["count"] for r in rows})
+    return Model({(r["word"], r["lang"]): r["count"] for r in counted.collect()})
 
 
 def predict_column(spark: SparkSession, model: Model, text: str) -> Column:
@@ -139,7 +156,11 @@ def predict_column(spark: SparkSession, model: Model, text: str) -> Column:
 
 
 def identify(df: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
-    """The rows of df with `lang_pred` and `score` (0 to 1); columns of these names are replaced, others stay."""
+    """The rows of df with `lang_pred` and `score` (0 to 1); columns of these names are replaced, others stay.
+
+    A null text, and one without letters, is `und` with 0. Equal texts, repeated rows too, are predicted alike, null
+    doc_ids like any other; a long text is scored whole, each distinct word once. An empty table gives an empty one.
+    """
     kept = [c for c in df.columns if c not in ("lang_pred", "score")]
     out = df.select(*(df[c] for c in kept), predict_column(df.sparkSession, model, text).alias("__pred"))
     return out.select(*kept, "__pred.lang_pred", "__pred.score")
