@@ -232,3 +232,43 @@ def test_language_words_then_grams():
     scorer = language.Scorer(model)
     assert scorer.predict("Das Haus")[0] == "de" and scorer.predict("maisonette")[0] == "fr"
     assert scorer.predict(None) == ("und", 0.0) and scorer.predict("123 !?") == ("und", 0.0)
+    # Numbers that aren't decimal, and marks, are no letters, as in training.
+    assert scorer.predict("² ½ Ⅷ ① ٣ \u0301") == ("und", 0.0) and language.word_counts("x²y Haus") == {"x": 1, "y": 1, "haus": 1}
+
+
+def test_language_scores():
+    """Scores against a plain version that adds up logs word by word; a small memory changes nothing."""
+    import math
+
+    learned = Counter({("haus", "de"): 9, ("hauses", "de"): 2, ("maison", "fr"): 9, ("und", "de"): 5, ("et", "fr"): 5, ("rare", "fr"): 1})
+    model = language.Model(learned)
+    langs = ["de", "fr"]
+    known = {w: [learned[w, x] for x in langs] for w, _ in learned}
+    grams = defaultdict(lambda: [0, 0])
+    for (w, x), n in learned.items():
+        for k in range(1, 5):
+            for i in range(len(w) + 3 - k):
+                grams[f" {w} "[i : i + k]][langs.index(x)] += n
+
+    def logs(table, own):
+        return {w: [math.log((c + 0.1) / (sum(table[v][i] for v in own(w)) + 0.1 * len(own(w)))) for i, c in enumerate(table[w])] for w in table if sum(table[w]) >= 2}
+
+    words, parts = logs(known, lambda _: list(known)), logs(grams, lambda g: [h for h in grams if len(h) == len(g)])
+
+    def score(word):
+        if word in words:
+            return words[word]
+        total, padded = [0.0, 0.0], f" {word} "
+        for i in range(len(padded)):
+            g = next((padded[i : i + k] for k in range(4, 0, -1) if padded[i : i + k] in parts), None)
+            if g:
+                total = [t + x - max(parts[g]) - (4 - len(g)) * math.log(2) for t, x in zip(total, parts[g], strict=True)]
+        return total
+
+    scorer = language.Scorer(model)
+    for text in ("haus maison et hausen", "maisons et hauses", "rare zzz", "un hau", "haus " * 30 + "maison"):
+        each = [score(w) for w in text.split()]
+        total = [sum(x[i] for x in each) * min(1, 20 / len(each)) for i in (0, 1)]
+        best = max((0, 1), key=lambda i: total[i])
+        got = scorer.predict(text)
+        assert got[0] == langs[best] and got[1] == pytest.approx(1 / sum(math.exp(t - total[best]) for t in total))
