@@ -163,9 +163,8 @@ def _rarity(df: DataFrame, text: str, shingle: int, rows: int) -> np.ndarray:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(1 << bits, np.uint32)
         for x in batches:
-            every = np.concatenate([shingle_hashes(t, shingle) for t in x["text"]] or [np.zeros(0, np.uint64)])
-            at, n = np.unique(every >> np.uint64(64 - bits), return_counts=True)
-            total[at] += n.astype(np.uint32)
+            for t in x["text"]:
+                np.add.at(total, shingle_hashes(t, shingle) >> np.uint64(64 - bits), 1)
         for i in range(0, 1 << bits, COUNTED):
             if total[i : i + COUNTED].any():
                 yield pd.DataFrame({"block": [i // COUNTED], "counts": [total[i : i + COUNTED].tobytes()]})
