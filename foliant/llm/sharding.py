@@ -92,15 +92,41 @@ def shard(df: DataFrame, shards: int, *, doc_id: str = "doc_id", text: str = "te
     step checked greedily over the ordered group sizes, and the cuts keep to it. Running totals come from range
     partitions; the driver holds at most `ends_held` group ends at a time, first a coarse set over the whole table, then
     finer sets where the cuts of the remaining capacities can fall, until the smallest capacity is certain.
-    slot counts the rows of a shard from 0. An empty table gives no rows; shards may stay empty if there are too few
-    groups. Columns of df besides doc_id and text have no part in it.
+    slot counts the rows of a shard from 0, in the order of (group, doc_id); text_crc32 is that of the UTF-8 bytes, of none
+    for null. Null and repeated doc_ids are rows like any other. An empty table gives no rows; shards may stay empty if
+    there are too few groups. Columns of df besides doc_id and text have no part in it.
     """
-    key = F.coalesce(digest(F.col(text)), F.lit(b""))
-    base = df.select(F.col(doc_id).alias("doc_id"), text_bytes(F.col(text)).alias("size"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"), key.alias("_group"))
+    rows, cuts, counts, _ = _planned(df, shards, doc_id, text, ends_held, scope)
+    starts = F.array(*(F.lit(c).cast("long") for c in cuts)) if cuts else F.array().cast("array<long>")
+    before = F.array(*(F.lit(counts[c]).cast("long") for c in [0, *cuts]))
+    out = rows.select("doc_id", "size", "text_crc32", "rn", F.size(F.filter(starts, lambda c: c < F.col("upto_bytes"))).alias("shard"))
+    return out.select("doc_id", "size", "text_crc32", "shard", (F.col("rn") - 1 - F.element_at(before, F.col("shard") + 1)).alias("slot"))
+
+
+def assigned(df: DataFrame, shards: int, *, doc_id: str = "doc_id", text: str = "text", ends_held: int = ENDS, scope: str = "") -> DataFrame:
+    """The rows of df with `shard`, as shard() has it; a column of that name is replaced, all others stay.
+
+    Shards are ranges of the texts' SHA-256, so that each row finds its own by the last groups of the shards: texts
+    aren't shuffled.
+    """
+    _, cuts, _, ends = _planned(df, shards, doc_id, text, ends_held, scope)
+    last = [r["_group"] for r in ends.where(F.col("upto_bytes").isin(cuts)).select("_group").orderBy("_group").collect()] if cuts else []
+    bounds = F.array(*(F.lit(bytes(g)) for g in last)) if last else F.array().cast("array<binary>")
+    own = F.size(F.filter(bounds, lambda g: g < _group(F.col(text))))
+    return df.select(*(df[c] for c in df.columns if c != "shard"), own.alias("shard"))
+
+
+def _group(text: Column) -> Column:
+    return F.coalesce(digest(text), F.lit(b""))
+
+
+def _planned(df: DataFrame, shards: int, doc_id: str, text: str, ends_held: int, scope: str) -> tuple[DataFrame, list[int], dict[int, int], DataFrame]:
+    """The rows in order with running totals, the totals at which shards end, the rows up to each, and the groups' ends."""
+    base = df.select(F.col(doc_id).alias("doc_id"), text_bytes(F.col(text)).alias("size"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"), _group(F.col(text)).alias("_group"))
     rows, ranges = ranked(base, [F.col("_group"), F.col("doc_id"), F.col("size")], {"bytes": "size"}, "shard-rows", scope)
     total = sum(t["bytes"] or 0 for t in ranges)
     if not total:
-        return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
+        return rows, [], {0: 0}, rows.select("_group", "upto_bytes")
     w = Window.partitionBy("pid").orderBy("_key0", "_key1", "_key2", "rn")
     last = rows.select("pid", "_group", "upto_bytes", "rn", F.lead("_group").over(w).alias("_next"))
     last = saved(last.where(F.col("_next").isNull() | (F.col("_next") != F.col("_group"))), "shard-ends", scope)
@@ -130,11 +156,7 @@ def shard(df: DataFrame, shards: int, *, doc_id: str = "doc_id", text: str = "te
             break
         spans = _doubtful(ends, low, high, shards)
     cuts = balanced_cuts(ends, high, shards)
-    counts = {0: 0, **{e: c for e, (c, _) in ends.at.items()}}
-    starts = F.array(*(F.lit(c).cast("long") for c in cuts)) if cuts else F.array().cast("array<long>")
-    before = F.array(*(F.lit(counts[c]).cast("long") for c in [0, *cuts]))
-    out = rows.select("doc_id", "size", "text_crc32", "rn", F.size(F.filter(starts, lambda c: c < F.col("upto_bytes"))).alias("shard"))
-    return out.select("doc_id", "size", "text_crc32", "shard", (F.col("rn") - 1 - F.element_at(before, F.col("shard") + 1)).alias("slot"))
+    return rows, cuts, {0: 0, **{e: n for e, (n, _) in ends.at.items()}}, last
 
 
 def _mark_exact(ends: Ends, found: list, step: int, spans: list[tuple[int, int]]) -> None:
