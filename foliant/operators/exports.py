@@ -43,7 +43,7 @@ def page_json(tokens: DataFrame, boxes: bool = True, confidences: bool = True) -
 def page_xml(tokens: DataFrame) -> DataFrame:
     """By page an XML element with its text and mean confidence."""
     words = F.sort_array(F.collect_list(F.struct("pos", "text")))
-    body = tokens.groupBy("doc_id", "page_num").agg(F.array_join(F.transform(words, lambda t: t.text), " ").alias("Text"), F.round(F.avg("confidence"), 6).alias("Confidence"))
+    body = tokens.groupBy("doc_id", "page_num").agg(F.array_join(F.transform(words, lambda t: t.text), " ").alias("Text"), F.round(F.avg("confidence") + 1e-9, 6).alias("Confidence"))
     return body.select("doc_id", "page_num", F.to_xml(F.struct(F.col("page_num").alias("Number"), "Text", "Confidence"), {"rowTag": "Page"}).alias("xml"))
 
 

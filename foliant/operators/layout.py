@@ -47,27 +47,32 @@ def adaptive_threshold(tokens: DataFrame, *by: str) -> DataFrame:
     return tokens.groupBy(*(by or PAGE)).agg(F.greatest(F.lit(8), F.floor(F.median(F.col("y2") - F.col("y1")) * 0.6).cast("int")).alias("threshold"))
 
 
-def lines(tokens: DataFrame, threshold: Column | float = 12) -> DataFrame:
-    """Lines of a page: line_num (from 1), n, y, line_text.
+def line_slices(tokens: DataFrame, threshold: Column | float = 12, *columns: str) -> DataFrame:
+    """Lines of a page: line_num (from 1) and `ts`, its tokens in reading order with y1, x1, pos, cy, text and further columns.
 
     In reading order, a token begins a line if its centre is more than `threshold` from that of the line's first token.
-    The anchor depends on the tokens before, so it is a fold over a page's tokens and no window.
+    The anchor depends on the tokens before, so it is a fold over a page's tokens and no window; the fold keeps where
+    lines begin, and each line is a slice of the page.
     """
-    each = F.struct("y1", "x1", "pos", scalars.centre(F.col("y1"), F.col("y2")).alias("cy"), "text")
+    each = F.struct("y1", "x1", "pos", scalars.centre(F.col("y1"), F.col("y2")).alias("cy"), "text", *columns)
     pages = tokens.groupBy(*PAGE).agg(F.sort_array(F.collect_list(each)).alias("ts"), *((F.first(threshold).alias("t"),) if isinstance(threshold, Column) else ()))
     most = F.col("t") if isinstance(threshold, Column) else F.lit(threshold)
-    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(0).alias("line"), F.array().cast("array<int>").alias("of"))
+    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(1).alias("at"), F.array().cast("array<int>").alias("begins"))
 
     def step(acc: Column, t: Column) -> Column:
         new = acc.anchor.isNull() | (F.abs(t.cy - acc.anchor) > most)
-        line = acc.line + new.cast("int")
-        return F.struct(F.when(new, t.cy).otherwise(acc.anchor).alias("anchor"), line.alias("line"), F.concat(acc.of, F.array(line)).alias("of"))
+        return F.struct(F.when(new, t.cy).otherwise(acc.anchor).alias("anchor"), (acc.at + 1).alias("at"), F.when(new, F.concat(acc.begins, F.array(acc.at))).otherwise(acc.begins).alias("begins"))
 
-    numbered = pages.select(*PAGE, F.explode(F.arrays_zip(F.col("ts").alias("t"), F.aggregate("ts", start, step, lambda acc: acc.of).alias("line_num"))).alias("z"))
-    words = F.sort_array(F.collect_list(F.struct("z.t.y1", "z.t.x1", "z.t.pos", "z.t.text")))
-    return numbered.groupBy(*PAGE, F.col("z.line_num").cast("long").alias("line_num")).agg(
-        F.count("*").alias("n"), F.min("z.t.y1").alias("y"), F.array_join(F.transform(words, lambda t: t.text), " ").alias("line_text")
-    )
+    found = pages.withColumn("begins", F.aggregate("ts", start, step, lambda acc: acc.begins))
+    ends = F.concat(F.slice("begins", 2, F.size("begins")), F.array(F.size("ts") + 1))
+    sliced = F.transform(F.arrays_zip(F.col("begins").alias("a"), ends.alias("b")), lambda z: F.slice("ts", z["a"], z["b"] - z["a"]))
+    return found.select(*PAGE, F.posexplode(sliced).alias("at", "ts")).select(*PAGE, (F.col("at") + 1).cast("long").alias("line_num"), "ts")
+
+
+def lines(tokens: DataFrame, threshold: Column | float = 12) -> DataFrame:
+    """Lines of a page: line_num (from 1), n, y, line_text."""
+    out = line_slices(tokens, threshold)
+    return out.select(*PAGE, "line_num", F.size("ts").cast("long").alias("n"), F.get("ts", F.lit(0)).y1.alias("y"), F.array_join(F.transform("ts", lambda t: t.text), " ").alias("line_text"))
 
 
 def adaptive_lines(tokens: DataFrame) -> DataFrame:
@@ -110,6 +115,12 @@ def in_region(tokens: DataFrame, regions: DataFrame, least_iou: float = 0.5) ->
     return tokens.join(regions, list(PAGE)).where(scalars.inside(t, r) | (scalars.iou(t, r) >= least_iou))
 
 
+def in_box(tokens: DataFrame, box: tuple[float, float, float, float], least_iou: float = 0.5) -> DataFrame:
+    """Tokens inside one box that is the same on all pages, or overlapping it by least_iou: a filter, no join."""
+    t, r = [F.col(c) for c in ("x1", "y1", "x2", "y2")], [F.lit(v) for v in box]
+    return tokens.where(scalars.inside(t, r) | (scalars.iou(t, r) >= least_iou))
+
+
 def needs_review(tokens: DataFrame, pages: DataFrame, least: float = scalars.REVIEW) -> DataFrame:
     """Pages with a token of less confidence, or without tokens."""
     found = tokens.groupBy(*PAGE).agg(F.bool_or(F.col("confidence") < least).alias("low"), F.count("*").alias("tokens"))
@@ -173,17 +184,29 @@ def ward_columns(tokens: DataFrame, distance: float = 20.0) -> DataFrame:
     return found.select(*PAGE, F.posexplode("positions").alias("i", "position")).select(*PAGE, (F.col("i") + 1).cast("long").alias("column_num"), F.round("position", 6).alias("position"))
 
 
-def table(tokens: DataFrame, regions: DataFrame) -> DataFrame:
-    """Cells of the table in each page's region: row_num, column_num, cell_text, confidence, needs_review.
+#: Tokens of a table from which on its columns are clustered.
+CLUSTERED = 8
+
+
+def table(tokens: DataFrame, regions: DataFrame | tuple[float, float, float, float], least: float = scalars.REVIEW, hierarchical: bool = True) -> DataFrame:
+    """Cells of the table in each page's region: row_num, column_num, cell_text, confidence, needs_review (of the table).
 
-    Tokens inside the region, lines by the adaptive threshold, columns by gaps, and words of a cell in reading order.
+    Tokens inside the region (a table of regions, or one box for all pages); rows by the adaptive threshold from the
+    row's first token; columns by hierarchical clustering if there are CLUSTERED tokens, else, or if it is switched off,
+    by gaps; words of a cell in reading order. A table needs review if any of its tokens is below `least`.
     """
-    own = in_region(tokens, regions).drop("rx1", "ry1", "rx2", "ry2")
-    placed = cells(own, gap_columns(own))
-    numbered = row_groups(placed)
+    own = in_region(tokens, regions).drop("rx1", "ry1", "rx2", "ry2") if isinstance(regions, DataFrame) else in_box(tokens, regions)
+    columns = gap_columns(own).select(*PAGE, "column_num", "position")
+    if hierarchical:
+        sizes = own.groupBy(*PAGE).agg((F.count("*") >= CLUSTERED).alias("clustered"))
+        pick = lambda found, clustered: found.join(sizes.where(F.col("clustered") == clustered), list(PAGE), "left_semi")
+        columns = pick(columns, False).unionByName(ward_columns(pick(own, True)))
+    page = own.groupBy(*PAGE).agg(F.bool_or(F.col("confidence") < least).alias("needs_review"))
+    rows = line_slices(own.join(adaptive_threshold(own), list(PAGE)), F.col("threshold"), "x2", "confidence")
+    each = rows.select(*PAGE, F.col("line_num").alias("row_num"), F.explode("ts").alias("t")).select(*PAGE, "row_num", "t.*")
     words = F.sort_array(F.collect_list(F.struct("y1", "x1", "pos", "text")))
-    out = numbered.groupBy(*PAGE, "row_num", "column_num").agg(F.array_join(F.transform(words, lambda t: t.text), " ").alias("cell_text"), F.min("confidence").alias("confidence"))
-    return out.withColumn("needs_review", F.col("confidence") < scalars.REVIEW)
+    out = cells(each, columns).groupBy(*PAGE, "row_num", "column_num").agg(F.array_join(F.transform(words, lambda t: t.text), " ").alias("cell_text"), F.min("confidence").alias("confidence"))
+    return out.join(page, list(PAGE))
 
 
 def best_rotation(tokens: DataFrame, *by: str) -> DataFrame:

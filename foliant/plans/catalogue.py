@@ -140,10 +140,10 @@ def token_filter_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "token_dims",
-    f"""WITH {TOKENS} SELECT doc_id, page_num, pos, x2 - x1 AS width, y2 - y1 AS height, (x1 + x2) / 2.0::DOUBLE AS cx, (y1 + y2) / 2.0::DOUBLE AS cy, round(1 - greatest(0, least(1, confidence)), 6) AS red, greatest(0, least(1, confidence)) AS green FROM tokens WHERE page_num = 1""",
+    f"""WITH {TOKENS} SELECT doc_id, page_num, pos, x2 - x1 AS width, y2 - y1 AS height, (x1 + x2) / 2.0::DOUBLE AS cx, (y1 + y2) / 2.0::DOUBLE AS cy, round(1 - greatest(0, least(1, confidence)), 6) AS red, greatest(0, least(1, confidence)) AS green FROM tokens""",
 )
 def token_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, c = tables.tokens(spark, sf_dir).where("page_num = 1"), scalars.colour(F.col("confidence"))
+    t, c = tables.tokens(spark, sf_dir), scalars.colour(F.col("confidence"))
     return t.select(
         "doc_id", "page_num", "pos", (F.col("x2") - F.col("x1")).alias("width"), (F.col("y2") - F.col("y1")).alias("height"), scalars.centre(F.col("x1"), F.col("x2")).alias("cx"), scalars.centre(F.col("y1"), F.col("y2")).alias("cy"),
         F.round(c["r"], 6).alias("red"), c["g"].alias("green"),
@@ -222,13 +222,20 @@ def inside_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     "table_cells",
     f"WITH {TOKENS}, own AS (SELECT * FROM tokens WHERE {_INSIDE}), " + _COLUMNS.format(source="own") + """, bounds AS (SELECT *, coalesce((lag(position) OVER w + position) / 2, '-inf'::DOUBLE) AS lo, coalesce((lead(position) OVER w + position) / 2, 'inf'::DOUBLE) AS hi FROM columns WINDOW w AS (PARTITION BY doc_id, page_num ORDER BY position, column_num)),
 placed AS (SELECT t.*, b.column_num FROM own t JOIN bounds b ON t.doc_id = b.doc_id AND t.page_num = b.page_num AND (x1 + x2) / 2.0::DOUBLE >= lo AND (x1 + x2) / 2.0::DOUBLE < hi),
-steps AS (SELECT *, CASE WHEN y1 - lag(y1) OVER w <= 10 THEN 0 ELSE 1 END AS new FROM placed WINDOW w AS (PARTITION BY doc_id, page_num ORDER BY y1, x1, pos)),
-rows AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, page_num ORDER BY y1, x1, pos ROWS UNBOUNDED PRECEDING)::BIGINT AS row_num FROM steps)
-SELECT doc_id, page_num, row_num, column_num, string_agg(text, ' ' ORDER BY y1, x1, pos) AS cell_text, min(confidence) AS confidence, min(confidence) < 0.8 AS needs_review FROM rows GROUP BY ALL""",
+heights AS (SELECT doc_id, page_num, greatest(8, floor(median(y2 - y1) * 0.6))::INT AS threshold, bool_or(confidence < 0.8) AS needs_review FROM own GROUP BY ALL),
+folded AS (SELECT doc_id, page_num, list_reduce(list_prepend({'anchor': -1e9::DOUBLE, 'line': 0, 'of': []::INT[]}, list(struct_pack(anchor := (y1 + y2) / 2.0::DOUBLE, line := 0, of := []::INT[]) ORDER BY y1, x1, pos)),
+  lambda a, t: CASE WHEN a.anchor < -1e8 OR abs(t.anchor - a.anchor) > any_value(threshold) THEN struct_pack(anchor := t.anchor, line := a.line + 1, of := list_append(a.of, a.line + 1)) ELSE struct_pack(anchor := a.anchor, line := a.line, of := list_append(a.of, a.line)) END).of AS lines,
+  list(pos ORDER BY y1, x1, pos) AS poss FROM own JOIN heights USING (doc_id, page_num) GROUP BY doc_id, page_num),
+rows AS (SELECT doc_id, page_num, unnest(lines)::BIGINT AS row_num, unnest(poss) AS pos FROM folded)
+SELECT doc_id, page_num, row_num, column_num, string_agg(text, ' ' ORDER BY y1, x1, pos) AS cell_text, min(confidence) AS confidence, any_value(needs_review) AS needs_review FROM placed JOIN rows USING (doc_id, page_num, pos) JOIN heights USING (doc_id, page_num) GROUP BY ALL""",
 )
 def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tables.tokens(spark, sf_dir)
-    return layout.table(t, _regions(t))
+    return layout.table(tables.tokens(spark, sf_dir), REGION, hierarchical=False)
+
+
+@query("table_cells_clustered")
+def table_cells_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.table(tables.tokens(spark, sf_dir), REGION)
 
 
 @query(
@@ -412,13 +419,12 @@ def upload_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("endpoint_labels", rf"""WITH {FILES}, p AS (SELECT file_id, '/api/v1/' || ['jobs', 'status', 'result', 'review', 'webhooks', 'upload', 'webhooks'][file_id % 7 + 1] || '/' || CASE WHEN file_id % 7 = 4 THEN 'register' ELSE file_id::VARCHAR END AS path FROM files)
-SELECT file_id, CASE file_id % 7 WHEN 0 THEN '/jobs/{{job_id}}' WHEN 1 THEN '/status/{{job_id}}' WHEN 2 THEN '/result/{{job_id}}' WHEN 3 THEN '/review/{{job_id}}' WHEN 6 THEN '/webhooks/{{webhook_id}}' ELSE regexp_replace(path, '/webhooks/register', '/webhooks/register') END AS label FROM p""")
+SELECT file_id, CASE file_id % 7 WHEN 0 THEN '/jobs/{{job_id}}' WHEN 1 THEN '/status/{{job_id}}' WHEN 2 THEN '/result/{{job_id}}' WHEN 3 THEN '/review/{{job_id}}' WHEN 4 THEN '/webhooks/{{webhook_id}}' WHEN 6 THEN '/webhooks/{{webhook_id}}' ELSE path END AS label FROM p""")
 def endpoint_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.array(*map(F.lit, ("jobs", "status", "result", "review", "webhooks", "upload", "webhooks")))
     kind = F.element_at(kinds, (F.col("file_id") % 7 + 1).cast("int"))
     path = F.concat(F.lit("/api/v1/"), kind, F.lit("/"), F.when(F.col("file_id") % 7 == 4, "register").otherwise(F.col("file_id").cast("string")))
-    label = scalars.endpoint_label(path)
-    return tables.source_files(spark, sf_dir).select("file_id", F.when(F.col("file_id") % 7 == 4, "/api/v1/webhooks/register").otherwise(label).alias("label"))
+    return tables.source_files(spark, sf_dir).select("file_id", scalars.endpoint_label(path).alias("label"))
 
 
 @query("content_hash_dupes", "SELECT sha256(text) AS content_hash, count(*) AS copies, min(doc_id) AS first_doc_id FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -510,7 +516,7 @@ def session_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "csv_union_export",
-    f"""WITH {TOKENS}, {_REGIONS}, cells AS (SELECT doc_id, page_num, 1::BIGINT AS table_num, pos // 5 + 1 AS row_num, pos % 5 + 1 AS column_num, text AS cell_text FROM tokens WHERE page_num = 1 AND pos < 20)
+    f"""WITH {TOKENS}, {_REGIONS}, cells AS (SELECT doc_id, page_num, page_num::BIGINT AS table_num, pos // 5 + 1 AS row_num, pos % 5 + 1 AS column_num, text AS cell_text FROM tokens)
 SELECT doc_id, page_num AS page, region_text AS text, confidence, 'text' AS type, x1 AS x, y1 AS y, NULL::BIGINT AS "table", NULL::BIGINT AS "row", NULL::BIGINT AS "column" FROM regions
 UNION ALL SELECT doc_id, page_num, cell_text, 1.0, 'table_cell', NULL, NULL, table_num, row_num, column_num FROM cells""",
 )
@@ -519,15 +525,15 @@ def csv_union_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fixture_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 20 words of a document as a table of five columns."""
-    t = tables.tokens(spark, sf_dir).where("page_num = 1 and pos < 20")
-    return t.select("doc_id", "page_num", F.lit(1).alias("table_num"), (F.floor(F.col("pos") / 5) + 1).alias("row_num"), (F.col("pos") % 5 + 1).alias("column_num"), F.col("text").alias("cell_text"))
+    """Each page's words as a table of five columns."""
+    t = tables.tokens(spark, sf_dir)
+    return t.select("doc_id", "page_num", F.col("page_num").cast("long").alias("table_num"), (F.floor(F.col("pos") / 5) + 1).alias("row_num"), (F.col("pos") % 5 + 1).alias("column_num"), F.col("text").alias("cell_text"))
 
 
 @query(
     "padded_tables",
-    f"""WITH {TOKENS}, cells AS (SELECT doc_id, pos // 5 + 1 AS row_num, pos % 5 + 1 AS column_num, text FROM tokens WHERE page_num = 1 AND pos < 20), widths AS (SELECT doc_id, column_num, max(length(text)) + 2 AS width FROM cells GROUP BY ALL)
-SELECT doc_id, 1 AS table_num, row_num, string_agg(rpad(text, width::INT, ' '), '' ORDER BY column_num) AS line FROM cells JOIN widths USING (doc_id, column_num) GROUP BY ALL""",
+    f"""WITH {TOKENS}, cells AS (SELECT doc_id, page_num::BIGINT AS table_num, pos // 5 + 1 AS row_num, pos % 5 + 1 AS column_num, text FROM tokens), widths AS (SELECT doc_id, table_num, column_num, max(length(text)) + 2 AS width FROM cells GROUP BY ALL)
+SELECT doc_id, table_num, row_num, string_agg(rpad(text, width::INT, ' '), '' ORDER BY column_num) AS line FROM cells JOIN widths USING (doc_id, table_num, column_num) GROUP BY ALL""",
 )
 def padded_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exports.padded(_fixture_cells(spark, sf_dir))
@@ -551,17 +557,29 @@ def marked_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", (F.col("ln") + 1).alias("page_num"), scalars.marked(F.col("line"), kind).alias("marked"))
 
 
-@query("page_json")
+@query(
+    "page_json",
+    f"""WITH {TOKENS}, pages AS (SELECT doc_id, page_num, list({{'text': text, 'bbox': [x1, y1, x2, y2], 'confidence': confidence}} ORDER BY pos) AS tokens FROM tokens GROUP BY ALL)
+SELECT doc_id, to_json({{'id': doc_id, 'pages': list({{'page_num': page_num, 'tokens': tokens}} ORDER BY page_num)}})::VARCHAR AS json FROM pages GROUP BY doc_id""",
+)
 def page_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exports.page_json(tables.tokens(spark, sf_dir))
 
 
-@query("page_xml")
+@query(
+    "page_xml",
+    f"""WITH {TOKENS}, body AS (SELECT doc_id, page_num, string_agg(text, ' ' ORDER BY pos) AS t, round(avg(confidence) + 1e-9, 6) AS c FROM tokens GROUP BY ALL)
+SELECT doc_id, page_num, '<Page>' || chr(10) || '    <Number>' || page_num || '</Number>' || chr(10) || '    <Text>' || replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</Text>' || chr(10) || '    <Confidence>' || c || '</Confidence>' || chr(10) || '</Page>' AS xml FROM body""",
+)
 def page_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exports.page_xml(tables.tokens(spark, sf_dir))
 
 
-@query("markdown_report")
+@query(
+    "markdown_report",
+    f"""SELECT doc_id, '# OCR Processing Report' || chr(10) || chr(10) || '- **Pages Processed:** ' || page_count || chr(10) || '- **Words Extracted:** ' || format('{{:,}}', word_count) || chr(10) || '- **Average Confidence:** ' || round((avg_confidence * 100)::VARCHAR::DECIMAL(20, 15), 1)::DECIMAL(10, 1) || '%'
+  || chr(10) || '- **High Confidence Tokens (>90%):** ' || high_count || chr(10) || '- **Medium Confidence Tokens (70-90%):** ' || medium_count || chr(10) || '- **Low Confidence Tokens (<70%):** ' || low_count AS report FROM ({SQL["doc_summary"]})""",
+)
 def markdown_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exports.markdown_report(doc_summary(spark, sf_dir))
 

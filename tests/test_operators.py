@@ -226,3 +226,26 @@ def test_cleaning(spark):
     r = value(spark, s.mode_settings(F.lit("basic"), F.lit(None).cast("int"), F.lit(True)))
     assert (r.fast, r.max_pages, r.extract_tables) == (True, 3, False)
     assert value(spark, s.rejection(F.lit("a/b"), F.lit(1), F.lit("image/png"))) == "name not allowed" and value(spark, s.rejection(F.lit("a.png"), F.lit(1), F.lit("image/png"))) is None
+
+
+def test_table_rows_by_the_first_token(spark):
+    """Tokens 12 high, each 9 below the one before: rows of their own, as 9 is more than the threshold of 8."""
+    rows = [(1, 1, i, f"w{i}", 10, 9 * i, 30, 9 * i + 12, 0.9 if i else 0.5) for i in range(6)]
+    tokens = spark.createDataFrame(rows, "doc_id long, page_num int, pos int, text string, x1 int, y1 int, x2 int, y2 int, confidence double")
+    for hierarchical in (False, True):
+        out = layout.table(tokens, (0, 0, 100, 100), hierarchical=hierarchical).collect()
+        assert sorted((r.row_num, r.column_num, r.cell_text) for r in out) == [(i + 1, 1, f"w{i}") for i in range(6)]
+        # One token of low confidence marks the whole table.
+        assert all(r.needs_review for r in out)
+    regions = spark.createDataFrame([(1, 1, 0, 0, 100, 30)], "doc_id long, page_num int, rx1 int, ry1 int, rx2 int, ry2 int")
+    assert layout.table(tokens, regions).count() == 3
+
+
+def test_table_columns_clustered(spark):
+    """Centres 15 apart are one column by gaps of 20; clustering may part them, and keeps every word."""
+    rows = [(1, 1, i, f"w{i}", x, 20 * (i // 4), x + 10, 20 * (i // 4) + 12, 0.9) for i, x in enumerate([0, 15, 80, 95] * 2)]
+    tokens = spark.createDataFrame(rows, "doc_id long, page_num int, pos int, text string, x1 int, y1 int, x2 int, y2 int, confidence double")
+    by_gaps = {(r.row_num, r.column_num): r.cell_text for r in layout.table(tokens, (0, 0, 200, 100), hierarchical=False).collect()}
+    clustered = {(r.row_num, r.column_num): r.cell_text for r in layout.table(tokens, (0, 0, 200, 100)).collect()}
+    assert by_gaps == {(1, 1): "w0 w1", (1, 2): "w2 w3", (2, 1): "w4 w5", (2, 2): "w6 w7"}
+    assert sorted(" ".join(clustered[k] for k in sorted(clustered)).split()) == [f"w{i}" for i in range(8)]
