@@ -172,7 +172,7 @@ def test_licenses(spark, docs, nothing):
     assert licenses.scan(nothing).collect() == []
     for text, label in (
         ("SPDX-License-Identifier: GPL-2.0-or-later", "gpl-2.0+"), ("under the GNU General Public License, version 3.", "gpl-3.0"), ("Licensed under CC BY-NC 4.0.", "cc-by-nc-4.0"),
-        ("released under the 3-clause BSD license", "bsd-3-clause"), ("Mozilla Public License 2.0", "mpl-2.0"), ("in the public domain", "public-domain"), ("DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE", "wtfpl"),
+        ("released under the 3-clause BSD license", "bsd-3-clause"), ("All rights\nreserved.", "all-rights-reserved"), ("ALL RIGHTS  RESERVED", "all-rights-reserved"), ("cc\tby 4.0", "cc-by-4.0"), ("Zero-Clause BSD", "0bsd"), ("Mozilla Public License 2.0", "mpl-2.0"), ("in the public domain", "public-domain"), ("DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE", "wtfpl"),
     ):
         found = licenses.scan(spark.createDataFrame([(text,)], "text string")).first()
         assert label in found.labels.split(","), (text, found.labels)
@@ -216,6 +216,87 @@ def test_native_plans(spark, sf, name):
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow", "MapPartitions"))
 
 
+def test_pipeline_stages(spark, sf):
+    """Nulls, ties, repeated rows, clashing columns and empty tables in each stage."""
+    import corpus_pipeline as p
+
+    known = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    names = ("_text", "score", "size", "_copy", "lang_pred", "target", "shard", "__key", "id", "fp")
+    odd = spark.createDataFrame(DOCS, SCHEMA).drop("size")
+    frame = known.select("doc_id", "text", "source", "lang").unionByName(odd).select("*", *(F.lit(i).alias(c) for i, c in enumerate(names)))
+    empty = frame.where("false")
+    for name, stage in p.STAGES:
+        out = stage(spark, frame, sf)
+        rows = out.collect()
+        assert sorted(out.columns) == sorted(frame.columns) and rows, name
+        assert all(r[c] == i for r in rows for i, c in enumerate(names) if (name, c) != ("sharding", "shard")), name
+        if name == "language_id":
+            assert all(r.text and r.text.strip() for r in rows) and len(rows) >= 40
+        if name == "near_dedup":
+            assert len({r.text for r in rows if r.text and r.text.strip()}) == len([r for r in rows if r.text and r.text.strip()])
+            assert sum(not (r.text or "").strip() for r in rows) == 1
+        if name == "sharding":
+            assert len(rows) == frame.count() and len({(r.text, r.shard) for r in rows}) == len({r.text for r in rows}) and {r.shard for r in rows} <= set(range(p.SHARDS))
+        assert stage(spark, empty, sf).collect() == [], name
+
+
+def test_license_rules(spark):
+    """Every alternative of every rule, in capitals and over odd gaps, against a plain version; each has a keyword and a gate."""
+    import re
+    from re import _parser as parser
+
+    def texts(pattern, full):
+        def walk(parsed):
+            out = [""]
+            for op, arg in parsed:
+                kind = str(op)
+                if kind == "LITERAL":
+                    part = [chr(arg)]
+                elif kind == "IN":
+                    part = [chr(arg[0][1])] if str(arg[0][0]) == "LITERAL" else [{"CATEGORY_WORD": "w", "CATEGORY_DIGIT": "9", "CATEGORY_NOT_SPACE": "x"}[str(arg[0][1])]]
+                elif kind == "BRANCH":
+                    part = [x for b in arg[1] for x in walk(b)]
+                elif kind == "SUBPATTERN":
+                    part = walk(arg[3])
+                elif kind in ("MAX_REPEAT", "MIN_REPEAT"):
+                    n = max(arg[0], min(1, arg[1])) if full else arg[0]
+                    part = [x * n for x in walk(arg[2])] if n else [""]
+                else:
+                    part = [""]
+                out = [a + b for a in out for b in dict.fromkeys(part)][:200]
+            return out
+
+        return dict.fromkeys(re.sub(" +", " ", x).strip() for x in walk(parser.parse(pattern)))
+
+    rules, lines = licenses.rules(), []
+    for rule in rules:
+        # Of a grant, one form of the words before the name.
+        pattern = rule["pattern"].replace(licenses.GRANT, "licensed under the ")
+        for full in (False, True):
+            for line in texts(pattern, full):
+                assert any(k in line for k in rule["keywords"]) and any(all(w in line for w in g.split()) for g in licenses.GATES), (rule["label"], line)
+                lines.append((rule["label"], line))
+    compiled = [(r, re.compile(r["pattern"])) for r in rules]
+
+    def plain(line):
+        every = sorted(
+            (-r["priority"], -len(m[0].split()), len(line[: m.start()].split()), r["place"], r["label"]) for r, p in compiled for m in p.finditer(line) if m[0].strip() and any(k in line for k in r["keywords"])
+        )
+        kept = []
+        for low, short, start, _, label in every:
+            stop = start - short
+            if not any(a <= start and stop <= b or p > -low and a < stop and start < b for p, a, b, _ in kept):
+                kept.append((-low, start, stop, label))
+        return {label for *_, label in kept} | {label for phrase, label in licenses.BASE if f" {phrase} " in f" {line} "}
+
+    lines = sorted(set(lines))
+    frame = spark.createDataFrame([(i, "((" + line.upper().replace(" ", (" \n\t", "--", ".\r\n* ", " ")[i % 4]) + ")") for i, (_, line) in enumerate(lines)], "i int, text string")
+    out = {r.i: set(r.labels.split(",")) for r in licenses.scan(frame).select("i", "labels").collect()}
+    assert len(lines) > 1000 and len(rules) > 400
+    for i, (_, line) in enumerate(lines):
+        assert out[i] == plain(line), line
+
+
 def test_release(spark, nothing):
     kept, gone = common.saved(nothing, "a", "kept"), common.saved(nothing, "b", "gone")
     common.release(spark, "gone")

@@ -8,8 +8,9 @@ from collections import Counter, defaultdict
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from foliant.llm import language, licenses, sharding, substrings
+from foliant.llm import language, licenses, mixing, sharding, substrings
 from foliant.llm.queries import QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -130,9 +131,21 @@ def test_op5(spark, sf, docs):
         slots[r.shard].append(r.slot)
         total[r.shard] += r["size"]
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(40))
+    assert max(total.values()) == capacity([hashlib.sha256(t.encode()).digest() for t in docs.text], [len(t.encode()) + 16 for t in docs.text])
+
+
+def _sums(out):
+    total = Counter()
+    for r in out:
+        total[r.shard] += len(r.text.encode()) + 16
+    return total
+
+
+def capacity(keys, weights):
+    """The smallest capacity of 40 shards, by trying them in order of the groups' keys."""
     groups = defaultdict(int)
-    for t in docs.text:
-        groups[hashlib.sha256(t.encode()).digest()] += len(t.encode()) + 16
+    for key, weight in zip(keys, weights, strict=True):
+        groups[key] += weight
     sizes = [groups[g] for g in sorted(groups)]
 
     def fits(most):
@@ -147,7 +160,7 @@ def test_op5(spark, sf, docs):
     while low < high:
         mid = (low + high) // 2
         low, high = (low, mid) if fits(mid) else (mid + 1, high)
-    assert max(total.values()) == low
+    return low
 
 
 @pytest.mark.parametrize("held", [8, 64])
@@ -223,8 +236,16 @@ def test_pipeline(spark, sf, docs):
     assert clean == {d for d in ids if not any(len(i & sets[d]) >= 0.8 * len(i) for i in items)}
     repeats = Counter(r.doc_id for r in p.mix(spark, frame, sf).collect())
     assert repeats == {r.doc_id: r.repetitions for r in QUERIES["op2_mixing"](spark, sf).collect() if r.repetitions}
+    # The stages on one another, each held against brute force on its own input.
     out = p.run(spark, sf).collect()
-    assert out and {r.shard for r in out} <= set(range(40)) and {r.doc_id for r in out} <= set(ids)
+    first = {r.doc_id for r in one.collect()}
+    kept = set(roots(sorted(first), [(a, b) for a, b in near if a in first and b in first]).values())
+    clean = {d for d in kept if not any(len(i & sets[d]) >= 0.8 * len(i) for i in items)}
+    mixed = {r.doc_id: r.repetitions for r in mixing.mix(frame.where(F.col("doc_id").isin(clean))).collect() if r.repetitions}
+    assert Counter(r.doc_id for r in out) == mixed and {r.shard for r in out} <= set(range(40))
+    text = dict(zip(docs.doc_id, docs.text, strict=True))
+    assert all(r.text == text[r.doc_id] for r in out) and len({(r.text, r.shard) for r in out}) == len({r.text for r in out})
+    assert capacity([hashlib.sha256(r.text.encode()).digest() for r in out], [len(r.text.encode()) + 16 for r in out]) == max(Counter(_sums(out)).values())
 
 
 def test_language_words_then_grams():
