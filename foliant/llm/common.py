@@ -40,11 +40,11 @@ def new_path(spark: SparkSession, name: str, scope: str = "") -> str:
     return path
 
 
-def saved(df: DataFrame, name: str, scope: str = "") -> DataFrame:
+def saved(df: DataFrame, name: str, scope: str = "", compression: str = "snappy") -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage, and survives the loss of executors."""
     spark = df.sparkSession
     path = new_path(spark, name, scope)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,7 +7,7 @@ import math
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import saved
+
 # Fixed by the format.
 SOI, EOI, SOS, DQT, DHT, DRI, COM, SOF2 = 0xD8, 0xD9, 0xDA, 0xDB, 0xC4, 0xDD, 0xFE, 0xC2
 #: Index in a block of 8 x 8 of each coefficient in zigzag order: along the diagonals, in turn up and down.
@@ -53,11 +55,15 @@ class Table:
                 self.codes[n, code] = symbols[at]
                 code, at = code + 1, at + 1
             code <<= 1
+        #: By the next 16 bits: the symbol whose code they begin with, and the code's length (0 if there is none).
+        self.ahead: list[tuple[int, int]] = [(0, 0)] * (1 << 16)
+        for (n, code), symbol in self.codes.items():
+            self.ahead[code << (16 - n) : (code + 1) << (16 - n)] = [(symbol, n)] * (1 << (16 - n))
         #: The symbol and the length of its code (zeros), if the table has one only: then codes have fixed places.
         self.only = (symbols[0], next(n for n, c in enumerate(lengths, 1) if c)) if len(symbols) == 1 else None
 
 
-@lru_cache(256)
+@lru_cache(32)
 def _table(lengths: bytes, symbols: bytes) -> Table:
     return Table(lengths, symbols)
 
@@ -68,6 +74,7 @@ class Bits:
     def __init__(self, data: bytes):
         self.data, self.at = np.frombuffer(data, np.uint8), 0
         self.all: np.ndarray | None = None
+        self.windows: list[int] | None = None
 
     @property
     def bits(self) -> np.ndarray:
@@ -82,19 +89,31 @@ class Bits:
         self.at += n
         return out
 
+    @property
+    def ahead(self) -> list[int]:
+        """For each byte the number of four bytes that begins with it; bits 1 follow the end."""
+        if self.windows is None:
+            padded = np.concatenate([self.data, np.full(4, 255, np.uint8)]).astype(np.uint32)
+            self.windows = (padded[:-3] << 24 | padded[1:-2] << 16 | padded[2:-1] << 8 | padded[3:]).tolist()
+        return self.windows
+
     def number(self, n: int) -> int:
-        out = 0
-        for b in self.take(n).tolist():
-            out = out << 1 | b
+        if self.at + n > 8 * len(self.data):
+            raise ValueError("a scan ends too early")
+        out = (self.ahead[self.at >> 3] << (self.at & 7) & 0xFFFFFFFF) >> (32 - n) if n else 0
+        self.at += n
         return out
 
     def symbol(self, table: Table) -> int:
-        code = 0
-        for n in range(1, 17):
-            code = code << 1 | int(self.take(1)[0])
-            if (n, code) in table.codes:
-                return table.codes[n, code]
-        raise ValueError("no such code")
+        if self.at >= 8 * len(self.data):
+            raise ValueError("a scan ends too early")
+        symbol, n = table.ahead[self.ahead[self.at >> 3] >> (16 - (self.at & 7)) & 0xFFFF]
+        if not n:
+            raise ValueError("no such code")
+        self.at += n
+        if self.at > 8 * len(self.data):
+            raise ValueError("a scan ends too early")
+        return symbol
 
     def signed(self, n: int) -> int:
         v = self.number(n)
@@ -407,38 +426,58 @@ def decoded(df: DataFrame, content: str) -> DataFrame:
     return df.select(*(df[c] for c in kept), decode(F.col(content)).alias("__media")).select(*kept, "__media.*")
 
 
-SCHEMA = pa.schema(
+MEDIA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
+FEATURES = pa.schema(
     [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
 )
+#: Rows of an Arrow batch that are worked on at a time.
+ROWS = 200
 
 
-def features(text: str | None) -> tuple:
+def _batches(work: Callable[..., tuple], schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Row-wise work on Arrow batches, a few rows at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, ROWS):
+                rows = [work(*x) for x in zip(*(c.to_pylist() for c in batch.slice(i, ROWS).columns), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+    return run
+
+
+def _stored(doc_id: int | None, text: str | None) -> tuple:
     raw = (text or "").encode("utf-8", "replace")
-    media = carry(raw + b"\xff" * (-len(raw) % PADDING if raw else PADDING))
+    return doc_id, len(raw), carry(raw + b"\xff" * (-len(raw) % PADDING if raw else PADDING))
+
+
+def _features(doc_id: int | None, n_bytes: int, media: bytes) -> tuple:
     image = Image(media)
     payload, rgb = carried(image), image.rgb()
     mean = rgb.reshape(-1, 3).sum(axis=0, dtype=np.int64) * 3 / rgb.size
     feature = f"{image.width}x{image.height} rgb {mean[0]:.2f} {mean[1]:.2f} {mean[2]:.2f}"
-    return len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature
+    return doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
 
-def text_features(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row per row of df: whole texts (null: empty) stored as progressive JPEGs, read back, and transformed to RGB.
+def text_media(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row per row of df: doc_id, n_bytes, media: whole texts (null: empty) as progressive JPEGs.
 
-    Empty texts are one unit of padding. Long texts are transformed in strips, so that a task holds little more than the
-    tensor of one text. Other columns of df have no part in it.
+    Empty texts are one unit of padding; equal texts have equal bytes; a task holds a few texts at a time, and a long
+    one in memory in proportion to itself. Other columns of df have no part in it; an empty table gives an empty one.
     """
+    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(_batches(_stored, MEDIA), "doc_id long, n_bytes long, media binary")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            for i in range(0, batch.num_rows, 500):
-                rows = [(a.as_py(), *features(b.as_py())) for a, b in zip(ids[i : i + 500], texts[i : i + 500], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), SCHEMA.types, strict=True)], schema=SCHEMA)
 
+def media_features(media: DataFrame) -> DataFrame:
+    """A row per row of text_media(): the payload read back from the stored bytes, and features of the RGB tensor.
+
+    Long texts are transformed in strips, so that a task holds little more than the tensor of one text.
+    """
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(work, schema)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(_batches(_features, FEATURES), schema)
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_features(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Stores the media column as a table, and computes the features from the bytes that the table has."""
+    return media_features(saved(text_media(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media", compression="zstd"))

@@ -203,9 +203,9 @@ def test_warc_dictionary():
 
 
 def test_media(docs, nothing):
-    out = media.text_features(docs).collect()
+    out = media.media_features(media.text_media(docs)).collect()
     assert len(out) == len(DOCS) and {r.payload_bytes for r in out if not r.n_bytes} == {576}
-    assert len({tuple(r)[1:] for r in out if r.doc_id in (5, 6)}) == 1 and media.text_features(nothing).collect() == []
+    assert len({tuple(r)[1:] for r in out if r.doc_id in (5, 6)}) == 1 and media.media_features(media.text_media(nothing)).collect() == []
 
 
 @pytest.mark.parametrize("name", ["op2_mixing", "op6_licenses"])
