@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from .common import lookup, saved
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Path segments that templates tell apart; what follows is one wildcard.
-DEPTH = 4
 #: A word stays a branch of its own with so many pages and at least this share of its parent's: at most 1 / SHARE branches.
 SUPPORT, SHARE = 8, 1 / 64
 #: Weight of the parent's purity in labelled pages; sibling rates within so many standard errors merge; purity that rejects.
@@ -60,23 +58,28 @@ def templates(rows: DataFrame, scope: str = "") -> DataFrame:
     """Adds `template`, an array of segments, to rows (host, path, ...).
 
     Level by level below each host: variable shapes become wildcards, as do words that are rare below their parent.
-    Only counts by (host, prefix, word) are shuffled, after partial aggregation, so that a host may hold any share of rows.
+    Levels follow as long as any parent has SUPPORT pages below it; of fewer, no word could be a branch, and what is
+    left of their paths is one wildcard. Only counts by (host, prefix, word) are shuffled, after partial aggregation, so
+    that a host may hold any share of rows.
     """
     parts = F.filter(F.split("path", "/"), lambda s: s != "")
-    out = rows.withColumn("_parts", parts).withColumn("template", F.array().cast("array<string>"))
-    for level in range(DEPTH):
+    out, level = rows.withColumn("_parts", parts).withColumn("template", F.array().cast("array<string>")), 0
+    while True:
         part = F.get("_parts", F.lit(level))
         out = out.withColumn("_part", part).withColumn("_shape", shape(F.col("_part")))
+        total = out.where(F.col("_part").isNotNull()).groupBy("host", "template").agg(F.count("*").alias("_all")).where(F.col("_all") >= SUPPORT)
+        total = saved(total, "url-parents", scope)
+        if total.isEmpty():
+            break
         word = out.where(F.col("_part").isNotNull() & F.col("_shape").isNull())
         counts = word.groupBy("host", "template", "_part").agg(F.count("*").alias("_n")).where(F.col("_n") >= SUPPORT)
-        total = out.where(F.col("_part").isNotNull()).groupBy("host", "template").agg(F.count("*").alias("_all"))
         often = saved(counts.join(total, ["host", "template"]).where(F.col("_n") >= F.col("_all") * SHARE).select("host", "template", "_part", F.lit(True).alias("_often")), "url-words", scope)
         joined = out.join(lookup(often), ["host", "template", "_part"], "left")
         named = F.when(F.col("_part").isNull(), F.col("template")).otherwise(
             F.concat("template", F.array(F.coalesce(F.col("_shape"), F.when(F.col("_often"), F.col("_part")), F.lit("{word}"))))
         )
-        out = saved(joined.select(*rows.columns, "_parts", named.alias("template")), "url-level", scope)
-    rest = F.when(F.size("_parts") > DEPTH, F.concat("template", F.array(F.lit("{rest}")))).otherwise(F.col("template"))
+        out, level = saved(joined.select(*rows.columns, "_parts", named.alias("template")), "url-level", scope), level + 1
+    rest = F.when(F.size("_parts") > level, F.concat("template", F.array(F.lit("{rest}")))).otherwise(F.col("template"))
     return out.select(*rows.columns, rest.alias("template"))
 
 
@@ -87,10 +90,11 @@ def merged_branches(stats: DataFrame, scope: str = "") -> DataFrame:
     rates, each is held against the one before it by the two-proportion test; unlabelled siblings are a branch apart.
     """
     out = stats.withColumn("merged", F.col("template"))
-    for level in range(DEPTH - 1, -1, -1):
+    depth = stats.agg(F.max(F.size("template"))).first()[0] or 0
+    for level in range(depth - 1, -1, -1):
         word = F.get("merged", F.lit(level))
         same = out.where(word.isNotNull() & ~F.startswith(word, F.lit("{"))).groupBy("host", "merged").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-        key = F.concat(F.slice("merged", 1, level), F.array(F.lit("*")), F.slice("merged", level + 2, DEPTH + 1))
+        key = F.concat(F.slice("merged", 1, level), F.array(F.lit("*")), F.slice("merged", level + 2, depth))
         n = F.col("good") + F.col("bad")
         each = same.select("host", "merged", key.alias("key"), word.alias("word"), n.alias("n"), F.when(n > 0, F.col("bad") / n).alias("rate"))
         w = Window.partitionBy("host", "key", F.col("rate").isNull()).orderBy("rate", "word")
@@ -101,7 +105,7 @@ def merged_branches(stats: DataFrame, scope: str = "") -> DataFrame:
         runs = each.withColumn("new", splits.cast("int")).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
         family = Window.partitionBy("host", "key", F.col("rate").isNull(), "run")
         named = runs.withColumn("size", F.count("*").over(family)).withColumn("least", F.min("word").over(family)).where("size > 1")
-        branch = named.select("host", "merged", F.concat(F.slice("merged", 1, level), F.array(F.concat(F.lit("{like "), "least", F.lit("}"))), F.slice("merged", level + 2, DEPTH + 1)).alias("_branch"))
+        branch = named.select("host", "merged", F.concat(F.slice("merged", 1, level), F.array(F.concat(F.lit("{like "), "least", F.lit("}"))), F.slice("merged", level + 2, depth)).alias("_branch"))
         out = saved(out.join(branch, ["host", "merged"], "left").select(*stats.columns, F.coalesce("_branch", "merged").alias("merged")), "url-merged", scope)
     return out
 

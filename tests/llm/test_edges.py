@@ -164,6 +164,23 @@ def test_urls(spark):
     assert urls.judge(frame.where("page_id < 0"), some).collect() == [] and urls.judge(frame, ()).count() == len(rows)
 
 
+def test_deep_urls(spark):
+    """Branches that differ from the sixth segment on are told apart; verdicts are held against plain counts."""
+    from collections import Counter
+
+    rows = [(i, f"http://h.net/a/b/c/d/e/{w}/page{i:03d}") for i in range(60) for w in ("good", "bad", "other")] + [(999, "http://h.net/" + "x/" * 300)]
+    rules = tuple((a, f"h.net/a/b/c/d/e/{w}/page{i:03d}") for i in range(0, 60, 3) for w, a in (("good", "allow"), ("bad", "block")))
+    out = urls.judge(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()
+    assert Counter((r.path.split("/")[6] if r.page_id < 60 else "deep", r.verdict) for r in out if r.rule is None) == {("good", "allow"): 40, ("bad", "block"): 40, ("other", "allow"): 60, ("deep", "allow"): 1}
+    # Plain version: every page's template is its word's branch; purity is smoothed down from the share over all (0.5),
+    # the host's and the first segment's, which have the same labels: 0.5 again.
+    bad = {"good": (0, 20), "bad": (20, 20), "other": (0, 0)}
+    for r in out:
+        if r.page_id < 60 and r.rule is None:
+            b, k = bad[r.path.split("/")[6]]
+            assert r.verdict == ("block" if (b + urls.SMOOTHING * 0.5) / (k + urls.SMOOTHING) >= urls.REJECT else "allow")
+
+
 def test_licenses(spark, docs, nothing):
     out = licenses.scan(docs)
     assert out.columns.count("labels") == 1 and len(out.collect()) == len(DOCS)
