@@ -76,6 +76,19 @@ def annotations(tokens: DataFrame) -> DataFrame:
     return tokens.select("doc_id", "page_num", "pos", "x1", "y1", "x2", "y2", scalars.colour(F.col("confidence")).alias("colour"))
 
 
+def line_rows(tokens: DataFrame) -> DataFrame:
+    """Tokens (page_num, line_num, position, ...) as rows of a table of words in the layout's order: by page, then y1, x1."""
+    out = tokens.select("doc_id", F.col("page_num").alias("page_number"), F.col("line_num").alias("line_number"), "position", "text", F.coalesce("confidence", F.lit(1.0)).alias("confidence"), "x1", "y1")
+    return out.orderBy("doc_id", "page_number", "y1", "x1")
+
+
+def document_totals(tokens: DataFrame, cells: DataFrame) -> DataFrame:
+    """By document its pages, words and tables; both sides are counted before they are joined."""
+    words = tokens.groupBy("doc_id", "page_num").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.count("*").alias("page_count"), F.sum("n").alias("word_count"))
+    tables = cells.groupBy("doc_id", "page_num", "table_num").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.count("*").alias("table_count"))
+    return words.join(tables, "doc_id", "left").select("doc_id", "page_count", "word_count", F.coalesce("table_count", F.lit(0)).cast("long").alias("table_count"))
+
+
 def workbook(summary: DataFrame, rows: DataFrame, cells: DataFrame) -> dict[str, DataFrame]:
     """The sheets of a workbook: summary, text, tables, and what needs review."""
     return {"Summary": summary, "Text Content": rows, "Tables": cells, "Review_Items": rows.where(F.col("confidence") < scalars.REVIEW)}

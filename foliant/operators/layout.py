@@ -138,6 +138,21 @@ def extracted_rows(regions: DataFrame, least: float = scalars.REVIEW) -> DataFra
     )
 
 
+def large_boxes(boxes: DataFrame, width: Column, height: Column, least: float = 0.01) -> DataFrame:
+    """Boxes (x1, y1, x2, y2) of more than a share of the page's area: those that may be tables."""
+    return boxes.where((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")) > width * height * F.lit(least))
+
+
+def wide_boxes(boxes: DataFrame, width: float = 20, height: float = 10) -> DataFrame:
+    """Boxes that are wider and higher than a cell is at least."""
+    return boxes.where((F.col("x2") - F.col("x1") > width) & (F.col("y2") - F.col("y1") > height))
+
+
+def line_positions(boxes: DataFrame) -> DataFrame:
+    """By page the distinct left edges, in order: the columns that ruled lines tell."""
+    return boxes.groupBy(*PAGE).agg(F.array_sort(F.collect_set("x1")).alias("positions"))
+
+
 def ward_positions(values: np.ndarray, distance: float = 20.0) -> list[float]:
     """Ward's clusters of numbers, cut at a distance: their means in order.
 

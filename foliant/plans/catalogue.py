@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from foliant.functions import scalars
 from foliant.operators import confidence, exports, jobs, layout
 from foliant.plans import pipeline
-from foliant.sources import tables
+from foliant.sources import readers, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -539,6 +539,51 @@ def padded_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exports.padded(_fixture_cells(spark, sf_dir))
 
 
+@query("line_position_export", f"""WITH {TOKENS} SELECT doc_id, page_num AS page_number, pos // 15 + 1 AS line_number, pos % 15 + 1 AS position, text, confidence, x1, y1 FROM tokens""")
+def line_position_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tables.tokens(spark, sf_dir)
+    return exports.line_rows(t.withColumn("line_num", F.floor(F.col("pos") / 15) + 1).withColumn("position", F.col("pos") % 15 + 1))
+
+
+@query(
+    "document_totals",
+    f"""WITH {TOKENS} SELECT doc_id, count(DISTINCT page_num) AS page_count, count(*) AS word_count, count(DISTINCT page_num) AS table_count FROM tokens GROUP BY doc_id""",
+)
+def document_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exports.document_totals(tables.tokens(spark, sf_dir), _fixture_cells(spark, sf_dir))
+
+
+@query("wide_boxes", f"""WITH {TOKENS} SELECT doc_id, page_num, pos FROM tokens WHERE x2 - x1 > 20 AND y2 - y1 > 10""")
+def wide_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.wide_boxes(tables.tokens(spark, sf_dir)).select("doc_id", "page_num", "pos")
+
+
+@query("large_boxes", f"""WITH {TOKENS} SELECT doc_id, page_num, pos FROM tokens WHERE (x2 - x1) * (y2 - y1) > 600 * 100 * 0.01""")
+def large_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.large_boxes(tables.tokens(spark, sf_dir), F.lit(600), F.lit(100)).select("doc_id", "page_num", "pos")
+
+
+@query("line_positions", f"""WITH {TOKENS} SELECT doc_id, page_num, string_agg(DISTINCT x1, ',' ORDER BY x1) AS positions FROM tokens GROUP BY ALL""")
+def line_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.line_positions(tables.tokens(spark, sf_dir)).withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ","))
+
+
+@query(
+    "recognizer_results",
+    f"""WITH {TOKENS} SELECT doc_id, page_num, pos, text, x1, y1, x2, y2, confidence FROM tokens""",
+)
+def recognizer_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as results of both formats, by the document's number, read back to tokens."""
+    t = tables.tokens(spark, sf_dir)
+    corners = F.array(F.array("x1", "y1"), F.array("x2", "y1"), F.array("x2", "y2"), F.array("x1", "y2")).cast("array<array<double>>")
+    pages = t.groupBy("doc_id", "page_num").agg(F.sort_array(F.collect_list(F.struct("pos", "text", "confidence", corners.alias("poly")))).alias("ts"))
+    named = F.to_json(F.array(F.struct(F.transform("ts", lambda w: w.text).alias("rec_texts"), F.transform("ts", lambda w: w.confidence).alias("rec_scores"), F.transform("ts", lambda w: w.poly).alias("rec_polys"))))
+    item = lambda w: F.concat(F.lit("["), F.to_json(w.poly), F.lit(",["), F.regexp_replace(F.to_json(F.array(w.text)), r"^\[|\]$", ""), F.lit(","), w.confidence.cast("string"), F.lit("]]"))
+    listed = F.concat(F.lit("[["), F.array_join(F.transform("ts", item), ","), F.lit("]]"))
+    out = readers.result_tokens(pages.select("doc_id", "page_num", F.when(F.col("doc_id") % 2 == 0, named).otherwise(listed).alias("result")))
+    return out.select("doc_id", "page_num", "pos", "text", *(F.col("bbox")[i].alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))), "confidence")
+
+
 @query("dynamic_columns_pivot", """SELECT doc_id, CASE WHEN lang = 'de' THEN source ELSE '' END AS de, CASE WHEN lang = 'en' THEN source ELSE '' END AS en, CASE WHEN lang = 'es' THEN source ELSE '' END AS es, CASE WHEN lang = 'fr' THEN source ELSE '' END AS fr, source AS "source" FROM documents""")
 def dynamic_columns_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.table(spark, sf_dir, "documents").select("doc_id", F.create_map(F.col("lang"), F.col("source"), F.lit("source"), F.col("source")).alias("columns"))

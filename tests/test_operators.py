@@ -205,7 +205,7 @@ def test_recognizers(spark):
 
         return Engine()
 
-    assert [(r.text, r.confidence) for r in readers.recognized(images, make).orderBy("pos").collect()] == [("x", 0.9), ("y", 0.0)]
+    assert [(r.text, r.confidence) for r in readers.recognized(images, make).where("error is null").orderBy("pos").collect()] == [("x", 0.9), ("y", 0.0)]
 
 
 def test_profiles(spark, page):
@@ -249,3 +249,14 @@ def test_table_columns_clustered(spark):
     clustered = {(r.row_num, r.column_num): r.cell_text for r in layout.table(tokens, (0, 0, 200, 100)).collect()}
     assert by_gaps == {(1, 1): "w0 w1", (1, 2): "w2 w3", (2, 1): "w4 w5", (2, 2): "w6 w7"}
     assert sorted(" ".join(clustered[k] for k in sorted(clustered)).split()) == [f"w{i}" for i in range(8)]
+
+
+def test_results_of_recognizers(spark):
+    rows = [
+        (1, '[{"rec_texts": ["a", "b", "c", "d"], "rec_scores": [0.9, null], "rec_polys": [[[1.7, 2.2], [9, 2], [9, 8.9], [1, 8]], [[1, 1]], []]}]'),
+        (2, '[[[[[3, 4], [5, 4], [5, 6], [3, 6]], ["x, \\"y\\"", 0.5]], [[[0, 0], [1, 1]], ["bad", "no number"]], "junk", [[[0, 0], [2, 3]], ["z", 1]]]]'),
+        (3, "[]"), (4, None), (5, "no json"),
+    ]
+    out = {(r.id, r.pos): (r.text, r.bbox, r.confidence) for r in readers.result_tokens(spark.createDataFrame(rows, "id int, result string")).collect()}
+    # The second word's score is null and the third's polygon has no points: both are left out.
+    assert out == {(1, 0): ("a", [1, 2, 9, 8], 0.9), (1, 3): ("d", [0, 0, 0, 0], 0.0), (2, 0): ('x, "y"', [3, 4, 5, 6], 0.5), (2, 3): ("z", [0, 0, 2, 3], 1.0)}
