@@ -158,7 +158,7 @@ def _rarity(df: DataFrame, text: str, shingle: int, rows: int) -> np.ndarray:
     There are more buckets for more rows, up to a bound: 16 MB that every worker gets. A task's counts are shuffled as
     blocks of bytes, which compress well.
     """
-    bits = min(BUCKET_BITS[1], max(BUCKET_BITS[0], (4 * rows).bit_length()))
+    bits = min(BUCKET_BITS[1], max(BUCKET_BITS[0], (16 * rows).bit_length()))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(1 << bits, np.uint32)
@@ -166,14 +166,15 @@ def _rarity(df: DataFrame, text: str, shingle: int, rows: int) -> np.ndarray:
             for t in x["text"]:
                 np.add.at(total, shingle_hashes(t, shingle) >> np.uint64(64 - bits), 1)
         for i in range(0, 1 << bits, COUNTED):
-            if total[i : i + COUNTED].any():
-                yield pd.DataFrame({"block": [i // COUNTED], "counts": [total[i : i + COUNTED].tobytes()]})
+            part = total[i : i + COUNTED]
+            if most := part.max():
+                yield pd.DataFrame({"block": [i // COUNTED], "counts": [part.astype(np.uint8 if most < 256 else np.uint32).tobytes()]})
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
         for x in batches:
             for block, counts in zip(x["block"], x["counts"], strict=True):
-                sums[block] = sums.get(block, np.zeros(COUNTED, np.int64)) + np.frombuffer(counts, np.uint32)
+                sums[block] = sums.get(block, np.zeros(COUNTED, np.int64)) + np.frombuffer(counts, np.uint8 if len(counts) == COUNTED else np.uint32)
         for block, total in sums.items():
             yield pd.DataFrame({"block": [block], "logs": [np.rint(np.log2(total + 1) * 6).astype(np.uint8).tobytes()]})
 
