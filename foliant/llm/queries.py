@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import infill, negatives
 from .decontamination import op9_decontamination
 from .language import op7_language
 from .licenses import op6_licenses
@@ -24,6 +25,8 @@ QUERIES = {
     "op8_media": op8_media,
     "op9_decontamination": op9_decontamination,
     "op10_simhash": op10_simhash,
+    "op12_negatives": negatives.op12_negatives,
+    "op13_infill": infill.op13_infill,
 }
-#: SQL has no XXH64, CRC-32, base32, JPEG or trained model; tests/llm holds each query against brute force instead.
-SQL: dict[str, str] = {}
+#: For the others: SQL has no XXH64, CRC-32, base32, JPEG or trained model; tests/llm holds each query against brute force instead.
+SQL: dict[str, str] = {"op12_negatives": negatives.SQL, "op13_infill": infill.SQL}
