@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import infill, negatives
+from . import infill, jaccard, negatives
 from .decontamination import op9_decontamination
 from .language import op7_language
 from .licenses import op6_licenses
@@ -25,8 +25,9 @@ QUERIES = {
     "op8_media": op8_media,
     "op9_decontamination": op9_decontamination,
     "op10_simhash": op10_simhash,
+    "op11_jaccard": jaccard.op11_jaccard,
     "op12_negatives": negatives.op12_negatives,
     "op13_infill": infill.op13_infill,
 }
 #: For the others: SQL has no XXH64, CRC-32, base32, JPEG or trained model; tests/llm holds each query against brute force instead.
-SQL: dict[str, str] = {"op12_negatives": negatives.SQL, "op13_infill": infill.SQL}
+SQL: dict[str, str] = {"op11_jaccard": jaccard.SQL, "op12_negatives": negatives.SQL, "op13_infill": infill.SQL}

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import xxhash
@@ -11,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, lookup, saved
-from .words import shingle_hashes
+from .jaccard import Texts, text_id
 
 SEED = 42
 #: Fingerprints in a cell of the grid up to which its pairs are compared one by one.
@@ -141,204 +139,36 @@ def simhash_components(df: DataFrame, *, doc_id: str = "doc_id", text: str = "te
 
 # Near-duplicates by similarity of word shingles.
 
-#: Buckets (a power of two) in which shingles are counted, to have the rare ones first: at least and at most; in blocks.
-BUCKET_BITS, COUNTED = (16, 24), 1 << 14
-WORDS = r"[^\x20\x09-\x0D]"
-
-
-def _prefix(size: Column | np.ndarray | int, similarity: float):
-    """How many of a set's first shingles have one that a similar set shares, in any common order of all shingles."""
-    ceil = F.ceil if isinstance(size, Column) else np.ceil
-    return size - ceil(similarity * size - 1e-9) + 1
-
-
-def _rarity(df: DataFrame, text: str, shingle: int, rows: int) -> np.ndarray:
-    """For each bucket of shingle hashes how many shingles all rows have in it, as a rounded logarithm.
-
-    There are more buckets for more rows, up to a bound: 16 MB that every worker gets. A task's counts are shuffled as
-    blocks of bytes, which compress well.
-    """
-    bits = min(BUCKET_BITS[1], max(BUCKET_BITS[0], (16 * rows).bit_length()))
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(1 << bits, np.uint32)
-        for x in batches:
-            for t in x["text"]:
-                np.add.at(total, shingle_hashes(t, shingle) >> np.uint64(64 - bits), 1)
-        for i in range(0, 1 << bits, COUNTED):
-            part = total[i : i + COUNTED]
-            if most := part.max():
-                yield pd.DataFrame({"block": [i // COUNTED], "counts": [part.astype(np.uint8 if most < 256 else np.uint32).tobytes()]})
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
-        for x in batches:
-            for block, counts in zip(x["block"], x["counts"], strict=True):
-                sums[block] = sums.get(block, np.zeros(COUNTED, np.int64)) + np.frombuffer(counts, np.uint8 if len(counts) == COUNTED else np.uint32)
-        for block, total in sums.items():
-            yield pd.DataFrame({"block": [block], "logs": [np.rint(np.log2(total + 1) * 6).astype(np.uint8).tobytes()]})
-
-    counted = df.select(F.col(text).alias("text")).mapInPandas(count, "block int, counts binary").repartition("block").mapInPandas(add, "block int, logs binary")
-    out = np.zeros(1 << bits, np.uint8)
-    for r in counted.collect():
-        out[r["block"] * COUNTED : (r["block"] + 1) * COUNTED] = np.frombuffer(r["logs"], np.uint8)
-    return out
-
-
-def parities(hashes: np.ndarray) -> np.ndarray:
-    """Bits, about two for each hash, that tell how many hashes fall on each: odd or even.
-
-    Two sets whose parities differ in n bits differ in n hashes at least; longer parities fold into shorter ones.
-    """
-    n = max(64, 1 << (2 * len(hashes)).bit_length())
-    odd = np.bincount((hashes & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
-    return np.packbits(odd.astype(np.uint8))
-
-
-def differing(a: np.ndarray, b: np.ndarray) -> int:
-    """In how many bits two parities differ."""
-    n = min(len(a), len(b))
-    a, b = (np.bitwise_xor.reduce(x.reshape(-1, n), axis=0) for x in (a, b))
-    return int(np.bitwise_count(a ^ b).sum())
 
-
-def text_id(text: Column) -> Column:
-    """64 bits of a text's SHA-256, 0 for all texts without words: of 10^10 texts, about three pairs are taken for equal."""
-    bits = F.conv(F.substring(F.sha2(text, 256), 1, 16), 16, -10).cast("long")
-    return F.when(F.coalesce(text.rlike(WORDS), F.lit(False)), bits).otherwise(F.lit(0).cast("long"))
-
-
-def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, scope: str = "") -> DataFrame:
+def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, scope: str = "") -> DataFrame:
     """Distinct texts in groups of near-duplicates: id (64 bits of the text's digest), keep_id, n, kept.
 
     kept says whether the text stays for its group: that with the smallest doc_id, null last. keep_id is the smallest
     doc_id of the n rows with that text. A link is a Jaccard similarity of word shingles (A-Z lower-cased, 64-bit hashes)
-    of at least `similarity`, verified on the whole sets; groups are those of all links, none is left out.
+    of at least `percent`, verified on the whole sets; groups are those of all links, none is left out.
 
-    Links within 3 bits of SimHash fingerprints come from the grid. As most pairs at 0.8 differ by more bits than a grid
-    can serve, the others come from a prefix-filtered set join: of any two similar sets, the first shingles, in one
-    order of all, have one in common. Each text is compared with the text that shares most of its own first shingles
-    among those that share some with it, which joins all of a group that has a common origin; what that leaves apart
-    and still meets by a first shingle is compared pair by pair. Texts without words, null ones too, are one group.
+    Links within 3 bits of SimHash fingerprints come from the grid. As most pairs at 80 % differ by more bits than a grid
+    can serve, the others come from the join of shingle sets. Texts without words, null ones too, are one group.
     """
-    if not 0 < similarity <= 1:
-        raise ValueError("similarity is above 0 and at most 1")
-    texts = df.select(text_id(F.col(text)).alias("id"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rarity = df.sparkSession.sparkContext.broadcast(_rarity(df, text, shingle, df.count()))
-
-    @F.pandas_udf("fp long, size int, early array<long>, odd binary")
-    def sketch(values: pd.Series) -> pd.DataFrame:
-        out, known = [], rarity.value
-        shift = np.uint64(64 - (len(known) - 1).bit_length())
-        for x in values:
-            h = shingle_hashes(x, shingle)
-            fp, h = fingerprint(h), np.unique(h)
-            order = np.lexsort((h, known[h >> shift]))
-            out.append((fp, len(h), h[order[: int(_prefix(len(h), similarity)) if len(h) else 0]].view(np.int64), parities(h).tobytes()))
-        return pd.DataFrame(out, columns=["fp", "size", "early", "odd"])
-
-    rows = saved(texts.select("id", "doc_id", sketch("text").alias("s")).select("id", "doc_id", "s.*"), "near-rows", scope)
-    groups = saved(rows.groupBy("id").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n")), "near-texts", scope)
-    each = rows.select("id", "size", F.posexplode("early").alias("at", "hash"))
-    met = each.groupBy("hash").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("hash")
-    each = saved(each.join(saved(met, "near-met", scope), "hash", "left_semi").distinct(), "near-each", scope)
-    pairs = saved(_grid_pairs(rows, scope).unionByName(_hub_pairs(each, similarity)).distinct(), "near-pairs", scope)
-    near = saved(_verified(texts, _alike(rows, pairs, similarity, scope), shingle, similarity, scope), "near-first", scope)
-    pairs = saved(_open_pairs(each, components(near, "near-links", scope), similarity, scope), "near-open", scope)
-    near = near.unionByName(saved(_verified(texts, _alike(rows, pairs, similarity, scope), shingle, similarity, scope), "near-rest", scope))
-    roots = components(near, "near-links", scope).withColumnRenamed("node", "id")
-    found = saved(groups.join(roots, "id").select("id", "keep_id", "root"), "near-linked", scope)
-    best = found.groupBy("root").agg(F.min(F.struct(F.col("keep_id").isNull(), F.col("keep_id"), F.col("id"))).alias("best"))
-    lost = found.join(best, "root").where(F.col("best.id") != F.col("id")).select("id", F.lit(False).alias("stays"))
-    return groups.join(lost, "id", "left").select("id", "keep_id", "n", F.coalesce("stays", F.lit(True)).alias("kept"))
+    found = Texts(df, doc_id, text, shingle, percent, scope, fingerprint)
+    roots = components(found.links(lambda rows: _grid_pairs(rows, scope)), "near-links", scope).withColumnRenamed("node", "id")
+    linked = saved(found.groups.join(roots, "id").select("id", "keep_id", "root"), "near-linked", scope)
+    best = linked.groupBy("root").agg(F.min(F.struct(F.col("keep_id").isNull(), F.col("keep_id"), F.col("id"))).alias("best"))
+    lost = linked.join(best, "root").where(F.col("best.id") != F.col("id")).select("id", F.lit(False).alias("stays"))
+    return found.groups.join(lost, "id", "left").select("id", "keep_id", "n", F.coalesce("stays", F.lit(True)).alias("kept"))
 
 
 def _grid_pairs(rows: DataFrame, scope: str) -> DataFrame:
-    """Pairs (a, b) of each text and one of those that grid links of fingerprints connect it with; and of blank texts."""
+    """Pairs (a, b) of each text and one of those that grid links of fingerprints connect it with."""
     grid = components(links(rows.select("fp").distinct(), 3, CELL, scope), "near-grid", scope).select(F.col("node").alias("fp"), "root")
-    near = rows.select("id", "fp").distinct().join(grid, "fp", "left").select("id", F.coalesce("root", "fp").alias("root"))
+    near = rows.where("id <> 0").select("id", "fp").distinct().join(grid, "fp", "left").select("id", F.coalesce("root", "fp").alias("root"))
     heads = near.groupBy("root").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head <> last").select("root", "head")
     return near.join(heads, "root").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
 
 
-def _hub_pairs(each: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of each text and the one text, of those heading its shingles, that heads most of them.
-
-    A shingle is headed by the text of which the largest share of first shingles stands in other texts too: a common
-    origin has no shingles of its own. There is one pair for each row at most, whatever the size of a group.
-    """
-    shares = each.groupBy("id", "size").agg(F.count("*").alias("met")).select("id", "size", (F.col("met") / _prefix(F.col("size"), similarity)).alias("share"))
-    marked = each.join(shares.drop("size"), "id")
-    heads = marked.groupBy("hash").agg(F.max_by("id", "share").alias("head"))
-    sizes = shares.select(F.col("id").alias("head"), F.col("size").alias("head_size"))
-    alike = F.least("size", "head_size") >= similarity * F.greatest("size", "head_size") - 1e-9
-    shared = each.join(heads, "hash").where("id <> head").groupBy("id", "size", "head").agg(F.count("*").alias("n"))
-    best = shared.join(sizes, "head").where(alike).groupBy("id").agg(F.max_by("head", "n").alias("head"))
-    return best.select(F.col("id").alias("a"), F.col("head").alias("b"))
-
-
-def _open_pairs(each: DataFrame, roots: DataFrame, similarity: float, scope: str) -> DataFrame:
-    """Pairs (a, b) of texts with different roots that share a first shingle, among them all that are similar.
-
-    Where two sets meet, what follows in both must still suffice; of the shorter one even fewer shingles need be joined.
-    """
-    marked = each.join(roots.withColumnRenamed("node", "id"), "id", "left").select("hash", "id", "size", "at", F.coalesce("root", "id").alias("root"))
-    marked = saved(marked, "near-marked", scope)
-    # Shingles of one root only need no comparison.
-    several = marked.groupBy("hash").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("hash")
-    left = saved(marked.join(several, "hash", "left_semi"), "near-apart", scope)
-    most = similarity / (1 + similarity)
-    x = left.select("hash", *(F.col(c).alias(f"x_{c}") for c in ("id", "root", "size", "at")))
-    y = left.where(F.col("size") - F.col("at") >= 2 * most * F.col("size") - 1e-9).select("hash", *(F.col(c).alias(f"y_{c}") for c in ("id", "root", "size", "at")))
-    longer = (F.col("x_size") > F.col("y_size")) | (F.col("x_size") == F.col("y_size")) & (F.col("x_id") > F.col("y_id"))
-    rest = F.least(F.col("x_size") - F.col("x_at"), F.col("y_size") - F.col("y_at"))
-    enough = (F.col("y_size") >= similarity * F.col("x_size") - 1e-9) & (rest >= most * (F.col("x_size") + F.col("y_size")) - 1e-9)
-    pairs = x.join(y, "hash").where((F.col("x_root") != F.col("y_root")) & longer & enough)
-    return pairs.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
-
-
-def _alike(rows: DataFrame, pairs: DataFrame, similarity: float, scope: str) -> DataFrame:
-    """Those of the pairs (a, b) that may be similar by sizes and parities, some 30 times smaller than the sets; none that is similar is lost."""
-    sizes = rows.join(lookup(saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-wanted", scope)), "id", "left_semi").select("id", "size", "odd")
-    sizes = saved(sizes.dropDuplicates(["id"]), "near-sizes", scope)
-    x, y = (sizes.select(F.col("id").alias(c), F.col("size").alias(f"{c}_size"), F.col("odd").alias(f"{c}_odd")) for c in ("a", "b"))
-
-    @F.pandas_udf("int")
-    def apart(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([differing(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) for x, y in zip(a, b, strict=True)], dtype="int32")
-
-    both = pairs.join(x, "a").join(y, "b").where(F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size") - 1e-9)
-    most = (1 - similarity) / (1 + similarity) * (F.col("a_size") + F.col("b_size")) + 1e-9
-    return saved(both.where(apart("a_odd", "b_odd") <= most).select("a", "b"), "near-alike", scope)
-
-
-def _verified(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float, scope: str) -> DataFrame:
-    """Those of the pairs (a, b) whose whole shingle sets are similar; sets are built for the texts of pairs only."""
-
-    @F.pandas_udf("binary")
-    def shingles(values: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingle_hashes(x, shingle)).tobytes() for x in values])
-
-    wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-wanted", scope)
-    one = texts.join(lookup(wanted), "id", "left_semi").groupBy("id").agg(F.any_value("text").alias("text"))
-    sets = saved(one.select("id", shingles("text").alias("set")), "near-sets", scope)
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("a_set")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("b_set")), "b")
-
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            good = []
-            for a, b in zip(x["a_set"], x["b_set"], strict=True):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True)) if min(len(a), len(b)) >= similarity * max(len(a), len(b)) - 1e-9 else 0
-                good.append(both >= similarity * (len(a) + len(b) - both) - 1e-9)
-            yield x.loc[np.array(good, bool), ["a", "b"]]
-
-    return both.select("a", "b", "a_set", "b_set").mapInPandas(check, "a long, b long")
-
-
-def without_near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, scope: str = "") -> DataFrame:
+def without_near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, scope: str = "") -> DataFrame:
     """The rows of df, one of each group of near-duplicates: that with the smallest doc_id. Columns stay as they are."""
-    groups = near_duplicates(df, doc_id=doc_id, text=text, shingle=shingle, similarity=similarity, scope=scope)
+    groups = near_duplicates(df, doc_id=doc_id, text=text, shingle=shingle, percent=percent, scope=scope)
     marked = saved(groups.where("n > 1 or not kept").select(F.col("id").alias("__id"), F.col("keep_id").alias("__keep"), F.col("kept").alias("__kept")), "near-result", scope)
     rows = df.withColumn("__of", text_id(F.col(text))).join(lookup(marked), F.col("__of") == F.col("__id"), "left")
     single = rows.where(F.col("__id").isNull()).select(*df.columns)
