@@ -48,6 +48,25 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.withColumn("progress", progress)
 
 
+def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is asked of jobs, in the order of (at, seq): begin, end, fail, retry and cancel, and some of it out of turn."""
+    j = jobs(spark, sf_dir).where("started_at is not null")
+    after = lambda at, s: F.timestamp_seconds(F.unix_timestamp(at) + s)
+    none, ended = F.lit(None).cast("string"), F.col("completed_at").isNotNull()
+    event = lambda when, seq, at, status, error=none: F.when(when, F.struct(F.lit(seq).alias("seq"), at.alias("at"), F.lit(status).alias("status"), error.alias("error")))
+    every = lambda n: F.col("job_id") % n == 0
+    asked = F.array(
+        event(F.lit(True), 1, F.col("started_at"), "processing"),
+        event(every(11), 2, after("started_at", 10), "failed", F.concat(F.lit("engine "), (F.col("job_id") % 3).cast("string"))),
+        event(every(11), 3, after("started_at", 20), "processing"),
+        event(ended, 4, F.col("completed_at"), "completed"),
+        event(every(13) & ended, 5, after("completed_at", 5), "completed"),
+        event(every(17), 0, after("started_at", -1), "completed"),
+        event(every(19), 6, after("started_at", 15), "cancelled"),
+    )
+    return j.select("job_id", F.inline(F.array_compact(asked)))
+
+
 def page_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results by page. (job_id, page_number) is no key."""
     return table(spark, sf_dir, "lineitem").select(
