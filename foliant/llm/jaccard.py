@@ -17,8 +17,8 @@ from .words import mixed, shingle_hashes
 STEP, PARTS = 1.6, 2
 #: Independent partitions of the domain; all but the last leave empty subsets out.
 LEVELS = 4
-#: Texts with a signature up to which they are compared pair by pair; beyond, they must share a first shingle too.
-CROWD = 32
+#: Pairs for each text with a signature up to which all are compared; beyond, they must share a first shingle too.
+CROWD = 16
 #: Bits of the filter of signatures that several texts have, at least and at most, as powers of two; bits in a block of it.
 FILTER_BITS, FILTER_BLOCK = (16, 27), 1 << 16
 #: Buckets (a power of two) in which shingles are counted, to have the rare ones first: at least and at most; in blocks.
@@ -177,26 +177,28 @@ class Texts:
     def _open_pairs(self, shared: DataFrame, roots: DataFrame) -> DataFrame:
         """Pairs (a, b) of texts with different roots that share a signature, among them all that are similar.
 
-        Where more than CROWD texts share one, a pair must also share one of its first shingles, rare ones first.
+        Where signatures would give more than CROWD pairs a text, as those that are all of a common passage do, their
+        texts must also share one of their first shingles, rare ones first; and where those are crowded too, a pair must
+        share one of either at once.
         """
-        marked = shared.join(roots.withColumnRenamed("node", "id"), "id", "left").select("hash", "id", "size", F.coalesce("root", "id").alias("root"))
-        marked = saved(marked, "near-marked", self.scope)
-        several = marked.groupBy("hash").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high").select("hash", (F.col("n") > CROWD).alias("crowded"))
-        left = saved(marked.join(several, "hash"), "near-apart", self.scope)
-        pairs = _pairs(left.where("not crowded").withColumn("at", F.lit(0)), ["hash"], self.percent)
-        crowd = left.where("crowded").drop("crowded")
-        members = saved(crowd.select("id").distinct(), "near-crowd", self.scope)
+        marked = saved(shared.join(roots.withColumnRenamed("node", "id"), "id", "left").select("hash", "id", "size", F.coalesce("root", "id").alias("root"), F.lit(0).alias("at")), "near-marked", self.scope)
+        left = saved(marked.join(_open_keys(marked, "hash"), "hash"), "near-apart", self.scope)
+        pairs = _pairs(left.where("not crowded"), ["hash"], self.percent)
+        crowd = left.where("crowded").drop("crowded", "at")
+        members = saved(crowd.groupBy("id").agg(F.any_value("root").alias("root"), F.any_value("size").alias("size")), "near-crowd", self.scope)
         if members.isEmpty():
             return pairs.distinct()
-        first = crowd.join(self._first_shingles(members), "id")
-        split = first.groupBy("hash", "shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("hash", "shingle")
-        met = saved(first.join(split, ["hash", "shingle"], "left_semi"), "near-met", self.scope)
-        return pairs.unionByName(_pairs(met, ["hash", "shingle"], self.percent)).distinct()
+        first = saved(self._first_shingles(members.select("id")).join(members, "id"), "near-first-shingles", self.scope)
+        met = saved(first.join(_open_keys(first, "shingle"), "shingle"), "near-met", self.scope)
+        pairs = pairs.unionByName(_pairs(met.where("not crowded"), ["shingle"], self.percent))
+        both = met.where("crowded").drop("crowded").join(crowd.select("id", "hash"), "id")
+        return pairs.unionByName(_pairs(both, ["shingle", "hash"], self.percent)).distinct()
 
     def _first_shingles(self, ids: DataFrame) -> DataFrame:
-        """(id, at, shingle): of each text as many of its shingles, rare ones first, as one must be shared with a similar set."""
+        """(id, at, shingle): of each text as many of its shingles as one must be shared of with a similar set; those rare among these texts first."""
         shingle, percent = self.shingle, self.percent
-        rarity = self.texts.sparkSession.sparkContext.broadcast(_rarity(self.texts, shingle, self.groups.count()))
+        one = saved(self.texts.join(lookup(ids), "id", "left_semi").groupBy("id").agg(F.any_value("text").alias("text")), "near-crowd-texts", self.scope)
+        rarity = one.sparkSession.sparkContext.broadcast(_rarity(one, shingle, one.count()))
 
         @F.pandas_udf("array<long>")
         def first(values: pd.Series) -> pd.Series:
@@ -207,8 +209,7 @@ class Texts:
                 out.append(h[np.lexsort((h, counts[h >> shift]))[: int(_prefix(len(h), percent)) if len(h) else 0]].view(np.int64))
             return pd.Series(out, dtype=object)
 
-        one = self.texts.join(lookup(ids), "id", "left_semi").groupBy("id").agg(F.any_value("text").alias("text"))
-        return saved(one.select("id", F.posexplode(first("text")).alias("at", "shingle")), "near-prefix", self.scope)
+        return one.select("id", F.posexplode(first("text")).alias("at", "shingle"))
 
     def _alike(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that may be similar by sizes and parities, some 30 times smaller than the sets; none that is similar is lost."""
@@ -249,6 +250,13 @@ class Texts:
         return both.select("a", "b", "a_set", "b_set").mapInPandas(check, "a long, b long")
 
 
+def _open_keys(rows: DataFrame, key: str) -> DataFrame:
+    """Of rows (key, root): keys that texts of several roots have, and whether they make more than CROWD pairs a text."""
+    by = rows.groupBy(key, "root").agg(F.count("*").alias("k")).groupBy(key).agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("own"))
+    pairs = (F.col("n") * F.col("n") - F.col("own")) / 2
+    return by.where("n * n > own").select(key, (pairs > CROWD * F.col("n")).alias("crowded"))
+
+
 def _comparable(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
@@ -355,8 +363,8 @@ def op11_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS s FROM w),
 n AS (SELECT doc_id, len(s)::BIGINT AS n FROM s), e AS (SELECT doc_id, unnest(s) AS x FROM s),
-both AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
-l AS (SELECT a, b FROM both JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM met JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
 either AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT doc_id, doc_id AS reached FROM n UNION SELECT r.doc_id, b FROM r JOIN either ON reached = a)
 SELECT n.doc_id, any_value(n.n) AS n_shingles, min(reached) AS component_id FROM n JOIN r USING (doc_id) GROUP BY n.doc_id"""

@@ -78,9 +78,9 @@ def _stock(n, seed=3):
     return texts
 
 
-@pytest.mark.parametrize("crowd", [1, 32])
+@pytest.mark.parametrize("crowd", [0, 2, 16])
 def test_crowds_of_texts(spark, crowd, monkeypatch):
-    """Texts of few stock paragraphs and a group of near copies; crowd 1: all that meet must share a first shingle too."""
+    """Texts of few stock paragraphs and a group of near copies; crowd 0: all that meet must share a first shingle too."""
     monkeypatch.setattr(jaccard, "CROWD", crowd)
     texts = _stock(60)
     roots, _ = linked(texts)
