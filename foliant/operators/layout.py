@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -115,6 +115,47 @@ def in_region(tokens: DataFrame, regions: DataFrame, least_iou: float = 0.5) ->
     return tokens.join(regions, list(PAGE)).where(scalars.inside(t, r) | (scalars.iou(t, r) >= least_iou))
 
 
+#: Levels of the grid: cells of 8 pixels, and of twice as many from level to level.
+CELL, LEVELS = 8, 14
+
+
+def _level(width: Column, height: Column) -> Column:
+    """The first level whose cells are as wide and high as a box, so that the box covers four of them at most; the last for larger ones."""
+    side = F.greatest(width, height, F.lit(1)).cast("double") / CELL
+    return F.least(F.greatest(F.ceil(F.log2(side)), F.lit(0)), F.lit(LEVELS - 1)).cast("int")
+
+
+def in_region_grid(tokens: DataFrame, regions: DataFrame, least_iou: float = 0.5) -> DataFrame:
+    """The pairs of in_region, by a join of grid cells in place of whole pages: rows compared are those near each other.
+
+    A region lies in up to four cells of the level of its size. A token that is inside a region or overlaps it by
+    least_iou is no larger than 1 / least_iou of its sides, so that it visits the cells it covers on its own level, as many
+    below as that allows, and all above, where a region of the table may be. Each pair is compared in one cell only: that of
+    the upper left corner of what both share. Boxes that are inside out, or have a null, are in no region.
+    """
+    if not 0 < least_iou <= 1:
+        raise ValueError("least_iou is above 0 and at most 1")
+    keys = [c for c in regions.columns if c not in PAGE]
+    below = int(np.ceil(np.log2(1 / least_iou)))
+
+    def cells_of(df: DataFrame, levels: Column, x1: str, y1: str, x2: str, y2: str) -> DataFrame:
+        sound = df.where((F.col(x1) <= F.col(x2)) & (F.col(y1) <= F.col(y2)))
+        side = F.lit(float(CELL)) * F.pow(F.lit(2.0), F.col("_l"))
+        span = lambda a, b: F.sequence(F.floor(F.col(a) / side), F.floor(F.col(b) / side))
+        return sound.withColumn("_l", F.explode(levels)).withColumn("_cx", F.explode(span(x1, x2))).withColumn("_cy", F.explode(span(y1, y2)))
+
+    own = lambda a, b, c, d: _level(F.col(c) - F.col(a), F.col(d) - F.col(b))
+    r = cells_of(regions, F.array(own("rx1", "ry1", "rx2", "ry2")), "rx1", "ry1", "rx2", "ry2")
+    t = cells_of(tokens, F.sequence(F.greatest(own("x1", "y1", "x2", "y2") - below, F.lit(0)), F.lit(LEVELS - 1)), "x1", "y1", "x2", "y2")
+    if len(used := regions.select(own("rx1", "ry1", "rx2", "ry2").alias("l")).distinct().collect()) < LEVELS:
+        t = t.where(F.col("_l").isin(*[u["l"] for u in used if u["l"] is not None]))
+    side = F.lit(float(CELL)) * F.pow(F.lit(2.0), F.col("_l"))
+    corner = (F.floor(F.greatest("x1", "rx1") / side) == F.col("_cx")) & (F.floor(F.greatest("y1", "ry1") / side) == F.col("_cy"))
+    a, b = [F.col(c) for c in ("x1", "y1", "x2", "y2")], [F.col(c) for c in ("rx1", "ry1", "rx2", "ry2")]
+    met = t.join(r, [*PAGE, "_l", "_cx", "_cy"]).where(corner & (scalars.inside(a, b) | (scalars.iou(a, b) >= least_iou)))
+    return met.select(*tokens.columns, *keys)
+
+
 def in_box(tokens: DataFrame, box: tuple[float, float, float, float], least_iou: float = 0.5) -> DataFrame:
     """Tokens inside one box that is the same on all pages, or overlapping it by least_iou: a filter, no join."""
     t, r = [F.col(c) for c in ("x1", "y1", "x2", "y2")], [F.lit(v) for v in box]
@@ -187,15 +228,18 @@ def ward_positions(values: np.ndarray, distance: float = 20.0) -> list[float]:
     return [mean[i] for i in range(len(v)) if i not in gone]
 
 
+def _ward_positions(centres: Column, distance: float = 20.0) -> Column:
+    @F.pandas_udf("array<double>")
+    def cluster(values: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else ward_positions(v, distance) for v in values], dtype=object)
+
+    return cluster(centres)
+
+
 def ward_columns(tokens: DataFrame, distance: float = 20.0) -> DataFrame:
     """Columns of a page by hierarchical clustering of token centres; pages are gathered to arrays, one row each."""
     pages = tokens.groupBy(*PAGE).agg(F.collect_list(scalars.centre(F.col("x1"), F.col("x2"))).alias("centres"))
-
-    def cluster(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            yield pd.DataFrame({"doc_id": x["doc_id"], "page_num": x["page_num"], "positions": [ward_positions(c, distance) for c in x["centres"]]})
-
-    found = pages.mapInPandas(cluster, "doc_id long, page_num int, positions array<double>")
+    found = pages.select(*PAGE, _ward_positions(F.col("centres"), distance).alias("positions"))
     return found.select(*PAGE, F.posexplode("positions").alias("i", "position")).select(*PAGE, (F.col("i") + 1).cast("long").alias("column_num"), F.round("position", 6).alias("position"))
 
 
@@ -203,25 +247,107 @@ def ward_columns(tokens: DataFrame, distance: float = 20.0) -> DataFrame:
 CLUSTERED = 8
 
 
-def table(tokens: DataFrame, regions: DataFrame | tuple[float, float, float, float], least: float = scalars.REVIEW, hierarchical: bool = True) -> DataFrame:
-    """Cells of the table in each page's region: row_num, column_num, cell_text, confidence, needs_review (of the table).
+def _let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with the value worked out once a row: what stands in a lambda is worked out for each element."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
 
-    Tokens inside the region (a table of regions, or one box for all pages); rows by the adaptive threshold from the
-    row's first token; columns by hierarchical clustering if there are CLUSTERED tokens, else, or if it is switched off,
-    by gaps; words of a cell in reading order. A table needs review if any of its tokens is below `least`.
+def _at(xs: Column, i: Column) -> Column:
+    return F.get(xs, i.cast("int"))
+
+
+def _median(xs: Column) -> Column:
+    n = F.size(xs)
+    return _let(F.array_sort(xs), lambda s: (_at(s, F.floor((n - 1) / 2)) + _at(s, F.floor(n / 2))) / F.lit(2.0))
+
+
+def _row_slices(ts: Column, threshold: Column) -> Column:
+    """Tokens in reading order, cut where a centre is more than the threshold from that of the row's first token."""
+    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(1).alias("at"), F.array().cast("array<int>").alias("begins"))
+
+    def step(acc: Column, t: Column) -> Column:
+        cy = scalars.centre(t.y1, t.y2)
+        new = acc.anchor.isNull() | (F.abs(cy - acc.anchor) > threshold)
+        return F.struct(F.when(new, cy).otherwise(acc.anchor).alias("anchor"), (acc.at + 1).alias("at"), F.when(new, F.concat(acc.begins, F.array(acc.at))).otherwise(acc.begins).alias("begins"))
+
+    cut = lambda begins: F.transform(begins, lambda b, i: F.slice(ts, b, F.coalesce(F.get(begins, i + 1), F.size(ts) + 1) - b))
+    return _let(F.aggregate(ts, start, step, lambda acc: acc.begins), cut)
+
+
+def _gap_positions(centres: Column) -> Column:
+    """Means of runs of sorted centres that are parted by more than max(20, 0.04 * span); none of none."""
+    gap = F.greatest(F.lit(20.0), 0.04 * F.greatest(F.lit(1.0), F.get(centres, F.size(centres) - 1) - F.get(centres, F.lit(0))))
+    start = F.struct(F.lit(None).cast("double").alias("last"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.array().cast("array<double>").alias("means"))
+
+    def means(most: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            new = acc.last.isNotNull() & (x - acc.last > most)
+            return F.struct(
+                x.alias("last"), (F.when(new, 0.0).otherwise(acc.sum) + x).alias("sum"), (F.when(new, 0).otherwise(acc.n) + 1).alias("n"), F.when(new, F.concat(acc.means, F.array(F.try_divide(acc.sum, acc.n)))).otherwise(acc.means).alias("means")
+            )
+
+        return F.aggregate(centres, start, step, lambda acc: F.when(acc.n > 0, F.concat(acc.means, F.array(F.try_divide(acc.sum, acc.n)))).otherwise(acc.means))
+
+    return _let(gap, means)
+
+
+def _placed(rows: Column, positions: Column) -> Column:
+    """Each token with its column_num: bounds are halfway between positions, a bound belongs to the column it begins."""
+    bounds = F.transform(F.arrays_zip(positions.alias("a"), F.slice(positions, 2, F.size(positions)).alias("b")), lambda z: (z["a"] + z["b"]) / 2)
+    place = lambda cuts, t: t.withField("column_num", F.size(F.filter(cuts, lambda b: b <= scalars.centre(t.x1, t.x2))).cast("long") + 1)
+    return _let(bounds, lambda cuts: F.transform(rows, lambda row: F.transform(row, lambda t: place(cuts, t))))
+
+
+def tables(tokens: DataFrame, regions: DataFrame | tuple[float, float, float, float], least: float = scalars.REVIEW, hierarchical: bool = True) -> DataFrame:
+    """One row for each region: its keys, rows, col_positions, columns (col_0, ...), needs_review.
+
+    regions: a table (doc_id, page_num, region_id, rx1, ry1, rx2, ry2, and lines array<double> if ruled lines are known), or one box
+    on every page that has tokens. rows: arrays of a row's tokens in reading order, each with column_num (from 1). Rows by
+    the adaptive threshold from the row's first token; columns by ruled lines where there are any, else by hierarchical
+    clustering if there are CLUSTERED tokens, else, or if it is switched off, by gaps. A table needs review if any of
+    its tokens is below `least`, or if it has none. Tokens are shuffled once; all else is done on a region's array.
     """
-    own = in_region(tokens, regions).drop("rx1", "ry1", "rx2", "ry2") if isinstance(regions, DataFrame) else in_box(tokens, regions)
-    columns = gap_columns(own).select(*PAGE, "column_num", "position")
+    token = F.struct("y1", "x1", "pos", "x2", "y2", "text", "confidence")
+    if isinstance(regions, DataFrame):
+        lines = F.col("lines") if "lines" in regions.columns else F.lit(None).cast("array<double>")
+        keys = (*PAGE, "region_id")
+        known = regions.select(*keys, "rx1", "ry1", "rx2", "ry2", lines.alias("lines"))
+        # The regions go along as rows without a token, so that those without any are there too.
+        each = in_region_grid(tokens, known.drop("lines")).select(*keys, token.alias("t"), F.lit(None).cast("array<double>").alias("lines"))
+        each = each.unionByName(known.select(*keys, F.lit(None).cast(each.schema["t"].dataType).alias("t"), "lines"))
+        found = each.groupBy(*keys).agg(F.sort_array(F.collect_list("t")).alias("ts"), F.max("lines").alias("lines"))
+    else:
+        keys, t, r = PAGE, [F.col(c) for c in ("x1", "y1", "x2", "y2")], [F.lit(v) for v in regions]
+        own = scalars.inside(t, r) | (scalars.iou(t, r) >= 0.5)
+        found = tokens.groupBy(*keys).agg(F.sort_array(F.collect_list(F.when(own, token))).alias("ts")).withColumn("lines", F.lit(None).cast("array<double>"))
+    n, centres = F.size("ts"), F.array_sort(F.transform("ts", lambda t: scalars.centre(t.x1, t.x2)))
+    threshold = F.greatest(F.lit(8), F.floor(_median(F.transform("ts", lambda t: t.y2 - t.y1)) * 0.6).cast("int"))
+    positions = _let(centres, _gap_positions)
     if hierarchical:
-        sizes = own.groupBy(*PAGE).agg((F.count("*") >= CLUSTERED).alias("clustered"))
-        pick = lambda found, clustered: found.join(sizes.where(F.col("clustered") == clustered), list(PAGE), "left_semi")
-        columns = pick(columns, False).unionByName(ward_columns(pick(own, True)))
-    page = own.groupBy(*PAGE).agg(F.bool_or(F.col("confidence") < least).alias("needs_review"))
-    rows = line_slices(own.join(adaptive_threshold(own), list(PAGE)), F.col("threshold"), "x2", "confidence")
-    each = rows.select(*PAGE, F.col("line_num").alias("row_num"), F.explode("ts").alias("t")).select(*PAGE, "row_num", "t.*")
+        positions = F.coalesce(_ward_positions(F.when(n >= CLUSTERED, centres)), positions)
+    ruled = F.array_distinct(F.array_sort("lines"))
+    positions = F.when((n > 0) & (F.size(ruled) > 0), ruled).otherwise(positions)
+    found = found.select(*keys, "ts", _let(threshold, lambda most: _row_slices(F.col("ts"), most)).alias("rows"), positions.alias("col_positions"))
+    names = F.transform("col_positions", lambda _, i: F.concat(F.lit("col_"), i.cast("string")))
+    review = (n == 0) | F.exists("ts", lambda t: t.confidence < least)
+    placed = _let(F.col("rows"), lambda rows: _let(F.col("col_positions"), lambda at: _placed(rows, at)))
+    return found.select(*keys, placed.alias("rows"), "col_positions", names.alias("columns"), review.alias("needs_review"))
+
+
+def table(tokens: DataFrame, regions: DataFrame | tuple[float, float, float, float], least: float = scalars.REVIEW, hierarchical: bool = True) -> DataFrame:
+    """Cells of `tables`: the region's keys, row_num, column_num, cell_text, confidence (the least), token_ids, box, needs_review (of the table).
+
+    Words of a cell in reading order. A region's cells are put together where its tokens are: no further shuffle.
+    """
+    found = tables(tokens, regions, least, hierarchical)
+    keys = [c for c in found.columns if c in (*PAGE, "region_id")]
+    each = found.select(*keys, "needs_review", F.posexplode("rows").alias("row", "ts")).select(*keys, "needs_review", (F.col("row") + 1).cast("long").alias("row_num"), F.inline("ts"))
     words = F.sort_array(F.collect_list(F.struct("y1", "x1", "pos", "text")))
-    out = cells(each, columns).groupBy(*PAGE, "row_num", "column_num").agg(F.array_join(F.transform(words, lambda t: t.text), " ").alias("cell_text"), F.min("confidence").alias("confidence"))
-    return out.join(page, list(PAGE))
+    out = each.groupBy(*keys, "row_num", "column_num").agg(
+        words.alias("ws"), F.min("confidence").alias("confidence"), F.any_value("needs_review").alias("needs_review"), F.array(F.min("x1"), F.min("y1"), F.max("x2"), F.max("y2")).alias("box")
+    )
+    text, ids = F.array_join(F.transform("ws", lambda w: w.text), " "), F.transform("ws", lambda w: w.pos)
+    return out.select(*keys, "row_num", "column_num", text.alias("cell_text"), "confidence", ids.alias("token_ids"), "box", "needs_review")
 
 
 def best_rotation(tokens: DataFrame, *by: str) -> DataFrame:

@@ -220,7 +220,7 @@ def inside_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "table_cells",
-    f"WITH {TOKENS}, own AS (SELECT * FROM tokens WHERE {_INSIDE}), " + _COLUMNS.format(source="own") + """, bounds AS (SELECT *, coalesce((lag(position) OVER w + position) / 2, '-inf'::DOUBLE) AS lo, coalesce((lead(position) OVER w + position) / 2, 'inf'::DOUBLE) AS hi FROM columns WINDOW w AS (PARTITION BY doc_id, page_num ORDER BY position, column_num)),
+    f"WITH {TOKENS}, own AS (SELECT * FROM tokens WHERE {_INSIDE}), " + _COLUMNS.format(source="own").replace("round(avg(cx), 6)", "avg(cx)") + """, bounds AS (SELECT *, coalesce((lag(position) OVER w + position) / 2, '-inf'::DOUBLE) AS lo, coalesce((lead(position) OVER w + position) / 2, 'inf'::DOUBLE) AS hi FROM columns WINDOW w AS (PARTITION BY doc_id, page_num ORDER BY position, column_num)),
 placed AS (SELECT t.*, b.column_num FROM own t JOIN bounds b ON t.doc_id = b.doc_id AND t.page_num = b.page_num AND (x1 + x2) / 2.0::DOUBLE >= lo AND (x1 + x2) / 2.0::DOUBLE < hi),
 heights AS (SELECT doc_id, page_num, greatest(8, floor(median(y2 - y1) * 0.6))::INT AS threshold, bool_or(confidence < 0.8) AS needs_review FROM own GROUP BY ALL),
 folded AS (SELECT doc_id, page_num, list_reduce(list_prepend({'anchor': -1e9::DOUBLE, 'line': 0, 'of': []::INT[]}, list(struct_pack(anchor := (y1 + y2) / 2.0::DOUBLE, line := 0, of := []::INT[]) ORDER BY y1, x1, pos)),
@@ -230,12 +230,12 @@ rows AS (SELECT doc_id, page_num, unnest(lines)::BIGINT AS row_num, unnest(poss)
 SELECT doc_id, page_num, row_num, column_num, string_agg(text, ' ' ORDER BY y1, x1, pos) AS cell_text, min(confidence) AS confidence, any_value(needs_review) AS needs_review FROM placed JOIN rows USING (doc_id, page_num, pos) JOIN heights USING (doc_id, page_num) GROUP BY ALL""",
 )
 def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.table(tables.tokens(spark, sf_dir), REGION, hierarchical=False)
+    return layout.table(tables.tokens(spark, sf_dir), REGION, hierarchical=False).drop("token_ids", "box")
 
 
 @query("table_cells_clustered")
 def table_cells_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.table(tables.tokens(spark, sf_dir), REGION)
+    return layout.table(tables.tokens(spark, sf_dir), REGION).drop("token_ids", "box")
 
 
 @query(
