@@ -163,13 +163,7 @@ class Texts:
 
         @F.pandas_udf("array<long>")
         def known(values: pd.Series) -> pd.Series:
-            bits = filtered.value
-            shift = np.uint64(64 - (8 * len(bits) - 1).bit_length())
-            out = []
-            for x in values:
-                at = (x.view(np.uint64) >> shift).astype(np.int64)
-                out.append(x[(bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1])
-            return pd.Series(out, dtype=object)
+            return pd.Series([x[_passes(filtered.value, x.view(np.uint64))] for x in values], dtype=object)
 
         each = once.select("id", "size", F.size("sigs").alias("total"), F.explode(known("sigs")).alias("hash"))
         return saved(each, "near-shared", self.scope)
@@ -262,25 +256,35 @@ def _comparable(a: Column, b: Column, percent: int) -> Column:
 
 
 def _bits(hashes: DataFrame) -> np.ndarray:
-    """A bit for each hash's first bits, as many as FILTER_BITS allow for 16 a hash: 16 MB at most. Each task makes blocks of its own."""
+    """Two bits for each hash, told by its first and by its last bits, of as many as FILTER_BITS allow for 16 a hash: 16 MB at most.
+
+    Each task makes blocks of its own. Where hashes are so many that most bits are set, the filter lets most through.
+    """
     bits = min(FILTER_BITS[1], max(FILTER_BITS[0], (16 * hashes.count()).bit_length()))
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         blocks: dict[int, np.ndarray] = {}
         for x in batches:
-            at = (x["hash"].to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+            at = x["at"].to_numpy()
             for block in np.unique(at // FILTER_BLOCK):
                 blocks.setdefault(int(block), np.zeros(FILTER_BLOCK, bool))[at[at // FILTER_BLOCK == block] % FILTER_BLOCK] = True
         for block, found in blocks.items():
             yield pd.DataFrame({"block": [block], "bits": [np.packbits(found, bitorder="little").tobytes()]})
 
-    first = F.shiftrightunsigned("hash", 64 - bits + FILTER_BLOCK.bit_length() - 1)
+    at = F.array(F.shiftrightunsigned("hash", 64 - bits), F.col("hash").bitwiseAND(F.lit((1 << bits) - 1)))
+    dealt = hashes.select(F.explode(at).alias("at")).repartition(F.floor(F.col("at") / FILTER_BLOCK))
     out = np.zeros((1 << bits) // 8, np.uint8)
-    for r in hashes.repartition(first).mapInPandas(build, "block int, bits binary").collect():
+    for r in dealt.mapInPandas(build, "block int, bits binary").collect():
         out[r["block"] * FILTER_BLOCK // 8 : (r["block"] + 1) * FILTER_BLOCK // 8] |= np.frombuffer(r["bits"], np.uint8)
     return out
 
 
+def _passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    size = (8 * len(bits) - 1).bit_length()
+    of = lambda at: (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    return of((hashes >> np.uint64(64 - size)).astype(np.int64)) & of((hashes & np.uint64((1 << size) - 1)).astype(np.int64))
+
+
 def _rarity(texts: DataFrame, shingle: int, rows: int) -> np.ndarray:
     """For each bucket of shingle hashes how many shingles all rows have in it, as a rounded logarithm.
 
