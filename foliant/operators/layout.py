@@ -301,7 +301,7 @@ def _placed(rows: Column, positions: Column) -> Column:
 def tables(tokens: DataFrame, regions: DataFrame | tuple[float, float, float, float], least: float = scalars.REVIEW, hierarchical: bool = True) -> DataFrame:
     """One row for each region: its keys, rows, col_positions, columns (col_0, ...), needs_review.
 
-    regions: a table (doc_id, page_num, region_id, rx1, ry1, rx2, ry2, and lines array<double> if ruled lines are known), or one box
+    regions: a table (doc_id, page_num, region_id if there are several a page, rx1, ry1, rx2, ry2, and lines array<double> if ruled lines are known), or one box
     on every page that has tokens. rows: arrays of a row's tokens in reading order, each with column_num (from 1). Rows by
     the adaptive threshold from the row's first token; columns by ruled lines where there are any, else by hierarchical
     clustering if there are CLUSTERED tokens, else, or if it is switched off, by gaps. A table needs review if any of
@@ -310,7 +310,7 @@ def tables(tokens: DataFrame, regions: DataFrame | tuple[float, float, float, fl
     token = F.struct("y1", "x1", "pos", "x2", "y2", "text", "confidence")
     if isinstance(regions, DataFrame):
         lines = F.col("lines") if "lines" in regions.columns else F.lit(None).cast("array<double>")
-        keys = (*PAGE, "region_id")
+        keys = (*PAGE, *(c for c in regions.columns if c == "region_id"))
         known = regions.select(*keys, "rx1", "ry1", "rx2", "ry2", lines.alias("lines"))
         # The regions go along as rows without a token, so that those without any are there too.
         each = in_region_grid(tokens, known.drop("lines")).select(*keys, token.alias("t"), F.lit(None).cast("array<double>").alias("lines"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.operators import layout
+from foliant.operators import confidence, layout, trees
 from foliant.plans.catalogue import _COLUMNS, _INSIDE, REGION, TOKENS, query
 from foliant.sources import tables
 
@@ -74,3 +74,134 @@ def ruled_table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM (SELECT *, CASE WHEN y1 - lag(y1) OVER (PARTITION BY doc_id, page_num ORDER BY y1, x1, pos) <= 10 THEN 0 ELSE 1 END AS new FROM tokens WHERE x2 - x1 > 20 AND y2 - y1 > 10)""")
 def cell_rows_by_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.row_groups(layout.wide_boxes(tables.tokens(spark, sf_dir))).select("doc_id", "page_num", "pos", "row_num")
+
+
+# Whole documents.
+
+_KIND = "CASE pos // 15 % 4 WHEN 0 THEN 'heading' WHEN 1 THEN 'paragraph' WHEN 2 THEN 'list' ELSE 'form_field' END"
+#: Pages, regions (runs of 15 words, of four types) and the cells of each page's table.
+PARTS = (
+    f"{TOKENS}, own AS (SELECT * FROM tokens WHERE {_INSIDE}), " + _COLUMNS.format(source="own").replace("round(avg(cx), 6)", "avg(cx)")
+    + f""", bounds AS (SELECT *, coalesce((lag(position) OVER w + position) / 2, '-inf'::DOUBLE) AS lo, coalesce((lead(position) OVER w + position) / 2, 'inf'::DOUBLE) AS hi FROM columns WINDOW w AS (PARTITION BY doc_id, page_num ORDER BY position, column_num)),
+placed AS (SELECT t.*, b.column_num FROM own t JOIN bounds b ON t.doc_id = b.doc_id AND t.page_num = b.page_num AND (x1 + x2) / 2.0::DOUBLE >= lo AND (x1 + x2) / 2.0::DOUBLE < hi),
+heights AS (SELECT doc_id, page_num, greatest(8, floor(median(y2 - y1) * 0.6))::INT AS threshold FROM own GROUP BY ALL),
+folded AS (SELECT doc_id, page_num, list_reduce(list_prepend({{'anchor': -1e9::DOUBLE, 'line': 0, 'of': []::INT[]}}, list(struct_pack(anchor := (y1 + y2) / 2.0::DOUBLE, line := 0, of := []::INT[]) ORDER BY y1, x1, pos)),
+  lambda a, t: CASE WHEN a.anchor < -1e8 OR abs(t.anchor - a.anchor) > any_value(threshold) THEN struct_pack(anchor := t.anchor, line := a.line + 1, of := list_append(a.of, a.line + 1)) ELSE struct_pack(anchor := a.anchor, line := a.line, of := list_append(a.of, a.line)) END).of AS lines,
+  list(pos ORDER BY y1, x1, pos) AS poss FROM own JOIN heights USING (doc_id, page_num) GROUP BY doc_id, page_num),
+rows AS (SELECT doc_id, page_num, unnest(lines)::BIGINT AS row_num, unnest(poss) AS pos FROM folded),
+cells AS (SELECT doc_id, page_num, row_num - 1 AS r, column_num - 1 AS c, string_agg(text, ' ' ORDER BY y1, x1, pos) AS text, min(confidence) AS confidence, list(pos ORDER BY y1, x1, pos) AS ids, [min(x1), min(y1), max(x2), max(y2)] AS box FROM placed JOIN rows USING (doc_id, page_num, pos) GROUP BY ALL),
+regions AS (SELECT doc_id, page_num, pos // 15 AS n, any_value({_KIND}) AS type, string_agg(text, ' ' ORDER BY pos) AS text, min(confidence) AS confidence, [min(x1), min(y1), max(x2), max(y2)] AS box, list(pos ORDER BY pos) AS ids FROM tokens GROUP BY ALL)"""
+)
+
+
+def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, docs = tables.tokens(spark, sf_dir), tables.table(spark, sf_dir, "documents")
+    region = F.floor(F.col("pos") / 15)
+    kinds = F.array(*map(F.lit, ("heading", "paragraph", "list", "form_field")))
+    regions = trees.region_rows(t, region, F.element_at(kinds, (F.col("region_num") % 4 + 1).cast("int")))
+    pages = t.groupBy("doc_id", "page_num").agg(F.lit(600).alias("width"), F.max("y2").alias("height"))
+    metadata = docs.select("doc_id", F.create_map(F.lit("lang"), F.coalesce("lang", F.lit("")), F.lit("source"), F.coalesce("source", F.lit(""))).alias("metadata"))
+    return trees.document_tree(pages, t, regions, layout.table(t, REGION, hierarchical=False), metadata)
+
+
+def _json_sql(bare: bool) -> str:
+    more = lambda x: "" if bare else x
+    return f"""WITH {PARTS},
+toks AS (SELECT doc_id, page_num, max(y2) AS height, list({{'text': text{more(", 'confidence': confidence, 'bbox': [x1, y1, x2, y2]")}}} ORDER BY pos) AS x FROM tokens GROUP BY ALL),
+regs AS (SELECT doc_id, page_num, list({{'id': 'region_' || n, 'type': type, 'text': text{more(", 'confidence': confidence, 'bbox': box, 'token_ids': ids")}}} ORDER BY n) AS x FROM regions GROUP BY ALL),
+tabs AS (SELECT doc_id, page_num, [{{'id': 'table_1'{more(", 'bbox': [min(box[1]), min(box[2]), max(box[3]), max(box[4])]")}, 'cells': list({{'row': r, 'col': c, 'text': text{more(", 'confidence': confidence, 'bbox': box, 'token_ids': ids")}}} ORDER BY r, c)}}] AS x FROM cells GROUP BY ALL),
+pages AS (SELECT doc_id, list({{'page_num': page_num, 'width': 600, 'height': height, 'tokens': toks.x, 'regions': regs.x, 'tables': coalesce(tabs.x, [])}} ORDER BY page_num) AS pages FROM toks JOIN regs USING (doc_id, page_num) LEFT JOIN tabs USING (doc_id, page_num) GROUP BY doc_id)
+SELECT doc_id, to_json({{'id': doc_id::VARCHAR{more(", 'metadata': {'lang': coalesce(lang, ''), 'source': coalesce(source, '')}")}, 'pages': pages}})::VARCHAR AS json FROM pages JOIN documents USING (doc_id)"""
+
+
+@query("document_json", _json_sql(bare=False))
+def document_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.document_json(tree(spark, sf_dir))
+
+
+@query("document_json_bare", _json_sql(bare=True))
+def document_json_bare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.document_json(tree(spark, sf_dir), boxes=False, confidences=False, metadata=False, provenance=False)
+
+
+@query(
+    "region_csv",
+    f"""WITH {PARTS} SELECT doc_id, page_num, type AS region_type, text, box[1] AS x1, box[2] AS y1, box[3] AS x2, box[4] AS y2, confidence FROM regions
+UNION ALL SELECT doc_id, page_num, 'table_cell_table_1_r' || r || '_c' || c, text, box[1], box[2], box[3], box[4], confidence FROM cells""",
+)
+def region_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.csv_rows(tree(spark, sf_dir))
+
+
+@query(
+    "stored_result_rows",
+    f"""WITH {PARTS} SELECT doc_id, page_num AS page, type, text, confidence, to_json(box::DOUBLE[])::VARCHAR AS bbox, NULL::BIGINT AS "row", NULL::BIGINT AS col, NULL AS table_id, array_to_string(ids, ',') AS token_ids FROM regions
+UNION ALL SELECT doc_id, page_num, 'table_cell', text, NULL, NULL, r + 1, c + 1, 'table_1', array_to_string(ids, ',') FROM cells""",
+)
+def stored_result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results as they are stored, read back to rows with their provenance."""
+    rows = trees.stored_rows(document_json(spark, sf_dir), provenance=True)
+    return rows.withColumns({"row": F.col("row").cast("long"), "col": F.col("col").cast("long"), "token_ids": F.array_join(F.col("token_ids").cast("array<string>"), ",")})
+
+
+@query(
+    "row_provenance",
+    f"""WITH {PARTS}, rows2 AS (SELECT doc_id, page_num, unnest(ids) AS pos, 'region_' || n AS item FROM regions UNION ALL SELECT doc_id, page_num, unnest(ids), 'cell_' || r || '_' || c FROM cells)
+SELECT doc_id, page_num, item, count(*) AS tokens, min(confidence) AS confidence, count(*) FILTER (confidence < 0.8) AS low FROM rows2 JOIN tokens USING (doc_id, page_num, pos) GROUP BY ALL""",
+)
+def row_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each region and cell of the nested documents, resolved to the tokens it was made from."""
+    page = tree(spark, sf_dir).select("doc_id", F.inline("document.pages"))
+    regions = F.transform("regions", lambda r: F.struct(r.id.alias("item"), r.token_ids.alias("ids")))
+    cells = F.flatten(F.transform("tables", lambda t: F.transform(t.cells, lambda c: F.struct(F.concat(F.lit("cell_"), c.row.cast("string"), F.lit("_"), c.col.cast("string")).alias("item"), c.token_ids.alias("ids")))))
+    rows = page.select("doc_id", "page_num", F.inline(F.concat(regions, cells))).select("doc_id", "page_num", "item", F.explode("ids").alias("pos"))
+    found = rows.join(tables.tokens(spark, sf_dir).select("doc_id", "page_num", "pos", "confidence"), ["doc_id", "page_num", "pos"])
+    return found.groupBy("doc_id", "page_num", "item").agg(F.count("*").alias("tokens"), F.min("confidence").alias("confidence"), F.count_if(F.col("confidence") < 0.8).alias("low"))
+
+
+_MARKED = r"""CASE type WHEN 'heading' THEN '## ' || text WHEN 'list' THEN '* ' || trim(text) ELSE text END"""
+
+
+@query(
+    "text_export",
+    f"""WITH {PARTS}, regs AS (SELECT doc_id, page_num, string_agg({_MARKED} || chr(10), chr(10) ORDER BY n) AS t FROM regions GROUP BY ALL),
+widths AS (SELECT doc_id, page_num, c, max(length(text)) AS w FROM cells GROUP BY ALL), cols2 AS (SELECT doc_id, page_num, unnest(range(max(c) + 1)) AS c FROM cells GROUP BY doc_id, page_num),
+grid AS (SELECT s.doc_id, s.page_num, l.r, s.c, rpad(coalesce(text, ''), coalesce(w, 0)::INT, ' ') AS t FROM cols2 s JOIN (SELECT DISTINCT doc_id, page_num, r FROM cells) l ON s.doc_id = l.doc_id AND s.page_num = l.page_num
+  LEFT JOIN widths w ON s.doc_id = w.doc_id AND s.page_num = w.page_num AND s.c = w.c LEFT JOIN cells x ON s.doc_id = x.doc_id AND s.page_num = x.page_num AND s.c = x.c AND l.r = x.r),
+lines2 AS (SELECT doc_id, page_num, r, '|' || string_agg(' ' || t || ' |', '' ORDER BY c) AS t FROM grid GROUP BY ALL), tabs AS (SELECT doc_id, page_num, 'Table 1:' || chr(10) || string_agg(t, chr(10) ORDER BY r) || chr(10) AS t FROM lines2 GROUP BY ALL),
+pages AS (SELECT doc_id, page_num, '=== Page ' || page_num || ' ===' || chr(10) || chr(10) || regs.t || coalesce(chr(10) || tabs.t, '') || chr(10) AS t FROM regs LEFT JOIN tabs USING (doc_id, page_num))
+SELECT doc_id, string_agg(t, chr(10) ORDER BY page_num) AS text FROM pages GROUP BY doc_id""",
+)
+def text_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.text_export(tree(spark, sf_dir))
+
+
+@query(
+    "result_summary",
+    rf"""WITH {PARTS}, p AS (SELECT doc_id, page_num, sum(confidence) / count(*) AS m, string_agg(text, ' ' ORDER BY pos) AS t FROM tokens GROUP BY ALL), d AS (SELECT doc_id, count(*) AS pages, round(sum(m) / count(*) + 1e-9, 6) AS confidence, string_agg(t, ' ' ORDER BY page_num) AS t FROM p GROUP BY doc_id)
+SELECT doc_id, len(list_filter(regexp_split_to_array(t, '\s+'), lambda w: w <> ''))::BIGINT AS word_count, length(t)::BIGINT AS char_count, pages AS page_count, coalesce(n_tables, 0) AS table_count, coalesce(fields, 0) AS form_field_count, coalesce(lang, 'unknown') AS document_type, coalesce(source, 'unknown') AS document_class, confidence
+FROM d JOIN documents USING (doc_id) LEFT JOIN (SELECT doc_id, count(DISTINCT page_num) AS n_tables FROM cells GROUP BY 1) USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS fields FROM regions WHERE type = 'form_field' GROUP BY 1) USING (doc_id)""",
+)
+def result_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = tables.table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("document_type"), F.col("source").alias("document_class"))
+    return trees.summaries(tree(spark, sf_dir), kinds).withColumn("confidence", confidence.rounded(F.col("confidence")))
+
+
+_ESCAPED = "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_BOUNDS = """'<BoundingBox x1="' || box[1] || '" y1="' || box[2] || '" x2="' || box[3] || '" y2="' || box[4] || '"/>'"""
+
+
+def _element(depth: int, text: str) -> str:
+    return f"repeat(' ', {4 * depth}) || {text} || chr(10)"
+
+
+@query(
+    "document_xml",
+    f"""WITH {PARTS}, reg AS (SELECT doc_id, page_num, string_agg({_element(4, '''\'<Region type="\' || type || \'" id="region_\' || n || \'" confidence="\' || confidence || \'">\'''')} || {_element(5, _BOUNDS)} || {_element(5, f"'<Text>' || {_ESCAPED} || '</Text>'")} || {_element(4, "'</Region>'")}, '' ORDER BY n) AS x FROM regions GROUP BY ALL),
+cel AS (SELECT doc_id, page_num, r, string_agg({_element(7, '''\'<Cell col="\' || c || \'" confidence="\' || confidence || \'">\'''')} || {_element(8, _BOUNDS)} || {_element(8, f"'<Text>' || {_ESCAPED} || '</Text>'")} || {_element(7, "'</Cell>'")}, '' ORDER BY c) AS x FROM cells GROUP BY ALL),
+tab AS (SELECT doc_id, page_num, {_element(3, "'<Tables>'")} || {_element(4, '''\'<Table id="table_1">\'''')} || {_element(5, "'<Rows>'")} || string_agg({_element(6, '''\'<Row index="\' || r || \'">\'''')} || x || {_element(6, "'</Row>'")}, '' ORDER BY r) || {_element(5, "'</Rows>'")} || {_element(4, "'</Table>'")} || {_element(3, "'</Tables>'")} AS x FROM cel GROUP BY ALL),
+page AS (SELECT doc_id, string_agg({_element(2, '''\'<Page number="\' || page_num || \'">\'''')} || {_element(3, "'<Regions>'")} || reg.x || {_element(3, "'</Regions>'")} || coalesce(tab.x, {_element(3, "'<Tables/>'")}) || {_element(2, "'</Page>'")}, '' ORDER BY page_num) AS x FROM reg LEFT JOIN tab USING (doc_id, page_num) GROUP BY doc_id)
+SELECT doc_id, '<Document id="' || doc_id || '">' || chr(10) || {_element(1, "'<Pages>'")} || x || {_element(1, "'</Pages>'")} || '</Document>' AS xml FROM page""",
+)
+def document_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.document_xml(tree(spark, sf_dir))

@@ -16,8 +16,10 @@ def json_sink(df: DataFrame, path: str) -> None:
 
 
 def csv_sink(*columns: str) -> Sink:
+    """CSV with a header: null is blank, and an empty text is quoted, which readers that don't look at quotes take for null."""
+
     def write(df: DataFrame, path: str) -> None:
-        df.select(*columns).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", '""').csv(path)
+        df.select(*columns).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
     return write
 
