@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StructType
 
 from foliant.functions import scalars
 
@@ -20,14 +21,35 @@ def flat_rows(regions: DataFrame, cells: DataFrame) -> DataFrame:
     return text.unionByName(cell, allowMissingColumns=True)
 
 
-def dynamic_columns(rows: DataFrame, keys: list[str] | None = None) -> tuple[DataFrame, list[str]]:
-    """rows with a map `columns`: one column for each key of any row, in order, '' where a row lacks it.
+#: Columns that an export may have.
+MOST_COLUMNS = 1000
 
-    The keys are a list for the driver: the header of the export. Give them to spare the pass that finds them.
+
+def dynamic_columns(rows: DataFrame, keys: list[str] | None = None, most: int = MOST_COLUMNS) -> tuple[DataFrame, list[str]]:
+    """rows with a map or JSON objects in `columns`: one column for each key of any row, in order, '' where a row lacks it or has null.
+
+    The objects become variants, whose common schema is an aggregate; it names the columns of the plan, `most` at most, else
+    it is an error that tells so before the schema is made. keys spares both passes. What is no JSON object has no keys.
+    Values are told as text.
     """
+    if isinstance(rows.schema["columns"].dataType, MapType):
+        rows = rows.withColumn("columns", F.to_json("columns"))
+    parsed = rows.withColumn("columns", F.try_parse_json("columns"))
     if keys is None:
-        keys = [r["k"] for r in rows.select(F.explode(F.map_keys("columns")).alias("k")).distinct().orderBy("k").collect()]
-    return rows.select(*(c for c in rows.columns if c != "columns"), *(F.coalesce(F.try_element_at("columns", F.lit(k)), F.lit("")).alias(k) for k in keys)), keys
+        found = rows.select(F.explode(F.map_keys(F.from_json("columns", "map<string, string>"))).alias("k"))
+        if found.distinct().limit(most + 1).count() > most:
+            raise ValueError(f"the rows have more than {most} columns")
+        objects = F.when(F.startswith(F.schema_of_variant("columns"), F.lit("OBJECT")), F.col("columns"))
+        shape = parsed.agg(F.schema_of_variant_agg(objects).alias("s")).first()["s"] or ""
+        keys = sorted(StructType.fromDDL(shape.replace("OBJECT<", "STRUCT<")[7:-1]).names) if shape.startswith("OBJECT<") and shape != "OBJECT<>" else []
+
+    def told(k: str) -> Column:
+        quote = "'" if "'" not in k else '"'
+        if quote not in k:
+            return F.try_variant_get("columns", f"$[{quote}{k}{quote}]", "string")
+        return F.try_element_at(F.try_variant_get("columns", "$", "map<string, string>"), F.lit(k))
+
+    return parsed.select(*(c for c in rows.columns if c != "columns"), *(F.coalesce(told(k), F.lit("")).alias(k) for k in keys)), keys
 
 
 def page_json(tokens: DataFrame, boxes: bool = True, confidences: bool = True) -> DataFrame:

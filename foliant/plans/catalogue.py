@@ -498,7 +498,7 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("metric_summary", f"WITH {REQUESTS} SELECT endpoint, count(*) AS n, round(avg(metric_value) + 1e-9, 6) AS mean, round(median(metric_value) + 1e-9, 6) AS median, round(stddev_pop(metric_value) + 1e-9, 6) AS std, min(metric_value) AS least, max(metric_value) AS most FROM requests GROUP BY endpoint")
 def metric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return confidence.stats(tables.requests(spark, sf_dir), "endpoint", value="metric_value")
+    return confidence.stats_of_large_groups(tables.requests(spark, sf_dir), "endpoint", value="metric_value")
 
 
 @query("session_activity", "SELECT client, sum(new)::BIGINT AS sessions, max(\"at\") AS last_activity FROM (SELECT user_id AS client, ts AS \"at\", CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events) GROUP BY client")

@@ -6,7 +6,7 @@ import inspect
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Processor = Callable[..., DataFrame]
@@ -53,6 +53,100 @@ def run(df: DataFrame, profile: str = "default", on_error: str = "raise", **kwar
     return df.withColumn("skipped", F.array(*map(F.lit, skipped)).cast("array<string>")) if on_error == "skip" else df
 
 
+#: What a row has in a column when a step is reached.
+Of = Callable[[str], Column]
+
+
+@dataclass(frozen=True)
+class RowStep:
+    """A step of rows: `problem` tells why a row fails it, null if it doesn't; `change` are the columns that it sets on the others."""
+
+    name: str
+    problem: Callable[..., Column]
+    change: Callable[..., dict[str, Column]]
+
+
+#: Row steps by name.
+ROW_STEPS: dict[str, RowStep] = {}
+
+
+def row_step(name: str, change: Callable[..., dict[str, Column]] = lambda c, **_: {}) -> Callable[[Callable[..., Column]], RowStep]:
+    def register(problem: Callable[..., Column]) -> RowStep:
+        ROW_STEPS[name] = RowStep(name, problem, change)
+        return ROW_STEPS[name]
+
+    return register
+
+
+ERROR = "struct<step: string, reason: string>"
+
+
+def run_rows(df: DataFrame, steps: Sequence[Step]) -> DataFrame:
+    """df with `error` (step, reason): null for rows that pass all steps, else the first step that a row failed.
+
+    A row that fails is set aside: later steps leave it as it was when it failed, and the others go on. All is one
+    projection, so the source is read once whether good rows, bad ones or both are asked for. A later step is only worked
+    out for rows without a problem so far.
+    """
+    now = {c: F.col(c) for c in df.columns}
+    out, problems = dict(now), []
+    for step in steps:
+        if step.name not in ROW_STEPS:
+            raise KeyError(f"no row step {step.name}")
+        known, here = ROW_STEPS[step.name], dict(now)
+        reason = known.problem(here.__getitem__, **step.params)
+        problems.append(F.when(reason.isNotNull(), F.struct(F.lit(step.name).alias("step"), reason.alias("reason"))).cast(ERROR))
+        for name, value in known.change(here.__getitem__, **step.params).items():
+            now[name] = value
+            out[name] = F.when(F.coalesce(*problems).isNull(), value).otherwise(out.get(name, F.lit(None)))
+    error = F.coalesce(*problems) if problems else F.lit(None).cast(ERROR)
+    return df.select(*(value.alias(name) for name, value in out.items()), error.alias("error"))
+
+
+def passed(df: DataFrame) -> DataFrame:
+    return df.where("error is null").drop("error")
+
+
+def set_aside(df: DataFrame) -> DataFrame:
+    """The rows that failed, with step and reason."""
+    return df.where("error is not null").select(*(c for c in df.columns if c != "error"), "error.*")
+
+
+def error_counts(df: DataFrame) -> DataFrame:
+    """Rows by step and reason; of those that passed both are null."""
+    return df.groupBy("error.step", "error.reason").agg(F.count("*").alias("n"))
+
+
+@row_step("tokens.text", lambda c: {"text": F.trim(c("text"))})
+def has_text(c: Of) -> Column:
+    return F.when(F.coalesce(F.trim(c("text")), F.lit("")) == "", "no text")
+
+
+@row_step("tokens.box")
+def sound_box(c: Of) -> Column:
+    missing = F.greatest(*(c(side).isNull().cast("int") for side in ("x1", "y1", "x2", "y2"))) == 1
+    return F.when(missing, "no box").when((c("x1") > c("x2")) | (c("y1") > c("y2")), "box is inside out")
+
+
+@row_step("tokens.number", lambda c: {"score": c("confidence").try_cast("double")})
+def is_number(c: Of) -> Column:
+    return F.when(c("confidence").isNull(), "no confidence").when(c("confidence").try_cast("double").isNull(), "confidence is no number")
+
+
+@row_step("tokens.range")
+def in_range(c: Of, least: float = 0.0, most: float = 1.0) -> Column:
+    return F.when(~c("score").between(least, most), "confidence out of range")
+
+
+@row_step("tokens.review", lambda c, least=0.8: {"needs_review": c("score") < least})
+def reviewed(c: Of, least: float = 0.8) -> Column:
+    return F.lit(None).cast("string")
+
+
+#: The checks of raw tokens, in the order in which a row is told what is wrong with it.
+RAW_TOKENS = (Step("tokens.text"), Step("tokens.box"), Step("tokens.number"), Step("tokens.range"), Step("tokens.review"))
+
+
 def describe() -> dict[str, dict]:
     """Each processor's parameters, with defaults, and its first line of documentation."""
     out = {}

@@ -26,6 +26,13 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def raw_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens as an engine hands them over: confidences as text, some of them none, and some boxes inside out or blank."""
+    t, at = tokens(spark, sf_dir), F.col("doc_id") + F.col("pos")
+    told = F.when(at % 97 == 0, "n/a").when(at % 89 == 0, "1.7").when(at % 101 == 0, F.lit(None)).otherwise(F.col("confidence").cast("string"))
+    return t.withColumns({"confidence": told, "x2": F.when(at % 83 == 0, F.col("x1") - 1).otherwise(F.col("x2")), "text": F.when(at % 79 == 0, " ").otherwise(F.col("text"))})
+
+
 def second_engine(base: DataFrame) -> DataFrame:
     """What another recognizer made of every second word: the same boxes, confidences of its own."""
     other = (F.col("doc_id") * 7 + (F.col("page_num") - 1) * 5 + F.col("pos") * 11) % 101 / F.lit(100.0)
