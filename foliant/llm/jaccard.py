@@ -18,7 +18,7 @@ STEP, PARTS = 1.6, 2
 #: Independent partitions of the domain; all but the last leave empty subsets out.
 LEVELS = 4
 #: Pairs for each text with a signature up to which all are compared; beyond, they must share a first shingle too.
-CROWD = 16
+CROWD = 4
 #: Bits of the filter of signatures that several texts have, at least and at most, as powers of two; bits in a block of it.
 FILTER_BITS, FILTER_BLOCK = (16, 27), 1 << 16
 #: Buckets (a power of two) in which shingles are counted, to have the rare ones first: at least and at most; in blocks.
@@ -148,7 +148,7 @@ class Texts:
         and that share a signature are compared pair by pair.
         """
         shared = self._shared()
-        pairs = _hub_pairs(shared, self.percent)
+        pairs = _hub_pairs(shared, self.percent, self.scope)
         pairs = saved((pairs.unionByName(seeds(self.rows)) if seeds else pairs).distinct(), "near-pairs", self.scope)
         near = saved(self._verified(self._alike(pairs)), "near-first", self.scope)
         pairs = saved(self._open_pairs(shared, components(near, "near-links", self.scope)), "near-open", self.scope)
@@ -182,16 +182,17 @@ class Texts:
         members = saved(crowd.groupBy("id").agg(F.any_value("root").alias("root"), F.any_value("size").alias("size")), "near-crowd", self.scope)
         if members.isEmpty():
             return pairs.distinct()
-        first = saved(self._first_shingles(members.select("id")).join(members, "id"), "near-first-shingles", self.scope)
+        first = saved(self._first_shingles(members), "near-first-shingles", self.scope)
         met = saved(first.join(_open_keys(first, "shingle"), "shingle"), "near-met", self.scope)
         pairs = pairs.unionByName(_pairs(met.where("not crowded"), ["shingle"], self.percent))
         both = met.where("crowded").drop("crowded").join(crowd.select("id", "hash"), "id")
         return pairs.unionByName(_pairs(both, ["shingle", "hash"], self.percent)).distinct()
 
-    def _first_shingles(self, ids: DataFrame) -> DataFrame:
-        """(id, at, shingle): of each text as many of its shingles as one must be shared of with a similar set; those rare among these texts first."""
+    def _first_shingles(self, members: DataFrame) -> DataFrame:
+        """(id, root, size, at, shingle): of each text as many of its shingles as one must be shared of with a similar set; those rare among these texts first."""
         shingle, percent = self.shingle, self.percent
-        one = saved(self.texts.join(lookup(ids), "id", "left_semi").groupBy("id").agg(F.any_value("text").alias("text")), "near-crowd-texts", self.scope)
+        found = self.texts.join(lookup(members), "id").groupBy("id").agg(*(F.any_value(c).alias(c) for c in ("text", "root", "size")))
+        one = saved(found, "near-crowd-texts", self.scope)
         rarity = one.sparkSession.sparkContext.broadcast(_rarity(one, shingle, one.count()))
 
         @F.pandas_udf("array<long>")
@@ -203,7 +204,7 @@ class Texts:
                 out.append(h[np.lexsort((h, counts[h >> shift]))[: int(_prefix(len(h), percent)) if len(h) else 0]].view(np.int64))
             return pd.Series(out, dtype=object)
 
-        return one.select("id", F.posexplode(first("text")).alias("at", "shingle"))
+        return one.select("id", "root", "size", F.posexplode(first("text")).alias("at", "shingle"))
 
     def _alike(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that may be similar by sizes and parities, some 30 times smaller than the sets; none that is similar is lost."""
@@ -318,14 +319,15 @@ def _rarity(texts: DataFrame, shingle: int, rows: int) -> np.ndarray:
     return out
 
 
-def _hub_pairs(shared: DataFrame, percent: int) -> DataFrame:
+def _hub_pairs(shared: DataFrame, percent: int, scope: str) -> DataFrame:
     """Pairs (a, b) of each text and the one text, of those heading its signatures, that heads most of them.
 
     A signature is headed by the text of which the largest share of signatures stands in other texts too: a common
     origin has none of its own. There is one pair for each text at most, whatever the size of a group.
     """
     shares = shared.groupBy("id", "size", "total").agg(F.count("*").alias("met")).select("id", "size", (F.col("met") / F.col("total")).alias("share"))
-    heads = shared.join(shares.drop("size"), "id").groupBy("hash").agg(F.max_by("id", F.struct("share", "id")).alias("head"), F.count("*").alias("n")).where("n > 1").select("hash", "head")
+    shares = saved(shares, "near-shares", scope)
+    heads = shared.join(lookup(shares.drop("size")), "id").groupBy("hash").agg(F.max_by("id", F.struct("share", "id")).alias("head"), F.count("*").alias("n")).where("n > 1").select("hash", "head")
     sizes = shares.select(F.col("id").alias("head"), F.col("size").alias("head_size"))
     counted = shared.join(heads, "hash").where("id <> head").groupBy("id", "size", "head").agg(F.count("*").alias("n"))
     best = counted.join(sizes, "head").where(_comparable(F.col("size"), F.col("head_size"), percent)).groupBy("id").agg(F.max_by("head", F.struct("n", "head")).alias("head"))
