@@ -54,33 +54,36 @@ def shape(segment: Column) -> Column:
     return out
 
 
-def templates(rows: DataFrame, scope: str = "") -> DataFrame:
-    """Adds `template`, an array of segments, to rows (host, path, ...).
-
-    Level by level below each host: variable shapes become wildcards, as do words that are rare below their parent.
-    Levels follow as long as any parent has SUPPORT pages below it; of fewer, no word could be a branch, and what is
-    left of their paths is one wildcard. Only counts by (host, prefix, word) are shuffled, after partial aggregation, so
-    that a host may hold any share of rows.
+def templates(paths: DataFrame, scope: str = "") -> DataFrame:
+    """Adds `template`, an array of segments, to distinct paths (host, path, n, ...), n of which stand in the table.
+
+    Level by level below each host: variable shapes become wildcards, as do words that are rare below their parent. Levels
+    follow as long as a parent has SUPPORT pages below it; of fewer, no word could be a branch, and what is left of their
+    paths is one wildcard. Only paths that go on below such a parent are carried to the next level, all others are set
+    aside: a few deep paths cost as many small tables, never the whole table again. Only counts by (host, prefix, word)
+    are shuffled, after partial aggregation, so that a host may hold any share of rows.
     """
     parts = F.filter(F.split("path", "/"), lambda s: s != "")
-    out, level = rows.withColumn("_parts", parts).withColumn("template", F.array().cast("array<string>")), 0
+    keep = [*paths.columns, "template"]
+    out = paths.withColumn("_parts", parts).withColumn("template", F.array().cast("array<string>"))
+    level, done = 0, None
     while True:
         part = F.get("_parts", F.lit(level))
-        out = out.withColumn("_part", part).withColumn("_shape", shape(F.col("_part")))
-        total = out.where(F.col("_part").isNotNull()).groupBy("host", "template").agg(F.count("*").alias("_all")).where(F.col("_all") >= SUPPORT)
-        total = saved(total, "url-parents", scope)
-        if total.isEmpty():
-            break
-        word = out.where(F.col("_part").isNotNull() & F.col("_shape").isNull())
-        counts = word.groupBy("host", "template", "_part").agg(F.count("*").alias("_n")).where(F.col("_n") >= SUPPORT)
-        often = saved(counts.join(total, ["host", "template"]).where(F.col("_n") >= F.col("_all") * SHARE).select("host", "template", "_part", F.lit(True).alias("_often")), "url-words", scope)
-        joined = out.join(lookup(often), ["host", "template", "_part"], "left")
-        named = F.when(F.col("_part").isNull(), F.col("template")).otherwise(
-            F.concat("template", F.array(F.coalesce(F.col("_shape"), F.when(F.col("_often"), F.col("_part")), F.lit("{word}"))))
-        )
-        out, level = saved(joined.select(*rows.columns, "_parts", named.alias("template")), "url-level", scope), level + 1
-    rest = F.when(F.size("_parts") > level, F.concat("template", F.array(F.lit("{rest}")))).otherwise(F.col("template"))
-    return out.select(*rows.columns, rest.alias("template"))
+        here = out.withColumn("_part", part).withColumn("_shape", shape(F.col("_part")))
+        counts = here.where(F.col("_part").isNotNull()).groupBy("host", "template", F.when(F.col("_shape").isNull(), F.col("_part")).alias("_word")).agg(F.sum("n").alias("_n"))
+        parents = counts.groupBy("host", "template").agg(F.sum("_n").alias("_all")).where(F.col("_all") >= SUPPORT)
+        often = counts.where(F.col("_word").isNotNull() & (F.col("_n") >= SUPPORT)).join(parents, ["host", "template"]).where(F.col("_n") >= F.col("_all") * SHARE)
+        words = parents.join(often.groupBy("host", "template").agg(F.collect_set("_word").alias("_words")), ["host", "template"], "left")
+        joined = here.join(words, ["host", "template"], "left")
+        named = F.coalesce(F.col("_shape"), F.when(F.array_contains("_words", F.col("_part")), F.col("_part")), F.lit("{word}"))
+        below = F.when(F.col("_part").isNull(), F.col("template")).when(F.col("_all").isNull(), F.concat("template", F.array(F.lit("{rest}")))).otherwise(F.concat("template", F.array(named)))
+        goes_on = F.col("_part").isNotNull() & F.col("_all").isNotNull() & (F.size("_parts") > level + 1)
+        step = saved(joined.select(*paths.columns, below.alias("template"), "_parts", goes_on.alias("_open")), "url-level", scope)
+        closed = step.where("not _open").select(*keep)
+        done = closed if done is None else done.unionByName(closed)
+        out, level = step.where("_open").drop("_open"), level + 1
+        if out.isEmpty():
+            return done
 
 
 def merged_branches(stats: DataFrame, scope: str = "") -> DataFrame:
@@ -139,11 +142,14 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], *, page_id: str =
     host, path = host_and_path(F.col(url))
     rows = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
     rows = rows.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.col("_rule.action").alias("action"))
-    rows = saved(templates(rows, scope), "url-templates", scope)
-    stats = rows.groupBy("host", "template").agg(F.count("*").alias("n"), F.count_if(F.col("action") == "allow").alias("good"), F.count_if(F.col("action") == "block").alias("bad"))
+    rows = saved(rows, "url-rows", scope)
+    paths = rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.count_if(F.col("action") == "allow").alias("good"), F.count_if(F.col("action") == "block").alias("bad"))
+    paths = saved(templates(saved(paths, "url-paths", scope), scope), "url-templates", scope)
+    stats = paths.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in ("n", "good", "bad")))
     rejected = saved(rejected_templates(saved(stats, "url-stats", scope), scope).withColumn("_rejected", F.lit(True)), "url-rejected", scope)
-    out = rows.join(lookup(rejected), ["host", "template"], "left")
+    known = saved(paths.join(lookup(rejected), ["host", "template"], "left").select("host", "path", "template", "_rejected"), "url-known", scope)
     method = F.when(F.col("_rejected"), "block").otherwise("allow")
+    out = rows.join(lookup(known), ["host", "path"])
     return out.select("page_id", "host", "path", "rule", F.coalesce("action", method).alias("verdict"), F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"))
 
 
