@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,27 +12,39 @@ from pyspark.sql import functions as F
 
 from .common import lookup, saved
 
-#: Sentences end at white space after . ! or ? and at line ends.
-BREAK = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
-WORD = re.compile(r"\S+")
-#: Sentences of more words are cut behind one word in so many, chosen by its hash: alike wherever a passage stands.
-LONG, ONE_IN = 48, 16
+#: Characters of scripts that don't part words (Chinese, Japanese, Thai, Lao, Burmese, Khmer): each counts as a word.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+#: Sentences end at white space after . ! or ?, at line ends, and after the full stops and marks of other scripts.
+BREAK = re.compile(r"(?<=[.!?])\s+|\s*\n\s*|(?<=[\u3002\uff01\uff1f\uff61\u061f\u06d4\u0964\u0965\u1362\u104b\u17d4])\s*")
+WORD = re.compile(rf"[{UNSPACED}]|[^\s{UNSPACED}]+")
+#: Sentences of so many words or more are cut behind the word with the least hash of each WINDOW words: alike wherever a passage stands.
+LONG, WINDOW = 40, 10
 #: A span is the shortest run of at least so many sentences, with at least so many words, that begins or ends somewhere.
 MIN_SENTENCES, MIN_WORDS = 2, 20
 
 
+def cuts(words: list[str]) -> list[int]:
+    """Behind which words a long sentence is cut: never more than WINDOW words apart, and told by the words around alone.
+
+    So of a passage of 40 words that stands in two long sentences, the same 20 words or more are whole pieces in both: the first
+    cut comes within 10 words, and the pieces from there, of 10 words at most, make 20 words before the passage ends.
+    """
+    h = np.fromiter((xxhash.xxh32_intdigest(w) for w in words), np.uint32, len(words))
+    at = np.lib.stride_tricks.sliding_window_view(h, WINDOW).argmin(axis=1) + np.arange(len(h) - WINDOW + 1)
+    return np.unique(at).tolist()
+
+
 def sentences(text: str | None) -> list[tuple[int, int]]:
     """Where each sentence begins and ends; blank ones don't count, long ones are several."""
     out, start = [], 0
     for m in [*BREAK.finditer(text := text or ""), None]:
         end = m.start() if m else len(text)
-        # A sentence of n words has 2 n - 1 characters at least.
-        if end - start >= 2 * LONG and len(words := list(WORD.finditer(text, start, end))) > LONG:
+        if end - start >= LONG and len(words := list(WORD.finditer(text, start, end))) >= LONG:
             first = start
-            for w, after in zip(words, words[1:], strict=False):
-                if xxhash.xxh32_intdigest(w[0]) % ONE_IN == 0:
-                    out.append((first, w.end()))
-                    first = after.start()
+            for i in cuts([w[0] for w in words]):
+                if i + 1 < len(words):
+                    out.append((first, words[i].end()))
+                    first = words[i + 1].start()
             out.append((first, end))
         elif text[start:end].strip():
             out.append((start, end))
@@ -46,8 +59,8 @@ def spans(text: str | None, min_sentences: int, min_words: int) -> list[tuple[by
     one that begins with the run, or, if that ends before it, in the one that ends with the sentence. And where a run
     repeats an earlier one, its spans repeat the earlier one's. White space is made one space.
     """
-    words = [text[a:b].split() for a, b in sentences(text)]
-    lines, sizes = [" ".join(w) for w in words], [len(w) for w in words]
+    parts = [text[a:b] for a, b in sentences(text)]
+    lines, sizes = [" ".join(x.split()) for x in parts], [sum(1 for _ in WORD.finditer(x)) for x in parts]
     found, end, count = set(), 0, 0
     for i in range(len(lines)):
         while end < len(lines) and (end - i < min_sentences or count < min_words):
@@ -74,8 +87,9 @@ def repeated_spans(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     The first of a kind is that with the smallest (doc_id, XXH64 of the text, position), null doc_ids last. A document's
     own repeats are settled in the document, so that only one row per document and kind is joined. Rows that agree in
     doc_id and text are one document; those that agree in doc_id only, or have none, are several. Null, empty and short
-    texts have no spans; a long text gives two spans a sentence. An empty table gives no rows. Other columns of df have
-    no part in it.
+    texts have no spans; a long text gives two spans a sentence. Where a script doesn't part words, each of its characters
+    counts as one. A passage within sentences of under LONG words is found by whole sentences only. An empty table gives
+    no rows. Other columns of df have no part in it.
     """
 
     @F.pandas_udf("array<struct<high: long, low: long, first: int, last: int, again: boolean>>")
