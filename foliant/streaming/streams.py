@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+
+from foliant.streaming.states import ROCKSDB
 
 
 def request_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -29,33 +30,46 @@ def last_activity(requests: DataFrame, gap: str = "30 minutes", late: str = "1 h
     return sessions.select("client", F.col("w.start").alias("begins"), "last_activity", "n")
 
 
-def rate_limited(requests: DataFrame, limit: int, seconds: int) -> DataFrame:
-    """Each request and whether it is admitted: fewer than `limit` admitted ones of the client in the last `seconds`.
+class RateLimit(StatefulProcessor):
+    """Of a client the times of its admitted requests, as many as the limit at most; a timer forgets them when none counts any more."""
 
-    The state of a client is the times of its admitted requests, `limit` of them at most.
-    """
+    def __init__(self, limit: int, seconds: int):
+        self.limit, self.seconds = limit, seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("kept", "kept array<long>")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        kept = list(self.state.get()[0]) if self.state.exists() else []
+        for r in sorted(rows, key=lambda r: (r.s, r.request_id)):
+            kept = [t for t in kept if r.s - t < self.seconds]
+            ok = len(kept) < self.limit
+            if ok:
+                kept.append(r.s)
+            yield Row(request_id=r.request_id, client=key[0], admitted=ok)
+        self.state.update((kept,))
+        if kept:
+            self.handle.registerTimer(1000 * (kept[-1] + self.seconds))
 
-    def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["s", "request_id"])
-        out = []
-        for at in rows["s"]:
-            kept = [t for t in kept if at - t < seconds]
-            out.append(len(kept) < limit)
-            if out[-1]:
-                kept.append(int(at))
-        state.update((kept,))
-        yield pd.DataFrame({"request_id": rows["request_id"], "client": key[0], "admitted": out})
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        kept = self.state.get()[0] if self.state.exists() else []
+        if not len(kept) or 1000 * (kept[-1] + self.seconds) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.state.clear()
+        return iter(())
 
-    stamped = requests.select("request_id", "client", F.unix_timestamp("at").alias("s"))
-    return stamped.groupBy("client").applyInPandasWithState(decide, "request_id long, client long, admitted boolean", "kept array<long>", "append", GroupStateTimeout.NoTimeout)
+
+def rate_limited(requests: DataFrame, limit: int, seconds: int, late: str = "1 hour") -> DataFrame:
+    """Each request and whether it is admitted: fewer than `limit` admitted ones of the client in the last `seconds`.
+
+    A client's requests are taken in order within what has arrived; what is more than `late` behind is dropped. A client is
+    forgotten when the watermark has passed its last admitted request by `seconds`.
+    """
+    requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    stamped = requests.withWatermark("at", late).select("request_id", "client", "at", F.unix_timestamp("at").alias("s"))
+    return stamped.groupBy("client").transformWithState(RateLimit(limit, seconds), "request_id long, client long, admitted boolean", "Append", "EventTime")
 
 
 def to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> None:
     """Runs a stream over all that is there, into an in-memory table: for batch comparisons and tests."""
     stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
-
-def to_files(stream: DataFrame, path: str, checkpoint: str, every: str = "1 minute"):
-    """Appends a stream to Parquet files, exactly once."""
-    return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(processingTime=every).start()

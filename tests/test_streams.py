@@ -47,3 +47,20 @@ def test_sessions(spark, sf, tmp_path):
     path = events(spark, sf, tmp_path)
     streams.to_table(streams.last_activity(streams.request_stream(spark, path)), "sessions", f"{tmp_path}/c", "complete")
     assert spark.table("sessions").agg(F.sum("n")).first()[0] == 1000
+
+
+def test_rate_limit_forgets_clients(spark, tmp_path):
+    """Clients that the watermark has left behind are no state any more; those within the window are."""
+    folder = tmp_path / "e"
+    folder.mkdir()
+    for i, rows in enumerate([[(1, 1, 0), (2, 1, 10), (3, 2, 20)], [(4, 3, 100_000)], [(5, 1, 100_005), (6, 3, 100_010)]]):
+        out = tmp_path / str(i)
+        spark.createDataFrame(rows, "request_id long, client long, s long").select("request_id", "client", F.timestamp_seconds(F.col("s") + 1000).alias("at")).coalesce(1).write.parquet(str(out))
+        file = next(out.glob("part-*"))
+        os.utime(file, (1_700_000_000 + 60 * i,) * 2)
+        file.rename(folder / f"{i}.parquet")
+    stream = spark.readStream.schema("request_id long, client long, at timestamp").option("maxFilesPerTrigger", 1).parquet(str(folder))
+    streams.to_table(streams.rate_limited(stream, 1, 60), "forgetful", f"{tmp_path}/c")
+    assert {(r.request_id, r.admitted) for r in spark.table("forgetful").collect()} == {(1, True), (2, False), (3, True), (4, True), (5, True), (6, False)}
+    state = spark.read.format("statestore").option("stateVarName", "kept").load(f"{tmp_path}/c")
+    assert {r.key.client for r in state.collect()} <= {1, 3}
