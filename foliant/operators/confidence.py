@@ -9,16 +9,11 @@ from foliant.functions import scalars
 from foliant.sources.storage import saved
 
 
-def rounded(c: Column) -> Column:
-    """The order of summation is the engine's: figures are told to 6 places, and halves (less what sums lose) go up."""
-    return F.round(c + 1e-9, 6)
-
-
 def stats(df: DataFrame, *by: str, value: str = "confidence") -> DataFrame:
     """n, mean, median, population deviation, least and most."""
     v = F.col(value)
     return df.groupBy(*by).agg(
-        F.count(v).alias("n"), rounded(F.avg(v)).alias("mean"), rounded(F.median(v)).alias("median"), rounded(F.stddev_pop(v)).alias("std"), F.min(v).alias("least"), F.max(v).alias("most")
+        F.count(v).alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.stddev_pop(v).alias("std"), F.min(v).alias("least"), F.max(v).alias("most")
     )
 
 
@@ -69,10 +64,10 @@ def medians(df: DataFrame, *by: str, value: str) -> DataFrame:
 def stats_of_large_groups(df: DataFrame, *by: str, value: str) -> DataFrame:
     """What stats gives, for keys that may hold any share of the rows."""
     v = F.col(value)
-    sums = df.groupBy(*by).agg(F.count(v).alias("n"), rounded(F.avg(v)).alias("mean"), rounded(F.stddev_pop(v)).alias("std"), F.min(v).alias("least"), F.max(v).alias("most")).alias("s")
+    sums = df.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("least"), F.max(v).alias("most")).alias("s")
     found = medians(df, *by, value=value).alias("m")
     out = sums.join(found, [F.col(f"s.{k}").eqNullSafe(F.col(f"m.{k}")) for k in by], "left")
-    return out.select(*(F.col(f"s.{k}") for k in by), "n", "mean", rounded(F.col("median")).alias("median"), "std", "least", "most")
+    return out.select(*(F.col(f"s.{k}") for k in by), "n", "mean", "median", "std", "least", "most")
 
 
 def buckets(df: DataFrame, *by: str) -> DataFrame:
@@ -86,7 +81,7 @@ def bucket_shares(df: DataFrame) -> DataFrame:
     out = []
     for name in ("High", "Medium", "Low"):
         c = F.count_if(q == name)
-        out += [c.alias(f"{name.lower()}_count"), rounded(c / n * 100).alias(f"{name.lower()}_pct")]
+        out += [c.alias(f"{name.lower()}_count"), (c / n * 100).alias(f"{name.lower()}_pct")]
     return df.agg(*out)
 
 
@@ -101,7 +96,7 @@ def document_summary(documents: DataFrame, tokens: DataFrame) -> DataFrame:
     q, c = scalars.quality(F.col("confidence")), F.col("confidence")
     sizes = documents.select("doc_id", scalars.word_count(F.col("text")).cast("long").alias("word_count"), F.length("text").cast("long").alias("char_count"), F.size(F.split("text", "\n")).cast("long").alias("page_count"))
     found = tokens.groupBy("doc_id").agg(
-        rounded(F.avg(c)).alias("avg"), rounded(F.median(c)).alias("median"), rounded(F.stddev_pop(c)).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"),
+        F.avg(c).alias("avg"), F.median(c).alias("median"), F.stddev_pop(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"),
         *(F.count_if(q == name).alias(name.lower()) for name in ("High", "Medium", "Low")),
     )
     return sizes.join(found, "doc_id", "left").select(
@@ -113,7 +108,7 @@ def document_summary(documents: DataFrame, tokens: DataFrame) -> DataFrame:
 def macro_and_micro(tokens: DataFrame) -> DataFrame:
     """The mean of the documents' means, and the mean over all tokens, from one aggregation by document."""
     by = tokens.groupBy("doc_id").agg(F.avg("confidence").alias("mean"), F.sum("confidence").alias("total"), F.count("confidence").alias("n"))
-    return by.agg(F.count("*").alias("documents"), F.sum("n").alias("tokens"), rounded(F.avg("mean")).alias("macro"), rounded(F.sum("total") / F.sum("n")).alias("micro"))
+    return by.agg(F.count("*").alias("documents"), F.sum("n").alias("tokens"), F.avg("mean").alias("macro"), (F.sum("total") / F.sum("n")).alias("micro"))
 
 
 def or_default(value: Column, default: float) -> Column:

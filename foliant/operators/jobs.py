@@ -16,7 +16,7 @@ def job_statistics(jobs: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     since = F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(days))
     seconds = F.unix_timestamp("completed_at") - F.unix_timestamp("started_at")
     recent = jobs.where(F.col("created_at") >= since)
-    return recent.groupBy("status", F.date_trunc("day", "created_at").alias("day")).agg(F.count("*").alias("job_count"), F.round(F.avg(seconds), 6).alias("avg_seconds"), F.round(F.avg("document_size"), 4).alias("avg_size"))
+    return recent.groupBy("status", F.date_trunc("day", "created_at").alias("day")).agg(F.count("*").alias("job_count"), F.avg(seconds).alias("avg_seconds"), F.avg("document_size").alias("avg_size"))
 
 
 def processing_performance(jobs: DataFrame, results: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def processing_performance(jobs: DataFrame, results: DataFrame) -> DataFrame:
     )
     joined = jobs.where("status = 'completed'").select("job_id", "processing_profile", "processing_mode").join(by_job, "job_id", "left")
     return joined.groupBy("processing_profile", "processing_mode").agg(
-        F.sum(F.coalesce("n", F.lit(1))).alias("total_jobs"), F.count("*").alias("distinct_jobs"), F.round(F.sum("c") / F.sum("nc"), 6).alias("avg_confidence"), F.round(F.sum("t") / F.sum("nt"), 4).alias("avg_time_ms"),
+        F.sum(F.coalesce("n", F.lit(1))).alias("total_jobs"), F.count("*").alias("distinct_jobs"), (F.sum("c") / F.sum("nc")).alias("avg_confidence"), (F.sum("t") / F.sum("nt")).alias("avg_time_ms"),
         F.sum("w").alias("total_words"), F.sum("k").alias("total_tokens"),
     )
 
@@ -45,7 +45,7 @@ def progress(jobs: DataFrame, now: str) -> DataFrame:
     """Each job's message and seconds to go."""
     at = F.lit(now).cast("timestamp")
     eta = scalars.eta_seconds(F.col("status"), F.col("progress"), F.col("started_at"), at)
-    return jobs.select("job_id", "status", "progress", F.round(eta, 4).alias("eta_seconds"), scalars.status_message(F.col("status"), F.col("progress")).alias("message"))
+    return jobs.select("job_id", "status", "progress", eta.alias("eta_seconds"), scalars.status_message(F.col("status"), F.col("progress")).alias("message"))
 
 
 def latest(df: DataFrame, key: str, value: str, at: str, tie: str) -> DataFrame:
@@ -67,7 +67,7 @@ def duration_buckets(requests: DataFrame, bounds: tuple[float, ...] = (0.005, 0.
 def api_metrics(requests: DataFrame, failure: Column) -> DataFrame:
     """Success rate and mean time, with denominators of 1 at least."""
     ok, n = F.count_if(~failure), F.count("*")
-    return requests.agg(n.alias("requests"), F.round(ok / F.greatest(n, F.lit(1)), 6).alias("success_rate"), F.round(F.coalesce(F.sum("duration_s"), F.lit(0.0)) / F.greatest(n, F.lit(1)), 6).alias("avg_time_s"))
+    return requests.agg(n.alias("requests"), (ok / F.greatest(n, F.lit(1))).alias("success_rate"), (F.coalesce(F.sum("duration_s"), F.lit(0.0)) / F.greatest(n, F.lit(1))).alias("avg_time_s"))
 
 
 def offered_load(requests: DataFrame, seconds: int) -> DataFrame:

@@ -37,8 +37,13 @@ def merged_engines(*engines: DataFrame) -> DataFrame:
     out = every[0]
     for e in every[1:]:
         out = out.unionByName(e)
+    return best_of_engines(out)
+
+
+def best_of_engines(tokens: DataFrame) -> DataFrame:
+    """Of tokens of several engines (column engine) that agree in page, text and box, the most confident one, the first engine's on a tie."""
     best = F.max(F.struct("confidence", (-F.col("engine")).alias("first"), F.col("pos")))
-    merged = out.groupBy(*PAGE, "text", "x1", "y1", "x2", "y2").agg(best.alias("b"))
+    merged = tokens.groupBy(*PAGE, "text", "x1", "y1", "x2", "y2").agg(best.alias("b"))
     return merged.select(*PAGE, F.col("b.pos").alias("pos"), "text", "x1", "y1", "x2", "y2", F.col("b.confidence").alias("confidence"), (-F.col("b.first")).alias("engine"))
 
 
@@ -89,7 +94,7 @@ def gap_columns(tokens: DataFrame) -> DataFrame:
     span = F.greatest(F.lit(1.0), F.max("cx").over(page) - F.min("cx").over(page))
     gaps = each.withColumn("gap", F.greatest(F.lit(20.0), 0.04 * span)).withColumn("new", F.coalesce((F.col("cx") - F.lag("cx").over(w) > F.col("gap")).cast("int"), F.lit(1)))
     numbered = gaps.withColumn("column_num", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*PAGE, "column_num").agg(F.count("*").alias("n"), F.round(F.avg("cx"), 6).alias("position"))
+    return numbered.groupBy(*PAGE, "column_num").agg(F.count("*").alias("n"), F.avg("cx").alias("position"))
 
 
 def row_groups(cells: DataFrame, least_height: float = 10) -> DataFrame:
@@ -240,7 +245,7 @@ def ward_columns(tokens: DataFrame, distance: float = 20.0) -> DataFrame:
     """Columns of a page by hierarchical clustering of token centres; pages are gathered to arrays, one row each."""
     pages = tokens.groupBy(*PAGE).agg(F.collect_list(scalars.centre(F.col("x1"), F.col("x2"))).alias("centres"))
     found = pages.select(*PAGE, _ward_positions(F.col("centres"), distance).alias("positions"))
-    return found.select(*PAGE, F.posexplode("positions").alias("i", "position")).select(*PAGE, (F.col("i") + 1).cast("long").alias("column_num"), F.round("position", 6).alias("position"))
+    return found.select(*PAGE, F.posexplode("positions").alias("i", "position")).select(*PAGE, (F.col("i") + 1).cast("long").alias("column_num"), "position")
 
 
 #: Tokens of a table from which on its columns are clustered.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import scalars
@@ -38,6 +38,16 @@ AS_OF, NOW = "2001-08-01", "2001-08-01 12:00:00"
 REGION = (100, 0, 420, 60)
 
 
+def rounded(c: Column) -> Column:
+    """For the comparison with SQL: the order of summation is the engine's, so figures are told to 6 places, and halves (less what sums lose) go up."""
+    return F.round(c + 1e-9, 6)
+
+
+def told(df: DataFrame, *columns: str, **places: int) -> DataFrame:
+    """df with figures rounded: columns by `rounded`, others to so many places."""
+    return df.withColumns({c: rounded(F.col(c)) for c in columns} | {c: F.round(c, n) for c, n in places.items()})
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
         QUERIES[name] = f
@@ -64,7 +74,7 @@ SELECT doc_id, page_count, word_count, char_count, coalesce(a, 0) AS avg_confide
   coalesce(h, 0) AS high_count, coalesce(d, 0) AS medium_count, coalesce(l, 0) AS low_count FROM sizes LEFT JOIN found USING (doc_id)""",
 )
 def doc_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return confidence.document_summary(tables.table(spark, sf_dir, "documents"), tables.tokens(spark, sf_dir))
+    return told(confidence.document_summary(tables.table(spark, sf_dir, "documents"), tables.tokens(spark, sf_dir)), "avg_confidence", "median_confidence", "std_confidence")
 
 
 @query(
@@ -72,7 +82,7 @@ def doc_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {TOKENS} SELECT doc_id, count(*) AS n, round(avg(confidence) + 1e-9, 6) AS mean, round(median(confidence) + 1e-9, 6) AS median, round(stddev_pop(confidence) + 1e-9, 6) AS std, min(confidence) AS least, max(confidence) AS most FROM tokens GROUP BY doc_id""",
 )
 def doc_confidence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return confidence.stats(tables.tokens(spark, sf_dir), "doc_id")
+    return told(confidence.stats(tables.tokens(spark, sf_dir), "doc_id"), "mean", "median", "std")
 
 
 @query("quality_buckets", f"WITH {TOKENS} SELECT doc_id, {QUALITY} AS quality, count(*) AS n FROM tokens GROUP BY ALL")
@@ -86,7 +96,7 @@ def quality_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT h AS high_count, round(h / n * 100 + 1e-9, 6) AS high_pct, m AS medium_count, round(m / n * 100 + 1e-9, 6) AS medium_pct, l AS low_count, round(l / n * 100 + 1e-9, 6) AS low_pct FROM q""",
 )
 def quality_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return confidence.bucket_shares(tables.tokens(spark, sf_dir))
+    return told(confidence.bucket_shares(tables.tokens(spark, sf_dir)), "high_pct", "medium_pct", "low_pct")
 
 
 @query("confidence_hist20", f"WITH {TOKENS} SELECT least(floor(confidence * 20), 19)::BIGINT AS bin, count(*) AS n FROM tokens GROUP BY 1")
@@ -105,7 +115,7 @@ def token_length_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT count(*) AS documents, sum(n)::BIGINT AS tokens, round(avg(mean) + 1e-9, 6) AS macro, round(sum(total) / sum(n) + 1e-9, 6) AS micro FROM d""",
 )
 def macro_vs_micro_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return confidence.macro_and_micro(tables.tokens(spark, sf_dir))
+    return told(confidence.macro_and_micro(tables.tokens(spark, sf_dir)), "macro", "micro")
 
 
 @query(
@@ -115,7 +125,7 @@ def macro_vs_micro_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = tables.tokens(spark, sf_dir).groupBy("doc_id", "page_num").agg(F.count("*").alias("n"), F.sum("confidence").alias("c")).groupBy("doc_id")
-    found = by.agg(F.sum("n").alias("word_count"), F.count("*").alias("page_count"), confidence.rounded(F.sum("c") / F.sum("n")).alias("avg_confidence"))
+    found = by.agg(F.sum("n").alias("word_count"), F.count("*").alias("page_count"), rounded(F.sum("c") / F.sum("n")).alias("avg_confidence"))
     name = F.concat(F.lit("Document "), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, "").otherwise(" with a name that is far too long"))
     return found.withColumn("name", name).withColumn("short_name", scalars.shortened(F.col("name")))
 
@@ -195,12 +205,12 @@ columns AS (SELECT doc_id, page_num, column_num, count(*) AS n, round(avg(cx), 6
 
 @query("gap_columns", f"WITH {TOKENS}, " + _COLUMNS.format(source="tokens") + " SELECT * FROM columns")
 def gap_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.gap_columns(tables.tokens(spark, sf_dir))
+    return told(layout.gap_columns(tables.tokens(spark, sf_dir)), position=6)
 
 
 @query(
     "cell_assignment",
-    f"WITH {TOKENS}, " + _COLUMNS.format(source="tokens") + """, bounds AS (SELECT *, coalesce((lag(position) OVER w + position) / 2, '-inf'::DOUBLE) AS lo, coalesce((lead(position) OVER w + position) / 2, 'inf'::DOUBLE) AS hi FROM columns WINDOW w AS (PARTITION BY doc_id, page_num ORDER BY position, column_num))
+    f"WITH {TOKENS}, " + _COLUMNS.format(source="tokens").replace("round(avg(cx), 6)", "avg(cx)") + """, bounds AS (SELECT *, coalesce((lag(position) OVER w + position) / 2, '-inf'::DOUBLE) AS lo, coalesce((lead(position) OVER w + position) / 2, 'inf'::DOUBLE) AS hi FROM columns WINDOW w AS (PARTITION BY doc_id, page_num ORDER BY position, column_num))
 SELECT t.doc_id, t.page_num, t.pos, b.column_num FROM tokens t JOIN bounds b ON t.doc_id = b.doc_id AND t.page_num = b.page_num AND (x1 + x2) / 2.0::DOUBLE >= lo AND (x1 + x2) / 2.0::DOUBLE < hi""",
 )
 def cell_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,7 +263,7 @@ def _line_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tables.tokens(spark, sf_dir).withColumn("region_num", F.floor(F.col("pos") / 15))
     words = F.sort_array(F.collect_list(F.struct("pos", "text")))
     return t.groupBy("doc_id", "page_num", "region_num").agg(
-        F.array_join(F.transform(words, lambda w: w.text), " ").alias("region_text"), F.collect_list("pos").alias("token_ids"), F.min("confidence").alias("least_confidence"), confidence.rounded(F.avg("confidence")).alias("confidence"), F.min("x1").alias("x1"), F.min("y1").alias("y1")
+        F.array_join(F.transform(words, lambda w: w.text), " ").alias("region_text"), F.collect_list("pos").alias("token_ids"), F.min("confidence").alias("least_confidence"), rounded(F.avg("confidence")).alias("confidence"), F.min("x1").alias("x1"), F.min("y1").alias("y1")
     )
 
 
@@ -284,7 +294,7 @@ def best_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ward_columns")
 def ward_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.ward_columns(tables.tokens(spark, sf_dir))
+    return told(layout.ward_columns(tables.tokens(spark, sf_dir)), position=6)
 
 
 @query("profile_quality", f"WITH {TOKENS} SELECT doc_id, page_num, pos, text, confidence, row_number() OVER (PARTITION BY doc_id, page_num ORDER BY y1, x1, pos) AS rank, confidence < 0.9 AS needs_review FROM tokens WHERE trim(text) <> '' AND confidence >= 0.5")
@@ -301,7 +311,7 @@ def profile_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM jobs WHERE created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY GROUP BY ALL""",
 )
 def job_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.job_statistics(tables.jobs(spark, sf_dir), AS_OF)
+    return told(jobs.job_statistics(tables.jobs(spark, sf_dir), AS_OF), avg_seconds=6, avg_size=4)
 
 
 @query(
@@ -310,7 +320,7 @@ def job_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
   sum(word_count) AS total_words, sum(tokens_extracted) AS total_tokens FROM jobs j LEFT JOIN results r ON j.job_id = r.job_id WHERE status = 'completed' GROUP BY ALL""",
 )
 def processing_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.processing_performance(tables.jobs(spark, sf_dir), tables.page_results(spark, sf_dir))
+    return told(jobs.processing_performance(tables.jobs(spark, sf_dir), tables.page_results(spark, sf_dir)), avg_confidence=6, avg_time_ms=4)
 
 
 @query("job_list_page", f"WITH {JOBS} SELECT job_id, status, created_at, progress FROM jobs WHERE status = 'processing' ORDER BY created_at DESC, job_id LIMIT 50 OFFSET 100")
@@ -326,7 +336,7 @@ def job_list_page(spark: SparkSession, sf_dir: str) -> DataFrame:
   WHEN progress < 0.7 THEN 'Detecting and extracting tables...' WHEN progress < 0.9 THEN 'Post-processing and validation...' ELSE 'Finalizing results...' END AS message FROM jobs""",
 )
 def job_eta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.progress(tables.jobs(spark, sf_dir), NOW)
+    return told(jobs.progress(tables.jobs(spark, sf_dir), NOW), eta_seconds=4)
 
 
 @query("jobs_without_results", f"WITH {JOBS}, {RESULTS} SELECT job_id, status FROM jobs WHERE job_id NOT IN (SELECT job_id FROM results)")
@@ -478,7 +488,7 @@ def duration_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("api_metrics", f"WITH {REQUESTS} SELECT count(*) AS requests, round(count(*) FILTER (endpoint <> 'error') / greatest(count(*), 1), 6) AS success_rate, round(coalesce(sum(duration_s), 0) / greatest(count(*), 1), 6) AS avg_time_s FROM requests")
 def api_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.api_metrics(tables.requests(spark, sf_dir), F.col("endpoint") == "error")
+    return told(jobs.api_metrics(tables.requests(spark, sf_dir), F.col("endpoint") == "error"), success_rate=6, avg_time_s=6)
 
 
 @query("offered_load_1d", f"WITH {REQUESTS} SELECT request_id, client, count(*) OVER (PARTITION BY client ORDER BY floor(epoch(\"at\")) RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW) AS load FROM requests")
@@ -498,7 +508,7 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("metric_summary", f"WITH {REQUESTS} SELECT endpoint, count(*) AS n, round(avg(metric_value) + 1e-9, 6) AS mean, round(median(metric_value) + 1e-9, 6) AS median, round(stddev_pop(metric_value) + 1e-9, 6) AS std, min(metric_value) AS least, max(metric_value) AS most FROM requests GROUP BY endpoint")
 def metric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return confidence.stats_of_large_groups(tables.requests(spark, sf_dir), "endpoint", value="metric_value")
+    return told(confidence.stats_of_large_groups(tables.requests(spark, sf_dir), "endpoint", value="metric_value"), "mean", "median", "std")
 
 
 @query("session_activity", "SELECT client, sum(new)::BIGINT AS sessions, max(\"at\") AS last_activity FROM (SELECT user_id AS client, ts AS \"at\", CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events) GROUP BY client")
@@ -637,6 +647,48 @@ def masked_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.table(spark, sf_dir, "documents").select("doc_id", scalars.masked(F.col("text")).alias("masked"))
 
 
+# Boxes to draw, kinds of files, checks of uploads, and words by line.
+
+
+@query("annotations", f"WITH {TOKENS} SELECT doc_id, page_num, pos, x1, y1, x2, y2, round(1 - confidence, 6) AS red, confidence AS green, 0.0::DOUBLE AS blue FROM tokens")
+def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = exports.annotations(tables.tokens(spark, sf_dir))
+    return out.select("doc_id", "page_num", "pos", "x1", "y1", "x2", "y2", F.round("colour.r", 6).alias("red"), F.col("colour.g").alias("green"), F.col("colour.b").alias("blue"))
+
+
+_TYPED = rf"""{FILES}, typed AS (SELECT *, regexp_extract(path, '([^/]*)$', 1) AS name, octet_length(encode(content))::BIGINT AS size, lower(regexp_extract(path, '(\.[A-Za-z0-9]+)$', 1)) AS ext FROM files),
+kinds AS (SELECT *, CASE WHEN ext = '.pdf' THEN 'application/pdf' WHEN ext = '.png' THEN 'image/png' WHEN ext IN ('.jpg', '.jpeg') THEN 'image/jpeg' WHEN ext = '.html' THEN 'text/html' WHEN ext = '.txt' THEN 'text/plain' WHEN ext = '.docx' THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' ELSE 'application/octet-stream' END AS mime FROM typed)"""
+
+
+@query(
+    "upload_checks",
+    rf"""WITH {_TYPED} SELECT file_id, size, mime, CASE WHEN size > 52428800 THEN 'too large' WHEN mime NOT IN ('application/pdf', 'image/jpeg', 'image/png', 'image/tiff', 'text/html', 'application/octet-stream') THEN 'type not allowed' WHEN trim(name) = '' THEN 'no name' WHEN length(name) > 255 THEN 'name too long'
+  WHEN contains(name, '..') OR regexp_matches(name, '[/\\<>:"|?*]') THEN 'name not allowed' END AS reason FROM kinds""",
+)
+def upload_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files as uploads: the name is the last part of the path, the size that of the content, the type what both tell."""
+    f = tables.source_files(spark, sf_dir)
+    rows = f.select("file_id", F.element_at(F.split("path", "/"), -1).alias("name"), F.octet_length("content").cast("long").alias("size"), scalars.mime_type(F.col("path")).alias("mime"))
+    allowed = ("application/pdf", "image/jpeg", "image/png", "image/tiff", "text/html", "application/octet-stream")
+    return rows.select("file_id", "size", "mime", scalars.rejection(F.col("name"), F.col("size"), F.col("mime"), allowed).alias("reason"))
+
+
+@query(
+    "render_types",
+    rf"""WITH {_TYPED} SELECT file_id, CASE WHEN mime = 'application/pdf' AND length(content) > 2000 THEN 'digital_pdf' WHEN mime = 'application/pdf' THEN 'scanned_image' WHEN starts_with(mime, 'image/') THEN 'photograph' WHEN contains(mime, 'word') THEN 'docx' ELSE 'scanned_image' END AS render_type, 0.5::DOUBLE AS confidence FROM kinds""",
+)
+def render_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = scalars.render_type(scalars.mime_type(F.col("path")), F.length("content") > 2000)
+    return tables.source_files(spark, sf_dir).select("file_id", kind.alias("k")).select("file_id", F.col("k.render_type").alias("render_type"), F.col("k.confidence").cast("double").alias("confidence"))
+
+
+@query("line_word_rows", f"WITH {TOKENS}, " + _FOLD.format(most="12", source="tokens", more="").partition("SELECT doc_id, page_num, line_num::BIGINT")[0] + "SELECT doc_id, page_num, line_num::BIGINT AS line_num, row_number() OVER (PARTITION BY doc_id, page_num, line_num ORDER BY i) AS position, text, y1 FROM each")
+def line_word_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words by the lines that the line operator finds, and their places in them."""
+    found = layout.line_slices(tables.tokens(spark, sf_dir))
+    return found.select("doc_id", "page_num", "line_num", F.posexplode("ts").alias("i", "t")).select("doc_id", "page_num", "line_num", (F.col("i") + 1).cast("long").alias("position"), "t.text", "t.y1")
+
+
 @query("pipeline_stats", f"WITH {JOBS} SELECT processing_mode, status, count(*) AS jobs, round(avg(progress), 6) AS avg_progress FROM jobs GROUP BY ALL")
 def pipeline_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.jobs(spark, sf_dir).groupBy("processing_mode", "status").agg(F.count("*").alias("jobs"), F.round(F.avg("progress"), 6).alias("avg_progress"))

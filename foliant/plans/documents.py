@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.operators import confidence, layout, trees
-from foliant.plans.catalogue import _COLUMNS, _INSIDE, REGION, TOKENS, query
+from foliant.operators import layout, trees
+from foliant.plans.catalogue import _COLUMNS, _INSIDE, REGION, TOKENS, query, rounded
 from foliant.sources import tables
 
 #: Regions of a page: the box of every run of 15 words, a little wider, and one that holds the page's first lines.
@@ -184,7 +184,7 @@ FROM d JOIN documents USING (doc_id) LEFT JOIN (SELECT doc_id, count(DISTINCT pa
 )
 def result_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = tables.table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("document_type"), F.col("source").alias("document_class"))
-    return trees.summaries(tree(spark, sf_dir), kinds).withColumn("confidence", confidence.rounded(F.col("confidence")))
+    return trees.summaries(tree(spark, sf_dir), kinds).withColumn("confidence", rounded(F.col("confidence")))
 
 
 _ESCAPED = "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"

@@ -177,11 +177,9 @@ def confident(df: DataFrame, least: float = 0.0, strict: bool = False) -> DataFr
 @processor("tokens.merge")
 def merge(df: DataFrame) -> DataFrame:
     """The best of equal tokens of several engines (column engine)."""
-    from foliant.operators.layout import PAGE
+    from foliant.operators.layout import best_of_engines
 
-    best = F.max(F.struct("confidence", (-F.col("engine")).alias("first"), "pos"))
-    out = df.groupBy(*PAGE, "text", "x1", "y1", "x2", "y2").agg(best.alias("b"))
-    return out.select(*PAGE, F.col("b.pos").alias("pos"), "text", "x1", "y1", "x2", "y2", F.col("b.confidence").alias("confidence"), (-F.col("b.first")).alias("engine"))
+    return best_of_engines(df)
 
 
 @processor("tokens.reading_order")
