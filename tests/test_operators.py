@@ -27,7 +27,7 @@ def value(spark, column):
 
 def test_confidences(page):
     r = confidence.stats(page).first()
-    assert (r["mean"], r["median"], r["least"], r["most"]) == (0.916667, 0.92, 0.88, 0.95)
+    assert (r["mean"], r["median"], r["least"], r["most"]) == ((0.95 + 0.92 + 0.88) / 3, 0.92, 0.88, 0.95)
     assert {x.quality: x.n for x in confidence.buckets(page).collect()} == {"High": 2, "Medium": 1}
 
 
@@ -260,3 +260,12 @@ def test_results_of_recognizers(spark):
     out = {(r.id, r.pos): (r.text, r.bbox, r.confidence) for r in readers.result_tokens(spark.createDataFrame(rows, "id int, result string")).collect()}
     # The second word's score is null and the third's polygon has no points: both are left out.
     assert out == {(1, 0): ("a", [1, 2, 9, 8], 0.9), (1, 3): ("d", [0, 0, 0, 0], 0.0), (2, 0): ('x, "y"', [3, 4, 5, 6], 0.5), (2, 3): ("z", [0, 0, 2, 3], 1.0)}
+
+
+def test_defaults_and_sheets(spark):
+    assert value(spark, s.percent(F.lit(0.9123))) == "91.2%" and value(spark, s.percent(F.lit(1.0))) == "100.0%"
+    assert value(spark, confidence.or_default(F.lit(None).cast("double"), 1.0)) == 1.0 and value(spark, confidence.or_default(F.lit(0.4), 1.0)) == 0.4
+    assert [value(spark, confidence.job_confidence(F.lit(x).cast("double"))) for x in (0.0, None, 0.3)] == [0.9, 0.9, 0.3]
+    rows = spark.createDataFrame([("a", 0.5), ("b", 0.9), ("c", None)], "text string, confidence double")
+    sheets = exports.workbook(rows.limit(1), rows, rows.limit(0))
+    assert list(sheets) == ["Summary", "Text Content", "Tables", "Review_Items"] and [r.text for r in sheets["Review_Items"].collect()] == ["a"]
