@@ -16,6 +16,12 @@ MARKERS = {"heading": "## ", "subheading": "### "}
 PROGRESS_BANDS = ((0.1, "Analyzing document structure..."), (0.3, "Performing OCR extraction..."), (0.7, "Detecting and extracting tables..."), (0.9, "Post-processing and validation..."))
 ENDPOINTS = (("/jobs/", "/jobs/{job_id}"), ("/status/", "/status/{job_id}"), ("/result/", "/result/{job_id}"), ("/review/", "/review/{job_id}"))
 ALLOWED_TYPES = ("application/pdf", "image/jpeg", "image/png", "image/tiff", WORD_MIME)
+# The answer to each kind of error; texts of their own are told, the others' are details of a general one.
+ERRORS = {
+    "ProcessingException": (422, None), "StorageException": (500, None), "ValidationException": (400, None), "AuthenticationException": (401, "Authentication failed"), "AuthorizationException": (403, "Access denied"),
+    "RateLimitException": (429, "Rate limit exceeded"), "ValidationError": (422, "Request validation failed"), "DatabaseError": (500, "Database operation failed"), "RedisError": (503, "Cache service unavailable"),
+    "InternalServerError": (500, "An unexpected error occurred"),
+}
 HIGH, LOW, REVIEW = 0.9, 0.7, 0.8
 MAX_BYTES, MAX_NAME = 50 * 1024 * 1024, 255
 
@@ -160,6 +166,31 @@ def mode_settings(name: Column, max_pages: Column, tables: Column) -> Column:
     )
 
 
+def mode_flags(name: Column, fast: Column, max_pages: Column, tables: Column, classify: Column, forms: Column, layout: Column) -> Column:
+    """What a mode makes of the parameters asked for, null for those not given: basic overrides all; advanced has tables unless told
+    otherwise and none of the rest; any other takes them as they are, off by default."""
+    known, off = mode(name), lambda c: F.coalesce(c, F.lit(False))
+    basic, plain = known == "BASIC", known == "STANDARD"
+    return F.struct(
+        known.alias("mode"), (basic | off(fast)).alias("fast"), F.when(basic, F.coalesce(max_pages, F.lit(3))).otherwise(max_pages).alias("max_pages"),
+        F.when(basic, F.lit(False)).when(plain, off(tables)).otherwise(F.coalesce(tables, F.lit(True))).alias("extract_tables"),
+        *((plain & off(c)).alias(n) for c, n in ((classify, "classify_document"), (forms, "extract_forms"), (layout, "analyze_layout"))),
+    )
+
+
+def error_response(kind: Column, message: Column, request_id: Column) -> Column:
+    """struct<status_code, body>: the JSON that an error is answered with. Unknown kinds are an internal error; general texts keep the message as a detail."""
+    known = F.when(kind.isin(*ERRORS), kind).otherwise("InternalServerError")
+    status, text, detail = F, F, F
+    for name, (code, told) in ERRORS.items():
+        status = status.when(known == name, code)
+        own = name.endswith("Exception")
+        text = text.when(known == name, F.coalesce(message, F.lit(told)) if own else F.lit(told))
+        detail = detail.when(known == name, F.lit(None).cast("string") if own else message)
+    error = F.struct(known.alias("type"), text.alias("message"), F.when(detail.isNotNull(), F.struct(detail.alias("error"))).alias("details"))
+    return F.struct(status.alias("status_code"), F.to_json(F.struct(error.alias("error"), request_id.alias("request_id"))).alias("body"))
+
+
 def rejection(name: Column, size: Column, mime: Column, allowed: Sequence[str] = ALLOWED_TYPES) -> Column:
     """Why an upload is refused; null if it isn't."""
     return (

@@ -64,6 +64,40 @@ def duration_buckets(requests: DataFrame, bounds: tuple[float, ...] = (0.005, 0.
     return sums.select("endpoint", "total", F.inline(rows))
 
 
+def request_metrics(requests: DataFrame, bounds: tuple[float, ...] = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0)) -> DataFrame:
+    """By method, endpoint and status_code the requests, and by method and endpoint their time and cumulative counts up to each bound.
+
+    The counter and the histogram are made from one aggregation: the second sums the rows of the first.
+    """
+    each = requests.groupBy("method", "endpoint", "status_code").agg(F.count("*").alias("requests"), F.sum("duration_s").alias("_s"), *(F.count_if(F.col("duration_s") <= b).alias(f"_{i}") for i, b in enumerate(bounds)))
+    w = Window.partitionBy("method", "endpoint")
+    cumulative = F.map_from_arrays(F.array(*(F.lit(str(b)) for b in bounds)), F.array(*(F.sum(f"_{i}").over(w) for i in range(len(bounds)))))
+    return each.select("method", "endpoint", "status_code", "requests", F.sum("requests").over(w).alias("total"), F.sum("_s").over(w).alias("seconds"), cumulative.alias("upto"))
+
+
+def job_rates(jobs: DataFrame, results: DataFrame) -> DataFrame:
+    """By job with results: seconds, and pages, words and KB a second; 0 without time. Results are summed before the join."""
+    sums = results.groupBy("job_id").agg(F.count("*").alias("pages"), F.sum("word_count").alias("words"), (F.sum("processing_time_ms") / 1000).alias("seconds"))
+    both, s = jobs.select("job_id", "document_size").join(sums, "job_id"), F.col("seconds")
+    return both.select("job_id", "seconds", *(scalars.throughput(amount, s).alias(name) for amount, name in ((F.col("pages"), "pages_per_s"), (F.col("words"), "words_per_s"), (F.col("document_size") / 1024, "kb_per_s"))))
+
+
+def checkpoints(models: DataFrame, model_name: str | None = None, is_active: bool | None = None) -> DataFrame:
+    """Checkpoints of a model, or those that are active or not; a filter that isn't given lets all through. The latest first."""
+    if model_name:
+        models = models.where(F.col("model_name") == model_name)
+    if is_active is not None:
+        models = models.where(F.col("is_active") == is_active)
+    return models.orderBy(F.desc("created_at"), "checkpoint_id")
+
+
+def access(requests: DataFrame, users: DataFrame, role: str) -> DataFrame:
+    """Each request with the status that a role's guard answers: 401 without a known user, 403 without the role, else 200."""
+    known = users.select(F.col("user_id").alias("client"), "roles", F.lit(True).alias("_known"))
+    status = F.when(F.col("_known").isNull(), 401).when(F.coalesce(F.array_contains("roles", role), F.lit(False)), 200).otherwise(403)
+    return requests.join(known, "client", "left").select("request_id", "client", status.alias("status_code"))
+
+
 def api_metrics(requests: DataFrame, failure: Column) -> DataFrame:
     """Success rate and mean time, with denominators of 1 at least."""
     ok, n = F.count_if(~failure), F.count("*")

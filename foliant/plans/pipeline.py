@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import inspect
+import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -39,6 +40,24 @@ def build(profile: str, profiles: dict[str, Sequence[Step]] | None = None, overr
     return chain
 
 
+def to_config(profiles: dict[str, Sequence[Step]] | None = None) -> str:
+    """Profiles as JSON: pipelines by name, each with its processors and their parameters."""
+    told = {name: {"processors": [{"id": s.name, "params": s.params} for s in steps]} for name, steps in (profiles or PROFILES).items()}
+    return json.dumps({"pipelines": told}, indent=2, sort_keys=True)
+
+
+def from_config(text: str | None) -> dict[str, Sequence[Step]]:
+    """Profiles from such JSON. What can't be read gives none, so that the profiles at hand are used; a processor that isn't known is an error."""
+    try:
+        found = json.loads(text or "{}").get("pipelines", {})
+        profiles = {name: tuple(Step(p["id"], dict(p.get("params") or {})) for p in pipeline.get("processors", ())) for name, pipeline in found.items()}
+    except (ValueError, AttributeError, KeyError, TypeError):
+        return {}
+    if unknown := sorted({s.name for steps in profiles.values() for s in steps} - set(REGISTRY)):
+        raise KeyError(f"no processor {', '.join(unknown)}")
+    return profiles
+
+
 def run(df: DataFrame, profile: str = "default", on_error: str = "raise", **kwargs) -> DataFrame:
     """Chains a profile's processors. on_error "skip": a processor whose plan can't be built is left out and noted in
     the column `skipped`; errors in rows are the processors' own."""

@@ -269,3 +269,23 @@ def test_defaults_and_sheets(spark):
     rows = spark.createDataFrame([("a", 0.5), ("b", 0.9), ("c", None)], "text string, confidence double")
     sheets = exports.workbook(rows.limit(1), rows, rows.limit(0))
     assert list(sheets) == ["Summary", "Text Content", "Tables", "Review_Items"] and [r.text for r in sheets["Review_Items"].collect()] == ["a"]
+
+
+def test_configurations(spark, page):
+    again = pipeline.from_config(pipeline.to_config())
+    assert {k: list(v) for k, v in again.items()} == {k: list(v) for k, v in pipeline.PROFILES.items()}
+    assert pipeline.run(page, "quality", profiles=again | {"default": ()}).count() == pipeline.run(page, "quality").count()
+    assert all(pipeline.from_config(x) == {} for x in (None, "", "no json", "[]", '{"pipelines": {"a": {"processors": [{}]}}}', '{"pipelines": 3}'))
+    with pytest.raises(KeyError, match="tokens.none"):
+        pipeline.from_config('{"pipelines": {"a": {"processors": [{"id": "tokens.none"}]}}}')
+
+
+def test_modes_and_errors(spark):
+    none = F.lit(None)
+    flags = lambda name, *asked: tuple(value(spark, s.mode_flags(F.lit(name), *(F.lit(x) for x in asked))))
+    assert flags("basic", False, None, True, True, True, True) == ("BASIC", True, 3, False, False, False, False)
+    assert flags("ADVANCED", None, 7, None, True, True, True) == ("ADVANCED", False, 7, True, False, False, False)
+    assert flags(None, True, None, None, True, None, True) == ("STANDARD", True, None, False, True, False, True)
+    r = value(spark, s.error_response(F.lit("RateLimitException"), none.cast("string"), F.lit("7")))
+    assert r.status_code == 429 and r.body == '{"error":{"type":"RateLimitException","message":"Rate limit exceeded"},"request_id":"7"}'
+    assert value(spark, s.error_response(F.lit("odd"), F.lit("x"), none.cast("string"))).body == '{"error":{"type":"InternalServerError","message":"An unexpected error occurred","details":{"error":"x"}}}'
