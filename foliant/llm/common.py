@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Bytes up to which a lookup table may be broadcast; beyond it a shuffle join is used.
 BROADCAST_BYTES = 32 << 20
 
+#: Texts that a Python worker is handed at a time.
+TEXTS = 1000
+
 #: Tables written by the stages of a pipeline: (scope, path).
 _written: list[tuple[str, str]] = []
 _local_dir: list[str] = []
@@ -71,6 +74,13 @@ def lookup(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= limit else df
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Python workers get a thousand texts at a time, not ten thousand: what they hold falls with it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXTS:
+        spark.conf.set(key, str(TEXTS))
+
+
 def digest(text: Column) -> Column:
     """32 bytes that stand for the whole text; null for null."""
     return F.unhex(F.sha2(text, 256))

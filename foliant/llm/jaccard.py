@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, lookup, saved
+from .common import components, lookup, saved, small_batches
 from .words import mixed, shingle_hashes
 
 #: A size band's largest size is below STEP times its smallest. Parts of a group, of which all but one make a subset.
@@ -125,6 +125,7 @@ class Texts:
         if not 0 < percent <= 100:
             raise ValueError("percent is above 0 and at most 100")
         self.shingle, self.percent, self.scope = shingle, percent, scope
+        small_batches(df.sparkSession)
         self.texts = df.select(text_id(F.col(text)).alias("id"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
         @F.pandas_udf("fp long, size long, sigs array<long>, odd binary")

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Labelled documents that training reads at most (those with the smallest hashes).
 TRAIN_DOCS = 4000
 LONGEST = 4
@@ -143,6 +145,7 @@ def train(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: st
 
 def predict_column(spark: SparkSession, model: Model, text: str) -> Column:
     """struct<lang_pred, score>; `und` and 0 for null texts and texts without letters."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     scorers: list[Scorer] = []
 
