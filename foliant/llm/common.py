@@ -6,8 +6,10 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,9 @@ BROADCAST_BYTES = 32 << 20
 #: Texts that a Python worker is handed at a time.
 TEXTS = 1000
 
+#: Bits of a filter of hashes, at least and at most, as powers of two; bits in a block of it.
+FILTER_BITS, FILTER_BLOCK = (16, 27), 1 << 16
+
 #: Tables written by the stages of a pipeline: (scope, path).
 _written: list[tuple[str, str]] = []
 _local_dir: list[str] = []
@@ -81,6 +86,36 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(TEXTS))
 
 
+def bit_filter(hashes: DataFrame) -> np.ndarray:
+    """Two bits for each `hash` of a table (long), told by its first and by its last bits, of as many as FILTER_BITS allow for 16 a hash: 16 MB at most.
+
+    Each task makes blocks of its own. Where hashes are so many that most bits are set, the filter lets most through.
+    """
+    bits = min(FILTER_BITS[1], max(FILTER_BITS[0], (16 * hashes.count()).bit_length()))
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        blocks: dict[int, np.ndarray] = {}
+        for x in batches:
+            at = x["at"].to_numpy()
+            for block in np.unique(at // FILTER_BLOCK):
+                blocks.setdefault(int(block), np.zeros(FILTER_BLOCK, bool))[at[at // FILTER_BLOCK == block] % FILTER_BLOCK] = True
+        for block, found in blocks.items():
+            yield pd.DataFrame({"block": [block], "bits": [np.packbits(found, bitorder="little").tobytes()]})
+
+    at = F.array(F.shiftrightunsigned("hash", 64 - bits), F.col("hash").bitwiseAND(F.lit((1 << bits) - 1)))
+    dealt = hashes.select(F.explode(at).alias("at")).repartition(F.floor(F.col("at") / FILTER_BLOCK))
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in dealt.mapInPandas(build, "block int, bits binary").collect():
+        out[r["block"] * FILTER_BLOCK // 8 : (r["block"] + 1) * FILTER_BLOCK // 8] |= np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    size = (8 * len(bits) - 1).bit_length()
+    of = lambda at: (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    return of((hashes >> np.uint64(64 - size)).astype(np.int64)) & of((hashes & np.uint64((1 << size) - 1)).astype(np.int64))
+
+
 def digest(text: Column) -> Column:
     """32 bytes that stand for the whole text; null for null."""
     return F.unhex(F.sha2(text, 256))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, lookup, saved, small_batches
+from .common import bit_filter, components, lookup, passes, saved, small_batches
 from .words import mixed, shingle_hashes
 
 #: A size band's largest size is below STEP times its smallest. Parts of a group, of which all but one make a subset.
@@ -19,8 +19,6 @@ STEP, PARTS = 1.6, 2
 LEVELS = 4
 #: Pairs for each text with a signature up to which all are compared; beyond, they must share a first shingle too.
 CROWD = 4
-#: Bits of the filter of signatures that several texts have, at least and at most, as powers of two; bits in a block of it.
-FILTER_BITS, FILTER_BLOCK = (16, 27), 1 << 16
 #: Buckets (a power of two) in which shingles are counted, to have the rare ones first: at least and at most; in blocks.
 BUCKET_BITS, COUNTED = (16, 24), 1 << 14
 WORDS = r"[^\x20\x09-\x0D]"
@@ -160,11 +158,11 @@ class Texts:
         copies = saved(self.groups.where("n > 1").select("id", "keep_row"), "near-copies", self.scope)
         once = self.rows.where("id <> 0").join(lookup(copies), "id", "left").where("keep_row is null or keep_row = row")
         often = once.select(F.explode("sigs").alias("hash")).groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-        filtered = self.rows.sparkSession.sparkContext.broadcast(_bits(saved(often, "near-often", self.scope)))
+        filtered = self.rows.sparkSession.sparkContext.broadcast(bit_filter(saved(often, "near-often", self.scope)))
 
         @F.pandas_udf("array<long>")
         def known(values: pd.Series) -> pd.Series:
-            return pd.Series([x[_passes(filtered.value, x.view(np.uint64))] for x in values], dtype=object)
+            return pd.Series([x[passes(filtered.value, x.view(np.uint64))] for x in values], dtype=object)
 
         each = once.select("id", "size", F.size("sigs").alias("total"), F.explode(known("sigs")).alias("hash"))
         return saved(each, "near-shared", self.scope)
@@ -257,36 +255,6 @@ def _comparable(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _bits(hashes: DataFrame) -> np.ndarray:
-    """Two bits for each hash, told by its first and by its last bits, of as many as FILTER_BITS allow for 16 a hash: 16 MB at most.
-
-    Each task makes blocks of its own. Where hashes are so many that most bits are set, the filter lets most through.
-    """
-    bits = min(FILTER_BITS[1], max(FILTER_BITS[0], (16 * hashes.count()).bit_length()))
-
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        blocks: dict[int, np.ndarray] = {}
-        for x in batches:
-            at = x["at"].to_numpy()
-            for block in np.unique(at // FILTER_BLOCK):
-                blocks.setdefault(int(block), np.zeros(FILTER_BLOCK, bool))[at[at // FILTER_BLOCK == block] % FILTER_BLOCK] = True
-        for block, found in blocks.items():
-            yield pd.DataFrame({"block": [block], "bits": [np.packbits(found, bitorder="little").tobytes()]})
-
-    at = F.array(F.shiftrightunsigned("hash", 64 - bits), F.col("hash").bitwiseAND(F.lit((1 << bits) - 1)))
-    dealt = hashes.select(F.explode(at).alias("at")).repartition(F.floor(F.col("at") / FILTER_BLOCK))
-    out = np.zeros((1 << bits) // 8, np.uint8)
-    for r in dealt.mapInPandas(build, "block int, bits binary").collect():
-        out[r["block"] * FILTER_BLOCK // 8 : (r["block"] + 1) * FILTER_BLOCK // 8] |= np.frombuffer(r["bits"], np.uint8)
-    return out
-
-
-def _passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    size = (8 * len(bits) - 1).bit_length()
-    of = lambda at: (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-    return of((hashes >> np.uint64(64 - size)).astype(np.int64)) & of((hashes & np.uint64((1 << size) - 1)).astype(np.int64))
-
-
 def _rarity(texts: DataFrame, shingle: int, rows: int) -> np.ndarray:
     """For each bucket of shingle hashes how many shingles all rows have in it, as a rounded logarithm.
 

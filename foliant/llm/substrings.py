@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import lookup, saved
+from .common import bit_filter, lookup, passes, saved
 
 #: Characters of scripts that don't part words (Chinese, Japanese, Thai, Lao, Burmese, Khmer): each counts as a word.
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
@@ -106,6 +106,15 @@ def repeated_spans(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     own = df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.explode(split(F.col(text))).alias("s"))
     found = saved(own.select("doc_id", "text_hash", "s.*"), "spans", scope)
     singles = found.where("not again").select("high", "low", "doc_id", "text_hash", "first", "last")
+    # Most spans stand once: half a hash and a count are all that is shuffled of them.
+    often = singles.groupBy(F.col("low").alias("hash")).agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    bits = df.sparkSession.sparkContext.broadcast(bit_filter(saved(often, "spans-often", scope)))
+
+    @F.pandas_udf("boolean")
+    def several(low: pd.Series) -> pd.Series:
+        return pd.Series(passes(bits.value, low.to_numpy().view(np.uint64)))
+
+    singles = singles.where(several("low"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "first")
     kinds = singles.groupBy("high", "low").agg(F.min(place).alias("at"), F.max(place).alias("to")).where("at <> to").select("high", "low", "at")
     kinds = saved(kinds, "span-kinds", scope)
