@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bit_filter, lookup, passes, saved
+from .common import bit_filter, lookup, passes, saved, small_batches
 
 #: Characters of scripts that don't part words (Chinese, Japanese, Thai, Lao, Burmese, Khmer): each counts as a word.
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
@@ -92,19 +92,21 @@ def repeated_spans(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     no rows. Other columns of df have no part in it.
     """
 
-    @F.pandas_udf("array<struct<high: long, low: long, first: int, last: int, again: boolean>>")
-    def split(texts: pd.Series) -> pd.Series:
+    small_batches(df.sparkSession)
+
+    @F.pandas_udf("high array<long>, low array<long>, first array<int>, last array<int>, again array<boolean>")
+    def split(texts: pd.Series) -> pd.DataFrame:
         out = []
         for x in texts:
-            rows, met = [], set()
-            for h, i, j in spans(x, min_sentences, min_words):
-                rows.append({"high": int.from_bytes(h[:8], "big", signed=True), "low": int.from_bytes(h[8:], "big", signed=True), "first": i, "last": j, "again": h in met})
-                met.add(h)
-            out.append(rows)
-        return pd.Series(out)
-
-    own = df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.explode(split(F.col(text))).alias("s"))
-    found = saved(own.select("doc_id", "text_hash", "s.*"), "spans", scope)
+            rows, met = spans(x, min_sentences, min_words), set()
+            halves = np.frombuffer(b"".join(h for h, _, _ in rows), ">i8").astype(np.int64).reshape(-1, 2)
+            again = np.fromiter((h in met or met.add(h) is not None for h, _, _ in rows), bool, len(rows))
+            first, last = (np.fromiter((r[i] for r in rows), np.int32, len(rows)) for i in (1, 2))
+            out.append((halves[:, 0], halves[:, 1], first, last, again))
+        return pd.DataFrame(out, columns=["high", "low", "first", "last", "again"])
+
+    own = df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), split(F.col(text)).alias("s")).select("doc_id", "text_hash", "s.*")
+    found = saved(own.select("doc_id", "text_hash", F.inline(F.arrays_zip("high", "low", "first", "last", "again"))), "spans", scope)
     singles = found.where("not again").select("high", "low", "doc_id", "text_hash", "first", "last")
     # Most spans stand once: half a hash and a count are all that is shuffled of them.
     often = singles.groupBy(F.col("low").alias("hash")).agg(F.count("*").alias("n")).where("n > 1").select("hash")
