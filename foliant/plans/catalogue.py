@@ -496,7 +496,16 @@ def offered_load_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.offered_load(tables.requests(spark, sf_dir), 86_400)
 
 
-@query("admitted_requests")
+_YOUNG = "list_filter(a.kept, lambda t: e.s - t < 86400)"
+
+
+@query(
+    "admitted_requests",
+    f"""WITH {REQUESTS}, timed AS (SELECT request_id, client, floor(epoch("at"))::BIGINT AS s FROM requests),
+c AS (SELECT client, list(struct_pack(s := s, kept := []::BIGINT[], out := []::BOOLEAN[]) ORDER BY s, request_id) AS es, list(request_id ORDER BY s, request_id) AS ids FROM timed GROUP BY client),
+f AS (SELECT client, ids, list_reduce(list_prepend(struct_pack(s := 0::BIGINT, kept := []::BIGINT[], out := []::BOOLEAN[]), es), lambda a, e: struct_pack(s := e.s, kept := CASE WHEN len({_YOUNG}) < 5 THEN list_append({_YOUNG}, e.s) ELSE {_YOUNG} END, out := list_append(a.out, len({_YOUNG}) < 5))).out AS out FROM c)
+SELECT unnest(ids) AS request_id, client, unnest(out) AS admitted FROM f""",
+)
 def admitted_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.admitted(tables.requests(spark, sf_dir), 5, 86_400)
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from foliant.functions import scalars
 from foliant.operators import jobs
-from foliant.plans.catalogue import JOBS, REQUESTS, RESULTS, query, told
+from foliant.plans import pipeline
+from foliant.plans.catalogue import JOBS, REQUESTS, RESULTS, TOKENS, query, told
 from foliant.sources import tables
 
 BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0)
@@ -87,3 +88,20 @@ def role_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def checkpoint_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     models = tables.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("checkpoint_id"), F.col("p_brand").alias("model_name"), (F.col("p_size") > 25).alias("is_active"), F.col("p_size").alias("created_at"))
     return jobs.checkpoints(models, models.agg(F.max("model_name")).first()[0], is_active=True)
+
+
+# What profiles are made of.
+
+
+@query("profile_performance", f"WITH {TOKENS} SELECT doc_id, page_num, pos, text, confidence, confidence < 0.8 AS needs_review FROM tokens WHERE page_num <= 5 AND trim(text) <> ''")
+def profile_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five pages of each document, by a profile that was stored and read again."""
+    profiles = pipeline.from_config(pipeline.to_config())
+    return pipeline.run(tables.tokens(spark, sf_dir), "performance", profiles=profiles).select("doc_id", "page_num", "pos", "text", "confidence", "needs_review")
+
+
+@query("strict_confidence", f"WITH {TOKENS} SELECT doc_id, page_num, pos, text, confidence FROM tokens WHERE confidence > 0.9")
+def strict_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chain = {"default": (), "strict": (pipeline.Step("tokens.confidence", {"least": 0.5, "strict": True}),)}
+    out = pipeline.run(tables.tokens(spark, sf_dir), "strict", profiles=chain, overrides={"tokens.confidence": {"least": 0.9}})
+    return out.select("doc_id", "page_num", "pos", "text", "confidence")
