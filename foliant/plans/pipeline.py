@@ -108,18 +108,28 @@ def run_rows(df: DataFrame, steps: Sequence[Step]) -> DataFrame:
     out for rows without a problem so far.
     """
     now = {c: F.col(c) for c in df.columns}
-    out, problems = dict(now), []
-    for step in steps:
+    problems, sets = [], []
+    for i, step in enumerate(steps):
         if step.name not in ROW_STEPS:
             raise KeyError(f"no row step {step.name}")
         known, here = ROW_STEPS[step.name], dict(now)
         reason = known.problem(here.__getitem__, **step.params)
-        problems.append(F.when(reason.isNotNull(), F.struct(F.lit(step.name).alias("step"), reason.alias("reason"))).cast(ERROR))
+        problems.append(F.when(reason.isNotNull(), F.struct(F.lit(i).alias("at"), F.lit(step.name).alias("step"), reason.alias("reason"))).cast(f"struct<at: int, {ERROR[7:]}"))
         for name, value in known.change(here.__getitem__, **step.params).items():
             now[name] = value
-            out[name] = F.when(F.coalesce(*problems).isNull(), value).otherwise(out.get(name, F.lit(None)))
-    error = F.coalesce(*problems) if problems else F.lit(None).cast(ERROR)
-    return df.select(*(value.alias(name) for name, value in out.items()), error.alias("error"))
+            sets.append((i, name, value))
+    failed = "__failed"
+    found = _settled(_settled(df).withColumn(failed, F.coalesce(*problems) if problems else F.lit(None).cast(f"struct<at: int, {ERROR[7:]}")))
+    out = {c: F.col(c) for c in df.columns}
+    for i, name, value in sets:
+        out[name] = F.when(F.col(failed).isNull() | (F.col(failed)["at"] > i), value).otherwise(out.get(name, F.lit(None)))
+    error = F.when(F.col(failed).isNotNull(), F.struct(F.col(failed)["step"].alias("step"), F.col(failed)["reason"].alias("reason"))).cast(ERROR)
+    return found.select(*(value.alias(name) for name, value in out.items()), error.alias("error"))
+
+
+def _settled(df: DataFrame) -> DataFrame:
+    """df with each column worked out once: an array of one row, taken out again. Else what uses a column repeats how it was made."""
+    return df.select(F.inline(F.array(F.struct(*(df[c] for c in df.columns)))))
 
 
 def passed(df: DataFrame) -> DataFrame:
