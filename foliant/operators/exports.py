@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StructType
 
 from foliant.functions import scalars
+from foliant.operators import layout
 
 FORMATS = ("parquet", "json", "csv", "xml", "txt", "orc")
 
@@ -54,23 +55,42 @@ def dynamic_columns(rows: DataFrame, keys: list[str] | None = None, most: int =
 
 def page_json(tokens: DataFrame, boxes: bool = True, confidences: bool = True) -> DataFrame:
     """By document a JSON text of its pages and their tokens; boxes and confidences can be left out."""
-    fields: list[Column] = [F.col("text")]
-    fields += [F.array("x1", "y1", "x2", "y2").alias("bbox")] if boxes else []
-    fields += [F.col("confidence")] if confidences else []
-    pages = tokens.groupBy("doc_id", "page_num").agg(F.sort_array(F.collect_list(F.struct("pos", F.struct(*fields).alias("t")))).alias("ts"))
+    def told(of) -> Column:
+        fields: list[Column] = [of("text").alias("text")]
+        fields += [F.array(*map(of, ("x1", "y1", "x2", "y2"))).alias("bbox")] if boxes else []
+        fields += [of("confidence").alias("confidence")] if confidences else []
+        return F.struct(*fields)
+
+    if "pages" in tokens.columns:
+        # Documents that hold their pages (tables.paged): nothing is gathered.
+        listed = F.transform("pages", lambda p: F.struct(p.page_num.alias("page_num"), F.transform(p.ts, lambda t: told(t.__getitem__)).alias("tokens")))
+        return tokens.select("doc_id", F.to_json(F.struct(F.col("doc_id").alias("id"), listed.alias("pages"))).alias("json"))
+    pages = tokens.groupBy("doc_id", "page_num").agg(F.sort_array(F.collect_list(F.struct("pos", told(F.col).alias("t")))).alias("ts"))
     nested = pages.select("doc_id", F.struct("page_num", F.transform("ts", lambda t: t.t).alias("tokens")).alias("page"))
     return nested.groupBy("doc_id").agg(F.to_json(F.struct(F.first("doc_id").alias("id"), F.array_sort(F.collect_list("page")).alias("pages"))).alias("json"))
 
 
 def page_xml(tokens: DataFrame) -> DataFrame:
     """By page an XML element with its text and mean confidence."""
-    words = F.sort_array(F.collect_list(F.struct("pos", "text")))
-    body = tokens.groupBy("doc_id", "page_num").agg(F.array_join(F.transform(words, lambda t: t.text), " ").alias("Text"), F.round(F.avg("confidence") + 1e-9, 6).alias("Confidence"))
+    words = F.sort_array(F.transform("ts", lambda t: F.struct(t.pos.alias("pos"), t.text.alias("text"))))
+    known = F.filter("ts", lambda t: t.confidence.isNotNull())
+    mean = F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, t: a + t.confidence), F.size(known))
+    body = layout.gathered(tokens, "pos", "text", "confidence").select("doc_id", "page_num", F.array_join(F.transform(words, lambda t: t.text), " ").alias("Text"), F.round(mean + 1e-9, 6).alias("Confidence"))
     return body.select("doc_id", "page_num", F.to_xml(F.struct(F.col("page_num").alias("Number"), "Text", "Confidence"), {"rowTag": "Page"}).alias("xml"))
 
 
 def padded(cells: DataFrame) -> DataFrame:
-    """Rows of tables as text: each column as wide as its longest cell and two blanks more."""
+    """Rows of tables as text: each column as wide as its longest cell and two blanks more.
+
+    cells: one a row, or gathered by table as the array `cells` (row_num, column_num, cell_text), which nothing is shuffled for.
+    """
+    if "cells" in cells.columns:
+        sized = F.sort_array(F.transform("cells", lambda c: F.struct(c.column_num.alias("column_num"), F.length(c.cell_text).alias("size"))))
+        widest = layout._let(sized, lambda xs: F.transform(layout._runs(xs, lambda c: c.column_num), lambda run: F.struct(F.get(run, F.lit(0)).column_num, F.element_at(run, -1).size + 2)))
+        told = lambda widths, run: F.array_join(F.transform(run, lambda c: F.rpad(c.cell_text, F.element_at(widths, c.column_num), F.lit(" "))), "")
+        row = lambda widths, run: F.struct(F.get(run, F.lit(0)).row_num.alias("row_num"), told(widths, run).alias("line"))
+        rows = lambda widths: layout._let(layout._fields("cells", "row_num", "column_num", "cell_text"), lambda xs: F.transform(layout._runs(xs, lambda c: c.row_num), lambda run: row(widths, run)))
+        return cells.select("doc_id", "table_num", F.inline(layout._let(F.map_from_entries(widest), rows)))
     widths = cells.groupBy("doc_id", "table_num", "column_num").agg((F.max(F.length("cell_text")) + 2).alias("width"))
     full = cells.join(widths, ["doc_id", "table_num", "column_num"])
     line = F.sort_array(F.collect_list(F.struct("column_num", F.rpad("cell_text", F.col("width"), F.lit(" ")).alias("t"))))
