@@ -47,7 +47,15 @@ class JobStates(StatefulProcessor):
         self.handle, self.state = handle, handle.getValueState("job", STATE)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        before = state = tuple(self.state.get()) if self.state.exists() else ("pending", 0, 0)
+        held = self.state.get()
+        before = state = tuple(held) if held is not None else ("pending", 0, 0)
+        # Timers fire after a batch's rows: what the watermark has ended or forgotten by now must not meet them.
+        now = timerValues.getCurrentWatermarkInMs()
+        if late := overdue(state, now, self.limit):
+            yield _transition(key[0], late[1], state[0], "failed", None, TIMED_OUT)
+            state = late
+        if state[0] not in ("pending", "processing") and now >= state[1] + 1000 * self.remember:
+            state = ("pending", 0, 0)
         for r in sorted(rows, key=lambda r: (r.ms, r.seq)):
             if late := overdue(state, r.ms, self.limit):
                 yield _transition(key[0], late[1], state[0], "failed", None, TIMED_OUT)
