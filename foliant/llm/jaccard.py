@@ -171,20 +171,24 @@ class Texts:
         """Pairs (a, b) of texts with different roots that share a signature, among them all that are similar.
 
         Where signatures would give more than CROWD pairs a text, as those that are all of a common passage do, their
-        texts must also share one of their first shingles, rare ones first; and where those are crowded too, a pair must
-        share one of either at once.
+        texts must also share one of their first shingles, rare ones first; and where those are crowded too, beyond as many
+        pairs as their texts have signatures here, a pair must share one of either at once.
         """
         marked = saved(shared.join(roots.withColumnRenamed("node", "id"), "id", "left").select("hash", "id", "size", F.coalesce("root", "id").alias("root"), F.lit(0).alias("at")), "near-marked", self.scope)
-        left = saved(marked.join(_open_keys(marked, "hash"), "hash"), "near-apart", self.scope)
+        left = saved(marked.join(lookup(saved(_open_keys(marked, "hash"), "near-keys", self.scope)), "hash"), "near-apart", self.scope)
         pairs = _pairs(left.where("not crowded"), ["hash"], self.percent)
         crowd = left.where("crowded").drop("crowded", "at")
         members = saved(crowd.groupBy("id").agg(F.any_value("root").alias("root"), F.any_value("size").alias("size")), "near-crowd", self.scope)
         if members.isEmpty():
             return pairs.distinct()
         first = saved(self._first_shingles(members), "near-first-shingles", self.scope)
-        met = saved(first.join(_open_keys(first, "shingle"), "shingle"), "near-met", self.scope)
-        pairs = pairs.unionByName(_pairs(met.where("not crowded"), ["shingle"], self.percent))
-        both = met.where("crowded").drop("crowded").join(crowd.select("id", "hash"), "id")
+        met = first.join(lookup(saved(_open_keys(first, "shingle"), "near-keys", self.scope)), "shingle").join(lookup(saved(crowd.groupBy("id").agg(F.count("*").alias("sigs")), "near-sigs", self.scope)), "id")
+        met = saved(met, "near-met", self.scope)
+        # Each text has a row for each of its crowded signatures below: where pairs are no more than these, they are made at once.
+        few = met.groupBy("shingle").agg((F.any_value("crowded") & (F.count("*") * F.count("*") / 2 > F.sum("sigs"))).alias("many"))
+        met = saved(met.drop("crowded").join(lookup(saved(few, "near-keys", self.scope)), "shingle"), "near-met", self.scope)
+        pairs = pairs.unionByName(_pairs(met.where("not many"), ["shingle"], self.percent))
+        both = met.where("many").drop("many", "sigs").join(crowd.select("id", "hash"), "id")
         return pairs.unionByName(_pairs(both, ["shingle", "hash"], self.percent)).distinct()
 
     def _first_shingles(self, members: DataFrame) -> DataFrame:
@@ -245,10 +249,16 @@ class Texts:
 
 
 def _open_keys(rows: DataFrame, key: str) -> DataFrame:
-    """Of rows (key, root): keys that texts of several roots have, and whether they make more than CROWD pairs a text."""
-    by = rows.groupBy(key, "root").agg(F.count("*").alias("k")).groupBy(key).agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("own"))
+    """Of rows (key, id, root, at): keys that texts of several roots have, and whether they make more than CROWD pairs a text.
+
+    Of keys that the very same texts have (by 64 bits of their ids' hashes) one stands for all, the first in the order of
+    `at`: a pair that shares one of them shares them all.
+    """
+    by = rows.groupBy(key, "root").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("id")).alias("of"), F.min("at").alias("at"))
+    by = by.groupBy(key).agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("own"), F.bit_xor("of").alias("of"), F.min("at").alias("at"))
+    one = by.where("n * n > own").groupBy("of", "n", "own").agg(F.min_by(key, F.struct("at", key)).alias(key))
     pairs = (F.col("n") * F.col("n") - F.col("own")) / 2
-    return by.where("n * n > own").select(key, (pairs > CROWD * F.col("n")).alias("crowded"))
+    return one.select(key, (pairs > CROWD * F.col("n")).alias("crowded"))
 
 
 def _comparable(a: Column, b: Column, percent: int) -> Column:

@@ -88,6 +88,13 @@ def test_crowds_of_texts(spark, crowd, monkeypatch):
     assert [r.component_id for r in sorted(out)] == roots
 
 
+def test_one_key_for_the_same_texts(spark):
+    """Of keys that the very same texts have the first one stays; those of one root only go."""
+    rows = [("late", i, i, 5) for i in (1, 2, 3)] + [("early", i, i, 2) for i in (1, 2, 3)] + [("other", i, i, 2) for i in (1, 2)] + [("own", i, 9, 0) for i in (4, 5)]
+    found = jaccard._open_keys(spark.createDataFrame(rows, "shingle string, id long, root long, at int"), "shingle")
+    assert sorted(map(tuple, found.collect())) == [("early", False), ("other", False)]
+
+
 def test_jaccard_edges(spark):
     long = " ".join(f"w{i % 977}" for i in range(60_000))
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "A  B\tc d\ne F"), (3, None), (4, ""), (5, " \n"), (6, "a b"), (7, "A b"), (8, "b a"), (None, "x y"), (None, "p q"), (9, "x y"), (10, long), (11, long + " end"), (12, "é ü"), (13, "É ü")]
