@@ -5,6 +5,7 @@ import random
 import statistics
 
 import pytest
+import __spark_entry__
 from pyspark.sql import functions as F
 
 from foliant.functions import scalars
@@ -244,3 +245,11 @@ def test_sql_functions(spark, sf):
     assert sorted(map(tuple, got.collect())) == sorted((r.doc_id, r.page_num, r.column_num, r.n, round(r.position, 6)) for r in gaps.collect())
     r = spark.sql("SELECT quality(0.9D) AS a, quality(0.91D) AS b, quality(0.1D) AS c, quality(NULL) AS d, iou(0, 0, 10, 10, 0, 0, 10, 5) AS e, iou(3, 3, 3, 3, 3, 3, 3, 3) AS f, shard_path('abcdef') AS g, clamped(1.5D) AS h, centre(1, 4) AS i").first()
     assert tuple(r) == ("Medium", "High", "Low", None, 0.5, 0.0, "ab/cd/abcdef", 1.0, 2.5)
+
+
+@pytest.mark.parametrize("name", ["region_csv", "row_provenance"])
+def test_trees_are_made_once(spark, sf, name):
+    """No filter stands ahead of the rows of a tree: it would work the tree out for itself."""
+    plan = __spark_entry__.queries()[name](spark, sf)
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in text.splitlines() if "Filter" in line and "size(" in line]
