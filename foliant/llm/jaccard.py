@@ -174,7 +174,7 @@ class Texts:
         texts must also share one of their first shingles, rare ones first; and where those are crowded too, beyond as many
         pairs as their texts have signatures here, a pair must share one of either at once.
         """
-        marked = saved(shared.join(roots.withColumnRenamed("node", "id"), "id", "left").select("hash", "id", "size", F.coalesce("root", "id").alias("root"), F.lit(0).alias("at")), "near-marked", self.scope)
+        marked = saved(shared.join(lookup(roots.withColumnRenamed("node", "id")), "id", "left").select("hash", "id", "size", F.coalesce("root", "id").alias("root"), F.lit(0).alias("at")), "near-marked", self.scope)
         left = saved(marked.join(lookup(saved(_open_keys(marked, "hash"), "near-keys", self.scope)), "hash"), "near-apart", self.scope)
         pairs = _pairs(left.where("not crowded"), ["hash"], self.percent)
         crowd = left.where("crowded").drop("crowded", "at")
@@ -182,6 +182,9 @@ class Texts:
         if members.isEmpty():
             return pairs.distinct()
         first = saved(self._first_shingles(members), "near-first-shingles", self.scope)
+        # Most shingles are those of one text: they go before anything else of their rows is shuffled.
+        often = saved(first.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle"), "near-often", self.scope)
+        first = saved(first.join(lookup(often), "shingle"), "near-first-shingles", self.scope)
         met = first.join(lookup(saved(_open_keys(first, "shingle"), "near-keys", self.scope)), "shingle").join(lookup(saved(crowd.groupBy("id").agg(F.count("*").alias("sigs")), "near-sigs", self.scope)), "id")
         met = saved(met, "near-met", self.scope)
         # Each text has a row for each of its crowded signatures below: where pairs are no more than these, they are made at once.
