@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bit_filter, components, lookup, passes, saved, small_batches
+from .common import FILTER_BITS, FILTER_BLOCK, bit_filter, components, lookup, passes, saved, small_batches
 from .words import mixed, shingle_hashes
 
 #: A size band's largest size is below STEP times its smallest. Parts of a group, of which all but one make a subset.
@@ -195,7 +195,10 @@ class Texts:
         return pairs.unionByName(_pairs(both, ["shingle", "hash"], self.percent)).distinct()
 
     def _first_shingles(self, members: DataFrame) -> DataFrame:
-        """(id, root, size, at, shingle): of each text as many of its shingles as one must be shared of with a similar set; those rare among these texts first."""
+        """(id, root, size, at, shingle): of each text as many of its shingles as one must be shared of with a similar set; those rare among these texts first.
+
+        Most of them are in one text only; these are left out before rows are made of them, by a bounded filter that loses no other.
+        """
         shingle, percent = self.shingle, self.percent
         found = self.texts.join(lookup(members), "id").groupBy("id").agg(*(F.any_value(c).alias(c) for c in ("text", "root", "size")))
         one = saved(found, "near-crowd-texts", self.scope)
@@ -210,7 +213,19 @@ class Texts:
                 out.append(h[np.lexsort((h, counts[h >> shift]))[: int(_prefix(len(h), percent)) if len(h) else 0]].view(np.int64))
             return pd.Series(out, dtype=object)
 
-        return one.select("id", "root", "size", F.posexplode(first("text")).alias("at", "shingle"))
+        each = saved(one.select("id", "root", "size", first("text").alias("shingles")), "near-first", self.scope)
+        repeated = one.sparkSession.sparkContext.broadcast(_repeated(each, each.agg(F.sum(F.size("shingles"))).first()[0] or 0))
+
+        @F.pandas_udf("at array<int>, shingle array<long>")
+        def shared(values: pd.Series) -> pd.DataFrame:
+            bits, out = repeated.value, []
+            for x in values:
+                of = _bucket(x, 8 * len(bits))
+                at = np.flatnonzero((bits[of >> 3] >> (of & 7).astype(np.uint8)) & 1)
+                out.append((at.astype(np.int32), x[at]))
+            return pd.DataFrame(out, columns=["at", "shingle"])
+
+        return each.withColumn("s", shared("shingles")).select("id", "root", "size", F.inline(F.arrays_zip("s.at", "s.shingle")))
 
     def _alike(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that may be similar by sizes and parities, some 30 times smaller than the sets; none that is similar is lost."""
@@ -301,6 +316,39 @@ def _rarity(texts: DataFrame, shingle: int, rows: int) -> np.ndarray:
     return out
 
 
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return hashes.view(np.uint64) >> np.uint64(65 - buckets.bit_length())
+
+
+def _repeated(sets: DataFrame, hashes: int) -> np.ndarray:
+    """For each bucket of hashes whether two or more of the arrays `shingles` fall on it: none that two arrays share is missed.
+
+    There are 16 buckets a hash, up to a bound; beyond, those of one array pass as well. What is shuffled is two bytes a hash.
+    """
+    bits = min(FILTER_BITS[1], max(FILTER_BITS[0], (16 * hashes).bit_length()))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            if len(at := np.sort(np.concatenate([np.zeros(0, np.uint64), *(_bucket(h, 1 << bits) for h in x["shingles"])]))):
+                parts = np.split(at, np.flatnonzero(np.diff(at // FILTER_BLOCK)) + 1)
+                yield pd.DataFrame({"block": [int(p[0] // FILTER_BLOCK) for p in parts], "at": [(p % FILTER_BLOCK).astype(np.uint16).tobytes() for p in parts]})
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[int, list[bytes]] = {}
+        for x in batches:
+            for block, at in zip(x["block"], x["at"], strict=True):
+                known.setdefault(block, []).append(at)
+        for block, parts in known.items():
+            counts = np.bincount(np.frombuffer(b"".join(parts), np.uint16), minlength=FILTER_BLOCK)
+            yield pd.DataFrame({"block": [block], "bits": [np.packbits(counts > 1, bitorder="little").tobytes()]})
+
+    placed = sets.select("shingles").mapInPandas(place, "block int, at binary").repartition("block").mapInPandas(meet, "block int, bits binary")
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in placed.collect():
+        out[r["block"] * FILTER_BLOCK // 8 : (r["block"] + 1) * FILTER_BLOCK // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
 def _hub_pairs(shared: DataFrame, percent: int, scope: str) -> DataFrame:
     """Pairs (a, b) of each text and the one text, of those heading its signatures, that heads most of them.
 

@@ -95,6 +95,20 @@ def test_one_key_for_the_same_texts(spark):
     assert sorted(map(tuple, found.collect())) == [("early", False), ("other", False)]
 
 
+def test_shingles_of_one_text_make_no_rows(spark):
+    """Of first shingles, those that one text alone has go before rows are made of them; those of two texts stay in both, at their places."""
+    texts = [" ".join(f"{i}w{j}" for j in range(100)) for i in range(60)]
+    texts.append(texts[0] + " more")
+    found = jaccard.Texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text", 5, 80, "")
+    near = [found.rows.where(f"doc_id = {i}").first().id for i in (0, 60)]
+    rows = found._first_shingles(found.rows.select("id", F.col("id").alias("root"), "size")).collect()
+    of = [{r.shingle: r.at for r in rows if r.id == i} for i in near]
+    both = set(of[0]) & set(of[1])
+    # The rare ones come first: the one that the longer text alone has is at its first place, where no row is.
+    assert len(both) >= 19 and {of[1][x] for x in both} <= set(range(1, 21)) and {r.root for r in rows if r.id in near} == set(near)
+    assert len([r for r in rows if r.id not in near]) < 60
+
+
 def test_jaccard_edges(spark):
     long = " ".join(f"w{i % 977}" for i in range(60_000))
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "A  B\tc d\ne F"), (3, None), (4, ""), (5, " \n"), (6, "a b"), (7, "A b"), (8, "b a"), (None, "x y"), (None, "p q"), (9, "x y"), (10, long), (11, long + " end"), (12, "é ü"), (13, "É ü")]
