@@ -11,6 +11,17 @@ from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, Par
 
 from foliant.functions.scalars import HIGH, LOW
 
+#: A page's tokens as tables.token_pages has them, and its lines.
+_TS = "ARRAY<STRUCT<pos: INT, text: STRING, x1: INT, y1: INT, x2: INT, y2: INT, confidence: DOUBLE>>"
+_LINES = "ARRAY<STRUCT<line_num: BIGINT, n: BIGINT, y: INT, line_text: STRING>>"
+#: Tokens in reading order, where lines begin among them (a fold, as in layout.line_slices), and their slices; each is worked out once a page.
+_ORDERED = "sort_array(transform(ts, t -> named_struct('y1', t.y1, 'x1', t.x1, 'pos', t.pos, 'cy', (t.y1 + t.y2) / 2, 'text', coalesce(t.text, ''))))"
+_NEW = "(acc.anchor IS NULL OR abs(t.cy - acc.anchor) > threshold)"
+_BEGINS = f"""aggregate(s, named_struct('anchor', CAST(NULL AS DOUBLE), 'at', 1, 'begins', CAST(array() AS ARRAY<INT>)), (acc, t) -> named_struct('anchor', if({_NEW}, t.cy, acc.anchor), 'at', acc.at + 1,
+  'begins', if({_NEW}, concat(acc.begins, array(acc.at)), acc.begins)), acc -> acc.begins)"""
+_LINE = "named_struct('line_num', CAST(i + 1 AS BIGINT), 'n', CAST(size(l) AS BIGINT), 'y', l[0].y1, 'line_text', array_join(transform(l, t -> t.text), ' '))"
+_SLICES = f"transform(b, (x, i) -> transform(array(slice(s, x, coalesce(get(b, i + 1), size(s) + 1) - x)), l -> {_LINE})[0])"
+
 #: Column functions: their bodies are SQL, so that the optimizer sees through them.
 SCALARS = {
     "quality": ("c DOUBLE", "STRING", f"CASE WHEN c > {HIGH} THEN 'High' WHEN c >= {LOW} THEN 'Medium' WHEN c < {LOW} THEN 'Low' END"),
@@ -21,6 +32,7 @@ SCALARS = {
         "ax1 DOUBLE, ay1 DOUBLE, ax2 DOUBLE, ay2 DOUBLE, bx1 DOUBLE, by1 DOUBLE, bx2 DOUBLE, by2 DOUBLE", "DOUBLE",
         "coalesce(try_divide(area(greatest(ax1, bx1), greatest(ay1, by1), least(ax2, bx2), least(ay2, by2)), area(ax1, ay1, ax2, ay2) + area(bx1, by1, bx2, by2) - area(greatest(ax1, bx1), greatest(ay1, by1), least(ax2, bx2), least(ay2, by2))), 0D)",
     ),
+    "lines_of": (f"ts {_TS}, threshold DOUBLE", _LINES, f"get(transform(array({_ORDERED}), s -> get(transform(array({_BEGINS}), b -> {_SLICES}), 0)), 0)"),
     "shard_path": ("digest STRING", "STRING", "concat_ws('/', substring(digest, 1, 2), substring(digest, 3, 2), digest)"),
 }
 

@@ -51,3 +51,13 @@ def test_results_that_are_read_in_one_pass(spark):
     rows = [(1, '[{"rec_texts": ["a", "b"], "rec_scores": [0.5], "rec_polys": [[[1, 2], [3, 4]]]}]'), (2, '[[[[[1, 2], [3, 4]], ["c", 0.25]], [[[1, 2]], ["d", "no"]], "x"]]'), (3, "none"), (4, None)]
     got = sorted(map(tuple, readers.result_tokens(spark.createDataFrame(rows, "id long, result string")).collect()))
     assert got == [(1, 0, "a", [1, 2, 3, 4], 0.5), (1, 1, "b", [0, 0, 0, 0], 0.0), (2, 0, "c", [1, 2, 3, 4], 0.25)]
+
+
+def test_lines_in_sql_are_made_from_pages(spark, sf):
+    """No Python row for each token and no shuffle of tokens; the lines are those of the operator, by any threshold."""
+    plan = entry.queries()["sql_lines"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and re.findall(r"Exchange hashpartitioning\((\w+)", plan) == ["doc_id"]
+    tables.token_pages(spark, sf).createOrReplaceTempView("some_pages")
+    for threshold in (0, 3, 12):
+        got = spark.sql(f"SELECT doc_id, page_num, inline_outer(ls) FROM (SELECT doc_id, page_num, lines_of(ts, {threshold}D) AS ls FROM some_pages)")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, layout.lines(tables.token_pages(spark, sf), threshold).collect()))
