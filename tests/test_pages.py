@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from foliant.operators import layout
+from foliant.functions import scalars
+from foliant.operators import layout, trees
+from foliant.plans import documents
 from foliant.sources import readers, tables
 
 QUERIES = (
@@ -61,3 +63,39 @@ def test_lines_in_sql_are_made_from_pages(spark, sf):
     for threshold in (0, 3, 12):
         got = spark.sql(f"SELECT doc_id, page_num, inline_outer(ls) FROM (SELECT doc_id, page_num, lines_of(ts, {threshold}D) AS ls FROM some_pages)")
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, layout.lines(tables.token_pages(spark, sf), threshold).collect()))
+
+
+@pytest.mark.parametrize("name", ["document_json_bare", "document_json", "document_xml", "page_json"])
+def test_texts_stay_where_they_are_read(spark, sf, tmp_path, name):
+    """Of files with a part for each core and one row for each doc_id nothing is shuffled; where a doc_id stands twice its texts are one document, as in the file that is shuffled."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60")
+    shuffles = []
+    for again in (0, 3):
+        rows = docs.union(docs.where("doc_id < 4").withColumn("text", F.concat(F.lit("once more\n"), "text")).limit(again))
+        for kind, n in (("parts", 8), ("whole", 1)):
+            rows.repartition(n).write.parquet(str(tmp_path / f"{kind}{again}" / "documents.parquet"))
+        of = {kind: entry.queries()[name](spark, str(tmp_path / f"{kind}{again}")) for kind in ("parts", "whole")}
+        shuffles.append({kind: "Exchange" in df._jdf.queryExecution().executedPlan().toString() for kind, df in of.items()})
+        assert sorted(map(str, of["parts"].collect())) == sorted(map(str, of["whole"].collect()))
+    assert shuffles == [{"parts": False, "whole": True}, {"parts": True, "whole": True}]
+
+
+def test_trees_are_made_without_what_is_left_out(spark, sf):
+    """The bare documents were made whole and then rebuilt; made bare at once they are the same."""
+    off = {"boxes": False, "confidences": False, "metadata": False, "provenance": False}
+    whole, bare = documents.tree(spark, sf), documents.tree(spark, sf, trees.left_out(**off))
+    assert not any(trees.has(bare.schema["document"].dataType, name) for name in ("bbox", "confidence", "metadata", "token_ids"))
+    want, got = (sorted(map(tuple, trees.document_json(t, **off).collect())) for t in (whole, bare))
+    assert got == want and len(got) > 100
+
+
+def test_tokens_in_a_box_are_those_by_all_areas(spark):
+    """Tokens beside the box, that touch it, hold it, stand in it, have no area or are inside out."""
+    edges = [(a, b) for a in (80, 100, 260, 420, 440) for b in (80, 100, 260, 420, 440)]
+    rows = [(1, 1, i, "w", x1, y1, x2, y2, 0.5) for i, ((x1, x2), (y1, y2)) in enumerate((x, y) for x in edges for y in ((-10, 0), (0, 0), (0, 60), (10, 80), (60, 90), (50, 20), (70, 80)))]
+    t = spark.createDataFrame(rows, "doc_id long, page_num int, pos int, text string, x1 int, y1 int, x2 int, y2 int, confidence double")
+    box = [F.lit(v) for v in (100, 0, 420, 60)]
+    b = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
+    want = {r.pos for r in t.where(scalars.inside(b, box) | (scalars.iou(b, box) >= 0.5)).collect()}
+    got = layout.gathered(t, *t.columns[2:]).select(layout.in_box_of("ts", (100, 0, 420, 60)).alias("ts")).first().ts
+    assert {x.pos for x in got} == want and 0 < len(want) < len(rows)
